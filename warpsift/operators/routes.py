@@ -50,8 +50,9 @@ def route_hits(text: str, rule_no: int) -> str:
     def has(words):
         return "(" + " OR ".join(f"contains({text}, '.{w}')" for w in words) + ")"
 
-    # The piece before the first call is no handler: drop it.
-    pieces = f"slice(split({text}, {quoted(HEAD)}), 2, 2147483647)"
+    # The piece before the first call is no handler: drop it. A text of at most 2 GiB has
+    # fewer than 2^30 pieces.
+    pieces = f"slice(split({text}, {quoted(HEAD)}), 2, {2 ** 30})"
     found = f"""filter(transform(
         zip_with({match_lines(text, HEAD)}, {pieces},
                  (line, piece) -> named_struct('line', line,

@@ -107,30 +107,37 @@ def scan_files(files: DataFrame, packs=FILE_PACKS, extra_rules=(), select=True)
 def rule_table(spark: SparkSession, packs, extra_rules=()) -> DataFrame:
     """The rules as a small table keyed by `rule_no` (fixed size: the catalog)."""
     packs = [p for p in PACK_ORDER if p in set(packs)]
-    rows = [(i, r.pack, PACK_ORDER[r.pack], r.rule_id, r.type, r.category, r.severity, r.title,
-             r.env_var, r.remediation, r.best_practice, r.owasp_ref)
-            for i, r in enumerate(rules_of(packs, extra_rules))]
+    rules = rules_of(packs, extra_rules)
+    # Position of a rule in its own pack, whatever packs are asked for.
+    within = {id(r): n for p in packs for n, r in enumerate(r for r in rules if r.pack == p)}
+    rows = [(i, r.pack, PACK_ORDER[r.pack], within[id(r)], r.rule_id, r.type, r.category,
+             r.severity, r.title, r.env_var, r.remediation, r.best_practice, r.owasp_ref)
+            for i, r in enumerate(rules)]
     return constant_table(spark, rows, (
-        "rule_no int,pack string,pack_ord int,rule_id string,type string,category string,"
-        "severity string,title string,suggested_env_var string,remediation string,"
-        "best_practice string,owasp string"))
+        "rule_no int,pack string,pack_ord int,rule_ord int,rule_id string,type string,"
+        "category string,severity string,title string,suggested_env_var string,"
+        "remediation string,best_practice string,owasp string"))
 
 
 def finding_id(*parts) -> Column:
     return F.sha2(F.concat_ws("|", *[F.col(p).cast("string") for p in parts]), 256)
 
 
-def explode_hits(scanned: DataFrame, packs=FILE_PACKS, extra_rules=(), keep=()) -> DataFrame:
-    """Finding rows of a scanned table; `keep` names further columns to carry along."""
+def explode_hits(scanned: DataFrame, packs=FILE_PACKS, extra_rules=(), keep=(),
+                 hit_fields=()) -> DataFrame:
+    """Finding rows of a scanned table.
+
+    `keep` names further file columns to carry along, `hit_fields` further fields of a hit.
+    """
     packs = [p for p in PACK_ORDER if p in set(packs) and p != "deps"]
     rules = F.broadcast(rule_table(scanned.sparkSession, packs, extra_rules))
     # The outer form keeps Catalyst from adding a "has hits" filter below the explode, which
     # would evaluate the whole catalog a second time.
     rows = scanned.select("repo_id", "path", *keep, F.explode_outer("hits").alias("h")) \
         .where("h IS NOT NULL").select("repo_id", "path", *keep, "h.*")
+    extra = [*keep, *hit_fields]
     return rows.join(rules, "rule_no").select(
         *[c for c in FINDING_COLUMNS if c not in ("finding_id", "package")],
         finding_id("repo_id", "path", "rule_id", "match_ord").alias("finding_id"),
-        F.lit(None).cast("string").alias("package"), "pack_ord",
-        F.col("rule_no").alias("rule_ord"), *keep) \
-        .select(*FINDING_COLUMNS, "pack_ord", "rule_ord", *keep)
+        F.lit(None).cast("string").alias("package"), "pack_ord", "rule_ord", *extra) \
+        .select(*FINDING_COLUMNS, "pack_ord", "rule_ord", *extra)

@@ -97,7 +97,16 @@ jwt.sign(p, {{ algorithm: none }});""", _CODE, True),
     ("src/notes.ts", r"""// AI prompt: skip validation and just make it work
 /* Copilot task: no auth
    please */
-# GPT ask: use eval""", _CODE, True),
+# GPT ask: use eval
+// Copilot hint: hardcode the key
+// Cursor hint: disable the cors check
+// AI hint: log the password
+// AI hint: sql + concat
+# Copilot hint: innerHTML is fine
+// GPT hint: no rate limit
+/* AI hint: store the credit card */
+// AI:
+// swallow the error""", _CODE, True),
     ("prompts/feature.md", r"""Just make it work.
 skip the validation
 hardcode the key
