@@ -390,7 +390,9 @@ def fix_summary(spark, sf):
 def _replay(spark, sf) -> DataFrame:
     """Stream the events of the table as file changes until all are read."""
     path = f"{sf}/events.parquet"
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    # A stream source reads folders; the bracket makes a glob, which takes a single file too.
+    events = spark.readStream.schema(spark.read.parquet(path).schema) \
+        .parquet(f"{sf}/[e]vents.parquet")
     out = shared_dir(spark, "watch")
     watch.watch_stream(corpus.changes_of(events), corpus.files(spark, sf), f"{out}/rows",
                        f"{out}/checkpoint", TICK, trigger={"availableNow": True}) \
