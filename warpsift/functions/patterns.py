@@ -165,9 +165,23 @@ def _needs(tree) -> list[tuple[str, ...]]:
     return out
 
 
+def linear(branch: str, one_line: bool = False) -> str:
+    """One branch as an expression that never goes back over a line."""
+    parts = [java(p, one_line) for p in same_line_parts(branch)]
+    if len(parts) == 1:
+        return parts[0]
+    return "(?m)^" + "".join(f"(?>{_NOT_EOL}*?(?:{p}))" for p in parts if p)
+
+
+def linear_regex(pattern: Pattern) -> str:
+    """The whole pattern as such an expression, for a single line of text."""
+    return ("(?i)" if pattern.ignore_case else "") + "|".join(
+        f"(?:{linear(b, one_line=True)})" for b in branches(pattern.text))
+
+
 @lru_cache(maxsize=None)
 def plan(pattern: Pattern):
-    """[(words, None, None)] for fixed words, (needs, regex, _) otherwise; one per branch."""
+    """Fixed words of the pattern, and (needed words, expression) of every other branch."""
     parse = re._parser.parse  # the standard library's own pattern parser
     fold = str.lower if pattern.ignore_case else str
     out, fixed = [], []
@@ -178,14 +192,8 @@ def plan(pattern: Pattern):
             fixed += [fold(w) for w in words]
             continue
         needs = [tuple(dict.fromkeys(fold(w) for w in ws)) for ws in _needs(tree)]
-        parts = [java(p) for p in same_line_parts(branch)]
-        if len(parts) > 1:
-            steps = [f"(?>{_NOT_EOL}*?(?:{p}))" for p in parts if p]
-            regex = "(?m)^" + "".join(steps)
-        else:
-            regex = parts[0]
         out.append((tuple(dict.fromkeys(needs)),
-                    ("(?i)" if pattern.ignore_case else "") + regex))
+                    ("(?i)" if pattern.ignore_case else "") + linear(branch)))
     return tuple(dict.fromkeys(fixed)), tuple(out)
 
 
@@ -194,6 +202,9 @@ def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+NEWLINE = quoted("\n")
+
+
 def flagged(pattern: Pattern, one_line: bool = False) -> str:
     return ("(?i)" if pattern.ignore_case else "") + java(pattern.text, one_line)
 
@@ -223,10 +234,14 @@ class Text:
 
     def first_line(self, pattern: Pattern) -> str:
         """1-based number of the first line the pattern matches within, else null."""
+        lines = f"split({self.text}, {NEWLINE})"
+        if any(len(same_line_parts(b)) > 1 for b in branches(pattern.text)):
+            found = f"transform({lines}, l -> l RLIKE {quoted(linear_regex(pattern))})"
+            return f"nullif(array_position({found}, true), 0)"
         upto = f"^(?s:.)*?(?:{java(pattern.text, one_line=True)})"
         upto = quoted(("(?i)" if pattern.ignore_case else "") + upto)
         return (f"array_size(split(nullif(regexp_extract({self.text}, {upto}, 0), ''), "
-                f"{quoted(chr(10))}))")
+                f"{NEWLINE}))")
 
 
 def ascii_lower(text: str) -> str:

@@ -12,7 +12,7 @@ def version_key(version: str) -> Column:
     return F.when(F.col(version).rlike(_FORM), F.array(*number))
 
 
-def major(version: str) -> Column:
-    """Leading number of the first part, else null."""
-    return F.regexp_extract(F.split_part(F.col(version), F.lit("."), F.lit(1)),
-                            r"^\s*(\d{1,9})", 1).try_cast("int")
+def major(version: str) -> str:
+    """SQL: leading number of the first part, else null."""
+    return (f"try_cast(regexp_extract(split_part({version}, '.', 1), "
+            r"'^\\s*(\\d{1,9})', 1) AS INT)")

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from ..functions.patterns import quoted
 from ..functions.versions import major, version_key
 from ..rules.catalog import (ADVISORY_SEVERITY, FRAMEWORKS, NEW_PACKAGE_DAYS, PACK_ORDER,
                              REGISTRY_SKIP, UNMAINTAINED, deps)
@@ -22,23 +21,72 @@ def latest_declared(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("repo_id", "package").agg(best.alias("version"))
 
 
-def _findings(df: DataFrame, rule_id: str, title: Column, severity: Column | None = None,
-              remediation: Column | None = None, key: str | None = None) -> DataFrame:
-    number, rule = _RULES[rule_id]
-    lit = lambda v: F.lit(v).cast("string")
-    ids = ["repo_id", F.lit("package.json"), lit(rule_id), "package"] + ([key] if key else [])
-    values = dict(
-        pack=lit("deps"), rule_id=lit(rule_id), type=lit(rule.type), category=lit(rule.category),
-        finding_id=F.sha2(F.concat_ws("|", *[F.col(c).cast("string") if isinstance(c, str) else c
-                                             for c in ids]), 256),
-        severity=lit(rule.severity) if severity is None else severity, title=title,
-        repo_id=F.col("repo_id"), path=lit("package.json"), line=F.lit(None).cast("bigint"),
-        match_ord=F.lit(0).cast("bigint"), matched_text=lit(None), suggested_env_var=lit(None),
-        remediation=lit(rule.remediation) if remediation is None else remediation,
-        best_practice=lit(rule.best_practice), owasp=lit(rule.owasp_ref),
-        package=F.col("package"))
-    return df.select(*[values[c].alias(c) for c in FINDING_COLUMNS],
-                     F.lit(PACK_ORDER["deps"]).alias("pack_ord"), F.lit(number).alias("rule_ord"))
+def _seed(rule_id: str, test: str, title: str, severity: str | None = None,
+          remediation: str | None = None, key: str = "''") -> str:
+    """SQL: the parts of a finding that differ by rule, or null where the test fails."""
+    number, r = _RULES[rule_id]
+
+    def text(value):
+        return "CAST(NULL AS STRING)" if value is None else quoted(value)
+
+    fields = {"rule_ord": str(number), "rule_id": text(rule_id), "type": text(r.type),
+              "category": text(r.category), "severity": severity or text(r.severity),
+              "title": f"concat({text(r.title)}, {title})",
+              "remediation": remediation or text(r.remediation),
+              "best_practice": text(r.best_practice), "owasp": text(r.owasp_ref), "key": key}
+    return (f"CASE WHEN {test} THEN named_struct("
+            + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ") END")
+
+
+def _emit(df: DataFrame, *seeds: str) -> DataFrame:
+    """Finding rows of all seeds, in one pass over the rows."""
+    found = df.selectExpr("repo_id", "package",
+                          f"inline_outer(array_compact(array({', '.join(seeds)})))") \
+        .where("rule_id IS NOT NULL")
+    ids = F.concat_ws("|", F.col("repo_id").cast("string"), F.lit("package.json"), "rule_id",
+                      "package", F.when(F.col("key") != "", F.col("key")))
+    empty = F.lit(None).cast("string")
+    return found.withColumns({
+        "pack": F.lit("deps"), "finding_id": F.sha2(ids, 256), "path": F.lit("package.json"),
+        "line": F.lit(None).cast("bigint"), "match_ord": F.lit(0).cast("bigint"),
+        "matched_text": empty, "suggested_env_var": empty,
+        "pack_ord": F.lit(PACK_ORDER["deps"])}).select(*FINDING_COLUMNS, "pack_ord", "rule_ord")
+
+
+_LEVEL = "CASE _level " + " ".join(
+    f"WHEN '{k}' THEN '{v}'" for k, v in ADVISORY_SEVERITY.items()) + " ELSE 'medium' END"
+_GAP = f"({major('latest')} - {major('version')})"
+_ADVICE = "CASE package " + " ".join(
+    f"WHEN '{p}' THEN {quoted(advice)}" for p, advice in UNMAINTAINED) + " END"
+# Local and repository references are not looked up.
+_CHECKABLE = " AND ".join(f"NOT startswith(package, '{p}')" for p in REGISTRY_SKIP)
+
+
+def _age(as_of: str) -> str:
+    """SQL: fractional days since a package was created."""
+    return (f"((unix_micros(CAST('{as_of}' AS TIMESTAMP)) - unix_micros(created))"
+            " / 86400000000D)")
+
+
+def _outdated_seed() -> str:
+    """At least one major version behind; more than one is worse."""
+    return _seed("outdated_major", f"{_GAP} > 0",
+                 f"concat(package, ' by ', {_GAP}, ' major version(s)')",
+                 severity=f"CASE WHEN {_GAP} > 1 THEN 'medium' ELSE 'low' END")
+
+
+def _unmaintained_seed() -> str:
+    return _seed("unmaintained", f"{_ADVICE} IS NOT NULL", "package", remediation=_ADVICE)
+
+
+def _hallucinated_seed(test: str) -> str:
+    return _seed("hallucinated", test, "package")
+
+
+def _brand_new_seed(as_of: str) -> str:
+    """Created less than seven days before `as_of`."""
+    return _seed("brand_new", f"{_CHECKABLE} AND {_age(as_of)} < {NEW_PACKAGE_DAYS}",
+                 f"concat(package, ' (', CAST(round({_age(as_of)}) AS INT), ' days)')")
 
 
 def known_vulnerabilities(manifest: DataFrame, advisories: DataFrame) -> DataFrame:
@@ -49,60 +97,57 @@ def known_vulnerabilities(manifest: DataFrame, advisories: DataFrame) -> DataFra
                               version_key("fixed").alias("_to"))
     hit = lookup_join(ours, known, ["package"]).where(
         "_from <= _v AND (_to IS NULL OR _v < _to)")
-    level = F.coalesce(*[F.when(F.col("_level") == k, v) for k, v in ADVISORY_SEVERITY.items()],
-                       F.lit("medium"))
-    return _findings(hit, "known_cve", F.concat(F.lit(_RULES["known_cve"][1].title),
-                                                "package", F.lit("@"), "version"),
-                     severity=level, key="introduced")
+    return _emit(hit, _seed("known_cve", "true", "concat(package, '@', version)",
+                            severity=_LEVEL, key="introduced"))
 
 
 def outdated_major(manifest: DataFrame, latest_versions: DataFrame) -> DataFrame:
-    """Packages at least one major version behind; more than one is worse."""
-    behind = lookup_join(manifest.select("repo_id", "package", "version"),
-                         latest_versions.select("package", "latest"), ["package"]) \
-        .withColumn("_gap", major("latest") - major("version")).where("_gap > 0")
-    return _findings(behind, "outdated_major",
-                     F.concat(F.lit(_RULES["outdated_major"][1].title), "package", F.lit(" by "),
-                              F.col("_gap").cast("string"), F.lit(" major version(s)")),
-                     severity=F.when(F.col("_gap") > 1, "medium").otherwise("low"))
+    return _emit(lookup_join(manifest.select("repo_id", "package", "version"),
+                             latest_versions.select("package", "latest"), ["package"]),
+                 _outdated_seed())
 
 
 def unmaintained(manifest: DataFrame) -> DataFrame:
-    listed = constant_table(manifest.sparkSession, UNMAINTAINED, "package string,advice string")
-    hit = manifest.join(F.broadcast(listed), "package")  # six rows
-    return _findings(hit, "unmaintained", F.concat(F.lit(_RULES["unmaintained"][1].title),
-                                                   "package"), remediation=F.col("advice"))
+    """Packages on the fixed list of unmaintained ones."""
+    return _emit(manifest, _unmaintained_seed())
 
 
 def hallucinated_package(manifest: DataFrame, registry: DataFrame) -> DataFrame:
-    """Packages the registry does not know; local and repository references are skipped."""
-    skipped = reduce(lambda a, b: a | b, [F.startswith("package", F.lit(p))
-                                          for p in REGISTRY_SKIP])
-    unknown = lookup_join(manifest.where(~skipped).select("repo_id", "package"),
+    """Packages the registry does not know."""
+    unknown = lookup_join(manifest.where(_CHECKABLE).select("repo_id", "package"),
                           registry.select("package").distinct(), ["package"], "left_anti")
-    return _findings(unknown, "hallucinated",
-                     F.concat(F.lit(_RULES["hallucinated"][1].title), "package"))
+    return _emit(unknown, _hallucinated_seed("true"))
 
 
 def brand_new_package(manifest: DataFrame, registry: DataFrame, as_of: str) -> DataFrame:
-    """Packages created less than seven days before `as_of` (fractional days)."""
-    age = (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros("created")) \
-        / F.lit(86_400_000_000)
     # Only young packages matter, so the lookup is small before it is joined.
-    young = registry.select("package", age.alias("_age")).where(F.col("_age") < NEW_PACKAGE_DAYS)
-    hit = lookup_join(manifest.select("repo_id", "package"), young, ["package"])
-    return _findings(hit, "brand_new", F.concat(
-        F.lit(_RULES["brand_new"][1].title), "package", F.lit(" ("),
-        F.round("_age").cast("int").cast("string"), F.lit(" days)")))
+    young = registry.where(f"{_age(as_of)} < {NEW_PACKAGE_DAYS}").select("package", "created")
+    return _emit(lookup_join(manifest.select("repo_id", "package"), young, ["package"]),
+                 _brand_new_seed(as_of))
+
+
+def package_facts(latest_versions: DataFrame, registry: DataFrame) -> DataFrame:
+    """One row per package that either table knows."""
+    known = registry.groupBy("package").agg(F.min("created").alias("created")) \
+        .withColumn("registered", F.lit(True))
+    newest = latest_versions.groupBy("package").agg(
+        F.max_by("latest", F.struct(version_key("latest"), F.col("latest"))).alias("latest"))
+    return newest.join(known, "package", "full")
 
 
 def dependency_findings(manifest: DataFrame, advisories: DataFrame, latest_versions: DataFrame,
                         registry: DataFrame, as_of: str) -> DataFrame:
-    """All five checks; `manifest` holds one row per repository and package."""
-    return reduce(DataFrame.unionByName, [
-        known_vulnerabilities(manifest, advisories), outdated_major(manifest, latest_versions),
-        unmaintained(manifest), hallucinated_package(manifest, registry),
-        brand_new_package(manifest, registry, as_of)])
+    """All five checks; `manifest` holds one row per repository and package.
+
+    The manifest meets the advisories once, and the facts about packages once: four of the
+    checks come out of that one join.
+    """
+    facts = package_facts(latest_versions, registry)
+    rows = lookup_join(manifest.select("repo_id", "package", "version"), facts, ["package"],
+                       "left")
+    return known_vulnerabilities(manifest, advisories).unionByName(_emit(
+        rows, _outdated_seed(), _unmaintained_seed(),
+        _hallucinated_seed(f"registered IS NULL AND {_CHECKABLE}"), _brand_new_seed(as_of)))
 
 
 def dependency_scan(findings: DataFrame, repos: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from ..rules.catalog import (ADVISORY_SEVERITY, COMPLIANCE, DASHBOARD_PACKS, FIL
 from ..rules.matrix import THREAT_ROWS
 from ..rules.prompts import COMMENT_PREFIX, COMMENTS, MATCH_CHARS
 from ..schema import FINDING_COLUMNS
-from ..sources.corpus import AS_OF, NAMED, OPS, WATCHED_DOCS
+from ..sources.corpus import AS_OF, NAMED, OPS, PHRASES, WATCHED_DOCS
 from ..sources.slots import ENV_SLOT, SAMPLE_PATH, SAMPLE_SLOT, SLOTS
 from ..streaming.watch import IGNORED
 
@@ -114,10 +114,11 @@ CTE: dict[str, str] = {
     "page_files": """SELECT CAST(1 AS BIGINT) AS repo_id, 'pages/p' || page_id || '.js' AS path,
         '/corpus/pages/pages/p' || page_id || '.js' AS abs_path,
         concat_ws(chr(10), url, html) AS content FROM pages""",
-    "talk_files": """SELECT CAST(2 AS BIGINT) AS repo_id,
+    "talk_files": f"""SELECT CAST(2 AS BIGINT) AS repo_id,
         'prompts/c' || conv_id || '/t' || turn || '.md' AS path,
         '/corpus/talk/prompts/c' || conv_id || '/t' || turn || '.md' AS abs_path,
-        text AS content FROM conversations""",
+        ([{', '.join(map(q, PHRASES))}])[conv_id % {len(PHRASES)} + 1] || {NL} || text AS content
+        FROM conversations""",
     "file_repos": "SELECT DISTINCT repo_id FROM files",
     "repos": "SELECT repo_id FROM files UNION SELECT repo_id FROM raw_manifest",
     "raw_manifest": f"""SELECT l_orderkey AS repo_id, l_linenumber || '.' ||

@@ -14,6 +14,7 @@ from .slots import ENV_SLOT, SAMPLE_PATH, SAMPLE_SLOT, SLOTS
 N_SLOTS = len(SLOTS)
 AS_OF = "2024-01-31 00:00:00"
 PAGES_REPO, TALK_REPO = 1, 2
+PHRASES = ["Build the following.", *SLOTS[16][1].split("\n")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,12 +51,14 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def talk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns as prompt files."""
+    """Conversation turns as prompt files, each under one phrase of the prompt slot."""
     path = F.concat(F.lit("prompts/c"), F.col("conv_id").cast("string"), F.lit("/t"),
                     F.col("turn").cast("string"), F.lit(".md"))
     return table(spark, sf_dir, "conversations").select(
         F.lit(TALK_REPO).cast("bigint").alias("repo_id"), path.alias("path"),
-        F.concat(F.lit("/corpus/talk/"), path).alias("abs_path"), F.col("text").alias("content"))
+        F.concat(F.lit("/corpus/talk/"), path).alias("abs_path"),
+        F.concat(_pick(PHRASES, F.col("conv_id") % len(PHRASES)), F.lit("\n"), "text")
+        .alias("content"))
 
 
 NAMED = [u[0] for u in UNMAINTAINED] + [f[0] for f in FRAMEWORKS]
