@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..rules.base import Pattern
 from ..schema import HIT
-from .patterns import NEWLINE, find_all, linear_regex, quoted
+from .patterns import NEWLINE, find_all, linear_regex, quoted, without_nel
 
 # Two code points Unicode reserves for private marking inside a program.
 _MARK, _OTHER = chr(0xFDD0), chr(0xFDD1)
@@ -26,7 +26,7 @@ def hit_per_match(text: str, pattern: Pattern, rule_no: int, chars: int) -> str:
     """Array of hits, one per match; the pattern must not span lines."""
     # The test first: collecting matches may go back over a line, the test does not.
     found = (f"flatten(array_compact(transform({lines_of(text)}, (line, i) -> "
-             f"CASE WHEN line RLIKE {quoted(linear_regex(pattern))} THEN "
+             f"CASE WHEN {without_nel('line')} RLIKE {quoted(linear_regex(pattern))} THEN "
              f"transform({find_all('line', pattern)}, "
              f"m -> named_struct('line', i + 1, 'm', m)) END)))")
     return f"transform({found}, (x, k) -> {hit(rule_no, 'x.line', 'k', f'left(x.m, {chars})')})"

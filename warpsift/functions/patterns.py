@@ -24,7 +24,7 @@ from ..rules.base import Pattern
 _TOKEN = re.compile(r"\[\^?(?:\\.|[^\]\\])*\]|\\.|\(\?:|\(\?!|.", re.S)
 _SPACES = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 _LINE_SPACES = _SPACES.replace(r"\n", "")
-_NOT_EOL = r"[^\n\r\u2028\u2029]"
+NOT_EOL = r"[^\n\r\u2028\u2029]"
 _WORD_EDGE = (r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
 JS_TRIM = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + \
     "\u2028\u2029\u202f\u205f\u3000\ufeff"
@@ -81,13 +81,17 @@ def same_line_parts(branch: str) -> list[str]:
     return ["".join(p) for p in _cut(tokens(branch), dots)]
 
 
-def java(text: str, one_line: bool = False) -> str:
-    """The pattern for Java's engine; with `one_line` no match can span lines."""
+def java(text: str, one_line: bool = False, dot: str = ".") -> str:
+    """The pattern for Java's engine; with `one_line` no match can span lines.
+
+    Java's dot differs from the catalog's in one character, NEL. Tests run on texts without
+    it (see `without_nel`), where the fast dot is right; else pass `dot=NOT_EOL`.
+    """
     spaces = _LINE_SPACES if one_line else _SPACES
     out = []
     for t in tokens(text):
         if t == ".":
-            out.append(_NOT_EOL)
+            out.append(dot)
         elif t == r"\s":
             out.append(f"[{spaces}]")
         elif t == r"\S":
@@ -170,7 +174,7 @@ def linear(branch: str, one_line: bool = False) -> str:
     parts = [java(p, one_line) for p in same_line_parts(branch)]
     if len(parts) == 1:
         return parts[0]
-    return "(?m)^" + "".join(f"(?>{_NOT_EOL}*?(?:{p}))" for p in parts if p)
+    return "(?m)^" + "".join(f"(?>.*?(?:{p}))" for p in parts if p)
 
 
 def linear_regex(pattern: Pattern) -> str:
@@ -205,12 +209,17 @@ def quoted(text: str) -> str:
 NEWLINE = quoted("\n")
 
 
-def flagged(pattern: Pattern, one_line: bool = False) -> str:
-    return ("(?i)" if pattern.ignore_case else "") + java(pattern.text, one_line)
+def flagged(pattern: Pattern, dot: str = ".") -> str:
+    return ("(?i)" if pattern.ignore_case else "") + java(pattern.text, dot=dot)
+
+
+def without_nel(text: str) -> str:
+    """The text with NEL replaced by another character that no pattern names."""
+    return f"replace({text}, '{chr(0x85)}', '{chr(0xac)}')"
 
 
 class Text:
-    """A text column with its lower-case twin and the word tests shared between rules."""
+    """A text without NEL, its lower-case twin and the word tests shared between rules."""
 
     def __init__(self, text: str, lowered: str, shared: dict | None = None):
         self.text, self.lowered, self.shared = text, lowered, shared or {}
@@ -266,7 +275,7 @@ def shared_words(rules) -> list[tuple[str, bool]]:
 
 
 def find_all(text: str, pattern: Pattern, group: int = 0) -> str:
-    return f"regexp_extract_all({text}, {quoted(flagged(pattern))}, {group})"
+    return f"regexp_extract_all({text}, {quoted(flagged(pattern, NOT_EOL))}, {group})"
 
 
 def js_trim(text: str) -> str:

@@ -2,14 +2,16 @@
 
 from pyspark.sql import Column, functions as F
 
-_FORM = r"^[\^~=v]*(\d{1,9})(?:\.(\d{1,9}))?(?:\.(\d{1,9}))?(?:\+.*)?$"
+_FORM = r"^[\^~=v]*\d{1,9}(\.\d{1,9}){0,2}(\+.*)?$"
 
 
 def version_key(version: str) -> Column:
     """[major, minor, patch]; null for ranges, tags and pre-releases: nothing is guessed."""
-    part = [F.regexp_extract(version, _FORM, i) for i in (1, 2, 3)]
-    number = [F.when(p == "", "0").otherwise(p).cast("int") for p in part]
-    return F.when(F.col(version).rlike(_FORM), F.array(*number))
+    bare = F.substring_index(F.ltrim(F.col(version), F.lit("^~=v")), "+", 1)
+    # A missing part is an empty text, which is no number and counts as zero.
+    numbers = [F.coalesce(F.split_part(bare, F.lit("."), F.lit(i)).try_cast("int"), F.lit(0))
+               for i in (1, 2, 3)]
+    return F.when(F.col(version).rlike(_FORM), F.array(*numbers))
 
 
 def major(version: str) -> str:

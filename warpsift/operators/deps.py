@@ -17,8 +17,9 @@ _RULES = {r.rule_id: (i, r) for i, r in enumerate(deps.rules)}
 
 def latest_declared(manifest: DataFrame) -> DataFrame:
     """One row per repository and package: the highest declared version."""
-    best = F.max_by("version", F.struct(version_key("version"), F.col("version")))
-    return manifest.groupBy("repo_id", "package").agg(best.alias("version"))
+    best = F.max(F.struct(version_key("version").alias("key"), F.col("version")))
+    return manifest.groupBy("repo_id", "package").agg(best.alias("_best")) \
+        .select("repo_id", "package", "_best.version")
 
 
 def _seed(rule_id: str, test: str, title: str, severity: str | None = None,

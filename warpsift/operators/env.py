@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.lines import lines_of
-from ..functions.patterns import java, js_trim, quoted
+from ..functions.patterns import NOT_EOL, java, js_trim, quoted
 from ..rules.catalog import PACK_ORDER
 from ..rules.env import (ISSUE_KEY, ISSUE_QUOTES, ISSUE_SPACES, KEY_FORM, PACK, QUOTED, SPACED,
                          UNQUOTED)
@@ -18,11 +18,11 @@ _RULES = {r.rule_id: (i, r) for i, r in enumerate(PACK.rules)}
 
 
 def _rx(pattern: str) -> str:
-    return quoted(java(pattern, one_line=True))
+    return quoted(java(pattern, one_line=True, dot=NOT_EOL))
 
 
-_FIRST_SPACED = quoted("^" + java(r"([^=]*?)\s*=\s*", one_line=True))
-_FIRST_VALUE = quoted("^" + java(r"([^=]*)=(.*)", one_line=True))
+_FIRST_SPACED = quoted("^" + java(r"([^=]*?)\s*=\s*", one_line=True, dot=NOT_EOL))
+_FIRST_VALUE = quoted("^" + java(r"([^=]*)=(.*)", one_line=True, dot=NOT_EOL))
 
 
 def format_issues(text: str) -> str:

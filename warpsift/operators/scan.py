@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.lines import NO_HITS, hit, hit_per_match
-from ..functions.patterns import Text, ascii_lower, flagged, quoted, shared_words
+from ..functions.patterns import (Text, ascii_lower, flagged, quoted, shared_words,
+                                  without_nel)
 from ..rules.base import PER_FILE, PER_MATCH, Pattern, Rule
 from ..rules.catalog import FILE_PACKS, PACK_ORDER, rules_of
 from ..rules.prompts import COMMENT_PREFIX, MATCH_CHARS
@@ -66,16 +67,17 @@ def scan_files(files: DataFrame, packs=FILE_PACKS, extra_rules=(), select=True)
     chosen = {s: f"{_WORK}in_{s}" for s in selectors}
     work = files.selectExpr(*keep, *[f"{selected(s) if select else 'true'} AS {c}"
                                      for s, c in chosen.items()])
-    lower = _WORK + "lower"
+    body, lower = _WORK + "text", _WORK + "lower"
     work = work.selectExpr("*", f"CASE WHEN {' OR '.join(chosen.values())} "
-                                f"THEN {ascii_lower('content')} END AS {lower}")
+                                f"THEN {without_nel('content')} END AS {body}")
+    work = work.selectExpr("*", f"{ascii_lower(body)} AS {lower}")
     words = shared_words([r for r in rules if r.emits == PER_FILE])
-    plain = Text("content", lower)
+    plain = Text(body, lower)
     work = work.selectExpr("*", *[
         f"{lower} IS NOT NULL AND {plain.has_word(*key)} AS {_WORK}w{i}"
         for i, key in enumerate(words)])
 
-    text = Text("content", lower, {key: f"{_WORK}w{i}" for i, key in enumerate(words)})
+    text = Text(body, lower, {key: f"{_WORK}w{i}" for i, key in enumerate(words)})
     parts = []
     for pack in packs:
         inside = chosen.get(pack)

@@ -29,14 +29,13 @@ def query(fn: Query) -> Query:
 
 
 def _deps(spark, sf) -> Dependencies:
-    manifest = deps.latest_declared(corpus.raw_manifest(spark, sf))
-    return Dependencies(manifest, corpus.advisories(spark, sf),
+    return Dependencies(_manifest(spark, sf), corpus.advisories(spark, sf),
                         corpus.latest_versions(spark, sf), corpus.registry(spark, sf),
                         corpus.AS_OF)
 
 
 def _manifest(spark, sf) -> DataFrame:
-    return deps.latest_declared(corpus.raw_manifest(spark, sf))
+    return deps.latest_declared(balanced(corpus.raw_manifest(spark, sf)))
 
 
 def _found(spark, sf, packs) -> DataFrame:
