@@ -2,26 +2,56 @@
 
 from __future__ import annotations
 
+import os
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+_BATCH_BYTES = 16 << 20
+
 
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Whole texts below `root`, whose direct children are repositories.
+def read_tree(spark: SparkSession, root: str, tasks: int | None = None) -> DataFrame:
+    """Whole texts below a mounted folder whose direct children are repositories.
 
-    Unreadable files are skipped. The repository id is a hash of its folder name.
+    Spark's own file readers leave out names that begin with a dot or an underscore, which
+    would lose `.env`, `.github` or `__init__.py`. So tasks list the repositories, the
+    listed paths (names only) are dealt out evenly, and tasks read the texts. Unreadable
+    files are skipped. The repository id is a hash of its folder name.
     """
-    base = root.rstrip("/")
-    raw = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true") \
-        .option("ignoreMissingFiles", "true").text(base, wholetext=True)
-    full = F.regexp_replace(F.url_decode(F.regexp_replace(
-        F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")), "^file:/+", "/")),
-        "^/+", "/")
-    below = F.expr(f"substring(_full, length('{base}') + 2)")
-    return raw.select(full.alias("_full"), F.col("value").alias("content")) \
-        .withColumn("_below", below).select(
-            F.xxhash64(F.split_part("_below", F.lit("/"), F.lit(1))).alias("repo_id"),
-            F.regexp_replace("_below", "^[^/]*/", "").alias("path"),
-            F.col("_full").alias("abs_path"), "content")
+    root = os.path.abspath(root)
+    tasks = tasks or 4 * spark.sparkContext.defaultParallelism
+    names = [(e.name,) for e in os.scandir(root) if e.is_dir(follow_symlinks=False)]
+
+    def listing(batches):
+        for batch in batches:
+            for repo in batch["repo"]:
+                for folder, _, found in os.walk(os.path.join(root, repo)):
+                    full = [os.path.join(folder, f) for f in found]
+                    yield pd.DataFrame({"repo": repo, "abs_path": full}, dtype=str)
+
+    def reading(batches):
+        rows, size = [], 0
+        for batch in batches:
+            for repo, full in zip(batch["repo"], batch["abs_path"]):
+                try:
+                    with open(full, encoding="utf-8", errors="replace", newline="") as f:
+                        text = f.read()
+                except OSError:
+                    continue
+                rows.append((repo, full, text))
+                size += len(text)
+                if size > _BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=["repo", "abs_path", "content"], dtype=str)
+                    rows, size = [], 0
+        yield pd.DataFrame(rows, columns=["repo", "abs_path", "content"], dtype=str)
+
+    repos = spark.createDataFrame(names, "repo string").repartition(tasks)
+    paths = repos.mapInPandas(listing, "repo string, abs_path string").repartition(tasks)
+    texts = paths.mapInPandas(reading, "repo string, abs_path string, content string")
+    return texts.select(
+        F.xxhash64("repo").alias("repo_id"),
+        F.expr(f"substring(abs_path, length(repo) + {len(root) + 3})").alias("path"),
+        "abs_path", "content")
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
