@@ -226,10 +226,17 @@ class Text:
 
     def has_word(self, word: str, ignore_case: bool) -> str:
         known = self.shared.get((word, ignore_case))
-        return known or (f"contains({self.lowered if ignore_case else self.text}, "
-                         f"{quoted(word)})")
+        if known:
+            return known
+        test = f"contains({self.lowered if ignore_case else self.text}, {quoted(word)})"
+        # A shared word inside this one must be there too, and its test is free.
+        inner = max((w for w, case in self.shared if case == ignore_case and w in word),
+                    key=len, default=None)
+        return f"({self.shared[inner, ignore_case]} AND {test})" if inner else test
 
     def _any_word(self, words, ignore_case) -> str:
+        # A word that contains another one of the list adds nothing.
+        words = [w for w in words if not any(v != w and v in w for v in words)]
         return "(" + " OR ".join(self.has_word(w, ignore_case) for w in words) + ")"
 
     def matches(self, pattern: Pattern) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.lines import lines_of
 from ..functions.patterns import quoted
 from ..rules.catalog import FIXER_PACKS, rules_of
-from .scan import scan_files
+from .scan import explode_hits, scan_files
 
 MARKER = " // fixed by warpsift"
 _FIRST_LITERAL = quoted(r"""(?s)^(.*?)['"`][^'"`]+['"`]""")
@@ -61,13 +61,18 @@ def fix_summary(fixed: DataFrame) -> DataFrame:
                      F.count("*").cast("bigint").alias("files_fixed"))
 
 
-def fix_lines(files: DataFrame, findings: DataFrame) -> DataFrame:
-    """Findings with the text of their line.
+def fix_lines(files: DataFrame, packs=FIXER_PACKS) -> DataFrame:
+    """Findings that name a line, with the text of that line.
 
-    Only lines that have findings are matched: findings shuffle by file, while the join key
-    includes the line, so a file with very many findings still spreads.
+    The line is taken inside the file's own row, where the finding arises: texts are not
+    joined and not shuffled.
     """
-    wanted = findings.where("line > 0").select("repo_id", "path", "line", "rule_id", "match_ord")
-    lines = files.selectExpr("repo_id", "path", f"posexplode({lines_of('content')}) AS (i, text)") \
-        .selectExpr("repo_id", "path", "CAST(i + 1 AS BIGINT) AS line", "text")
-    return wanted.join(lines, ["repo_id", "path", "line"], "left")
+    scanned = scan_files(files, packs).selectExpr(
+        "repo_id", "path", f"{lines_of('content')} AS _lines",
+        "filter(hits, h -> h.line > 0) AS hits")
+    lined = scanned.selectExpr(
+        "repo_id", "path", "transform(hits, h -> named_struct('rule_no', h.rule_no, "
+        "'line', h.line, 'match_ord', h.match_ord, 'matched_text', h.matched_text, "
+        "'text', element_at(_lines, CAST(h.line AS INT)))) AS hits")
+    return explode_hits(lined, packs, hit_fields=("text",)).select(
+        "repo_id", "path", "line", "rule_id", "match_ord", "text")

@@ -231,7 +231,7 @@ def changed_files(spark, sf):
 
 @query
 def fix_lines(spark, sf):
-    return fixes.fix_lines(corpus.files(spark, sf), _found(spark, sf, ["secrets", "prompts"]))
+    return fixes.fix_lines(balanced(corpus.files(spark, sf)), ["secrets", "prompts"])
 
 
 # ---- aggregations -------------------------------------------------------------------
