@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import deps, env, fixes, ranking, reports
 from ..operators.enrich import compliance_enrich
 from ..operators.scan import balanced, explode_hits, scan_files
-from ..operators.select import ignore_paths, select_files, selector_counts
+from ..operators.select import select_files, selector_counts
 from ..rules.catalog import FILE_PACKS, JSON_REPORT_PACKS
 from ..schema import FINDING_COLUMNS
 from ..session import shared_dir

@@ -119,7 +119,8 @@ def changes_of(events: DataFrame) -> DataFrame:
     path = F.when((k == SAMPLE_SLOT) & (repo % 5 == 0), SAMPLE_PATH) \
         .otherwise(_pick([s[0] for s in SLOTS], k))
     op = F.coalesce(*[F.when(F.col("event_type") == e, o) for e, o in OPS.items()])
-    return events.select(F.col("ts").cast("timestamp").alias("ts"), repo.alias("repo_id"), path.alias("path"), op.alias("op"))
+    return events.select(F.col("ts").cast("timestamp").alias("ts"), repo.alias("repo_id"),
+                         path.alias("path"), op.alias("op"))
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
