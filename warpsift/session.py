@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,14 +31,17 @@ def build_session(master: str | None = None, **settings) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path under the cluster's shared folder.
+    """A fresh path under the folder that all executors share.
 
-    `spark.checkpoint.dir` names that folder. Only where it is unset (tests, one
-    machine) does a temporary folder stand in.
+    `spark.checkpoint.dir` names that folder. Where it is unset, one machine (a master of
+    `local`) uses a temporary folder of its own, as in tests; a cluster is refused, since
+    its executors would each write to their own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) \
         or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="warpsift-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
