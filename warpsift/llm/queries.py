@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op10_best_fit
 from .sharding import OP1_SQL, op1_interleave
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_interleave": op1_interleave,
+    "op10_best_fit": op10_best_fit,
 }
 
 ORACLES: dict[str, str] = {
