@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import OP8_SQL, op8_min_cost_mix
 from .packing import op10_best_fit
 from .sharding import OP1_SQL, op1_interleave
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_interleave": op1_interleave,
+    "op8_min_cost_mix": op8_min_cost_mix,
     "op10_best_fit": op10_best_fit,
 }
 
 ORACLES: dict[str, str] = {
     "op1_interleave": OP1_SQL,
+    "op8_min_cost_mix": OP8_SQL,
 }
