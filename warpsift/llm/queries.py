@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .mixing import OP8_SQL, op8_min_cost_mix
 from .packing import op10_best_fit
 from .sharding import OP1_SQL, op1_interleave
+from .toxicity import op9_subwords
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_interleave": op1_interleave,
     "op8_min_cost_mix": op8_min_cost_mix,
+    "op9_subwords": op9_subwords,
     "op10_best_fit": op10_best_fit,
 }
 
