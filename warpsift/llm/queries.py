@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import OP8_SQL, op8_min_cost_mix
 from .packing import op10_best_fit
+from .sentences import OP4_SQL, op4_sentence_spans
 from .sharding import OP1_SQL, op1_interleave
 from .toxicity import op9_subwords
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_interleave": op1_interleave,
+    "op4_sentence_spans": op4_sentence_spans,
     "op8_min_cost_mix": op8_min_cost_mix,
     "op9_subwords": op9_subwords,
     "op10_best_fit": op10_best_fit,
@@ -20,5 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_interleave": OP1_SQL,
+    "op4_sentence_spans": OP4_SQL,
     "op8_min_cost_mix": OP8_SQL,
 }
