@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import OP8_SQL, op8_min_cost_mix
+from .neardup import op7_dartminhash
 from .packing import op10_best_fit
 from .sentences import OP4_SQL, op4_sentence_spans
 from .sharding import OP1_SQL, op1_interleave
@@ -15,6 +16,7 @@ from .toxicity import op9_subwords
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_interleave": op1_interleave,
     "op4_sentence_spans": op4_sentence_spans,
+    "op7_dartminhash": op7_dartminhash,
     "op8_min_cost_mix": op8_min_cost_mix,
     "op9_subwords": op9_subwords,
     "op10_best_fit": op10_best_fit,
