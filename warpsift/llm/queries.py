@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .licenses import op3_notices
 from .mixing import OP8_SQL, op8_min_cost_mix
 from .neardup import op7_dartminhash
 from .packing import op10_best_fit
@@ -15,6 +16,7 @@ from .toxicity import op9_subwords
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_interleave": op1_interleave,
+    "op3_notices": op3_notices,
     "op4_sentence_spans": op4_sentence_spans,
     "op7_dartminhash": op7_dartminhash,
     "op8_min_cost_mix": op8_min_cost_mix,
