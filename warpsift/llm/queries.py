@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .fingerprints import op2_digest
 from .licenses import op3_notices
 from .mixing import OP8_SQL, op8_min_cost_mix
 from .neardup import op7_dartminhash
@@ -16,6 +17,7 @@ from .toxicity import op9_subwords
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_interleave": op1_interleave,
+    "op2_digest": op2_digest,
     "op3_notices": op3_notices,
     "op4_sentence_spans": op4_sentence_spans,
     "op7_dartminhash": op7_dartminhash,
