@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op6_adaptive_scan
 from .fingerprints import op2_digest
 from .licenses import op3_notices
 from .mixing import OP8_SQL, op8_min_cost_mix
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_digest": op2_digest,
     "op3_notices": op3_notices,
     "op4_sentence_spans": op4_sentence_spans,
+    "op6_adaptive_scan": op6_adaptive_scan,
     "op7_dartminhash": op7_dartminhash,
     "op8_min_cost_mix": op8_min_cost_mix,
     "op9_subwords": op9_subwords,
