@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op6_adaptive_scan
 from .fingerprints import op2_digest
+from .html import op5_main_text
 from .licenses import op3_notices
 from .mixing import OP8_SQL, op8_min_cost_mix
 from .neardup import op7_dartminhash
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_digest": op2_digest,
     "op3_notices": op3_notices,
     "op4_sentence_spans": op4_sentence_spans,
+    "op5_main_text": op5_main_text,
     "op6_adaptive_scan": op6_adaptive_scan,
     "op7_dartminhash": op7_dartminhash,
     "op8_min_cost_mix": op8_min_cost_mix,
