@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op6_adaptive_scan
@@ -28,10 +29,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_min_cost_mix": op8_min_cost_mix,
     "op9_subwords": op9_subwords,
     "op10_best_fit": op10_best_fit,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
     "op1_interleave": OP1_SQL,
     "op4_sentence_spans": OP4_SQL,
     "op8_min_cost_mix": OP8_SQL,
+    **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
 }

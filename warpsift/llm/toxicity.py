@@ -211,6 +211,20 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         run, "doc_id long, score double")
 
 
+def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of `docs`, whole, with a score below 0.5."""
+    cell = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known(cell.value)
+        for batch in batches:
+            scores = score_texts(batch.column(place).to_pylist(), cell.value, known)
+            yield batch.filter(pa.array(scores < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
