@@ -252,7 +252,7 @@ class Index:
         """
         rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         if self.empty:
-            return self.rows.withColumn("rank", F.lit(0))
+            return self.rows.selectExpr("query_id", "0 as rank", "vec_id", "score")
         probes = stored(self._probes(self.rows.where(queries), k), "probes")
         first = stored(self._scan(probes.where("first").withColumn(
             "limit", F.lit(float("inf"))), k), "first")

@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import column
 from .html_blocks import Block, blocks_of
 
-PAGES = 700
-ROUNDS = 150
+PAGES = 1200
+ROUNDS = 250
 RATE = 0.1
-PENALTY = 2e-4
+PENALTY = 3e-5
 SEED = 5
 
 _WORDS = re.compile(r"\w+")
@@ -181,7 +181,7 @@ class _Maker:
     def named(self, *names: str) -> str:
         """An attribute with one of the names, sometimes with more around it."""
         r = self.r
-        if r.random() < 0.15:
+        if r.random() < 0.04:
             return ""
         name = r.choice(names)
         name = r.choice([name, name, name, f"{name}-{self.words(1, 1)}", f"{self.words(1, 1)} {name}",
@@ -275,7 +275,7 @@ class _Maker:
                 lambda: f"<figure><img><figcaption>{self.say(True, 2, 15)}</figcaption></figure>",
                 self.linked,
             ], [12, 4, 2, 4, 3, 2, 1, 1, 1, 2, 1, 2])[0]())
-            if r.random() < 0.12:
+            if r.random() < 0.25:
                 out.append(self.any(self.advert, self.notice, self.sidebar, self.form))
         if r.random() < 0.15:
             out.append(self.comments())
@@ -289,7 +289,8 @@ class _Maker:
             lambda: f"<main><article>{inner}</article></main>", lambda: f"<main>{inner}</main>",
             lambda: f"<div{self.named('content', 'article', 'post', 'story', 'entry', 'body', 'text')}>{inner}</div>",
             lambda: f"<main{self.named('content', 'main')}><div{self.named('post', 'entry', 'article')}>{inner}</div></main>",
-            lambda: f"<section{self.named('content', 'article', 'story')}>{inner}</section>")
+            lambda: f"<section{self.named('content', 'article', 'story')}>{inner}</section>",
+            lambda: inner)
         before = r.sample([self.menu, self.header, self.notice, self.advert, self.form, self.sidebar],
                           r.randint(0, 4))
         behind = r.sample([self.comments, self.footer, self.sidebar, self.advert, self.form,

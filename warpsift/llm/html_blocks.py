@@ -9,7 +9,7 @@ space within a block becomes one space.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html import unescape
 
 _TOKEN = re.compile(
@@ -35,12 +35,12 @@ _HOLDS = frozenset("article aside blockquote body div dl fieldset figure footer
 @dataclass
 class Block:
     text: str
-    #: Names of the elements around it, from the outermost; and names in their attributes.
+    #: Names of the elements around it, from the outermost, without inline ones; and names in
+    #: the attributes of all of them.
     tags: tuple[str, ...]
     names: tuple[str, ...]
     #: Share of the text in links.
     links: float
-    parts: list = field(default_factory=list, repr=False)
 
 
 def blocks_of(html: str) -> list[Block]:
@@ -56,7 +56,7 @@ def blocks_of(html: str) -> list[Block]:
         if where is not None:
             text = _SPACE.sub(" ", unescape("".join(parts))).strip()
             if text:
-                out.append(Block(text, tuple(t for t, _ in where), tuple(
+                out.append(Block(text, tuple(t for t, _ in where if t not in _INLINE), tuple(
                     n for _, names in where for n in names), linked / max(size, 1)))
         parts.clear()
         where, linked, size = None, 0, 0
