@@ -5,7 +5,7 @@ Tokens flow from the patterns to the quotas of the sources: the first pass over
 free, each further pass costs more (1, 3, 5, ...), so that repetition is used only where
 quotas cannot be met otherwise, and is spread evenly. The flow of a pattern is then turned
 into documents: all of them as often as the flow covers the pattern whole, and for the rest a
-seeded choice of whole documents whose words come as near to it as one document allows.
+seeded choice of whole documents, the last few of them by size, so that their words come near it.
 
 Only one row per pattern reaches the driver. Patterns are bounded by the vocabulary of
 sources, not by the documents; more than `MAX_PATTERNS` is an error, never a cut.
@@ -29,6 +29,8 @@ SEED = 20240131
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
 MAX_PATTERNS = 100_000
+#: Documents chosen by size, per pattern, to close the gap that the seeded choice leaves.
+FILLS = 3
 
 
 def words_of(text: Column) -> Column:
@@ -154,19 +156,23 @@ def mix(docs: DataFrame, size: Column, members: Column, order: list[str],
     wanted = summed.join(F.broadcast(plan), "_pattern").withColumns({
         "_times": F.expr("if(_upto_all = 0, 0, flow div _upto_all)"),
         "_rest": F.expr("if(_upto_all = 0, 0, flow % _upto_all)")})
-    # The seeded documents up to the rest; then the largest other one that still fits.
-    fitting = wanted.groupBy("_pattern").agg(F.max(F.expr(
-        "if(_upto <= _rest, _upto, 0)")).alias("_filled"))
-    gaps = wanted.join(F.broadcast(fitting), "_pattern").where(
-        "_upto > _rest and _size > 0 and _size <= _rest - _filled")
-    last = gaps.groupBy("_pattern").agg(F.min(F.struct(
-        (-F.col("_size")).alias("s"), "_h", *ids)).alias("_last"))
-    chosen = wanted.join(F.broadcast(last), "_pattern", "left")
-    same = F.col("_last.s").eqNullSafe(-F.col("_size"))
-    for c in ("_h", *ids):
-        same = same & F.col(f"_last.{c}").eqNullSafe(F.col(c))
-    more = (F.col("_upto") <= F.col("_rest")) | F.coalesce(same, F.lit(False)) & (
-        F.col("_upto") > F.col("_rest")) & (F.col("_size") > 0)
+    # The seeded documents up to the rest; then, a few times, the one that closes the gap best.
+    chosen = wanted.withColumn("_more", F.col("_upto") <= F.col("_rest"))
+    for turn in range(FILLS):
+        gaps = chosen.groupBy("_pattern").agg((F.first("_rest") - F.sum(
+            F.when(F.col("_more"), F.col("_size")).otherwise(0))).alias("_gap"))
+        open_ = chosen.where("not _more and _size > 0").join(F.broadcast(gaps), "_pattern")
+        # Only the last may go beyond the gap, if that brings it nearer.
+        fits = "_size <= _gap" if turn < FILLS - 1 else "_size < 2 * _gap"
+        last = open_.where(fits).groupBy("_pattern").agg(F.min(F.struct(
+            F.abs(F.col("_gap") - F.col("_size")).alias("s"), "_h", *ids)).alias("_last"))
+        same = F.col("_size") > 0
+        for c in ("_h", *ids):
+            same = same & F.col(f"_last.{c}").eqNullSafe(F.col(c))
+        chosen = chosen.join(F.broadcast(last), "_pattern", "left").withColumn(
+            "_more", F.col("_more") | F.coalesce(F.col("_last").isNotNull() & same, F.lit(False))
+        ).drop("_last")
+    more = F.col("_more")
     copies = (F.col("_times") + F.when(more, 1).otherwise(0)).cast("int")
     return chosen.select(
         *[F.col(n).alias(c) for n, c in zip(names, docs.columns)], F.col("_size").alias("size"),
@@ -188,6 +194,23 @@ def op8_min_cost_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "target", "taken")
 
 
+def _fill_sql(turn: int) -> str:
+    """One more document per source: the one that closes the gap best."""
+    table = f"taken{turn - 1}" if turn else "(SELECT *, upto <= rest AS more FROM ordered)"
+    fits = "size <= gap" if turn < FILLS - 1 else "size < 2 * gap"
+    return f""",
+gap{turn} AS (
+  SELECT *, rest - sum(CASE WHEN more THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap
+  FROM {table}),
+fit{turn} AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY abs(gap - size), h, doc_id) AS r
+  FROM gap{turn} WHERE NOT more AND size > 0 AND {fits}),
+taken{turn} AS (
+  SELECT g.* EXCLUDE (gap, more), more OR f.doc_id IS NOT NULL AS more
+  FROM gap{turn} g LEFT JOIN (SELECT doc_id FROM fit{turn} WHERE r = 1) f
+    ON g.doc_id = f.doc_id)"""
+
+
 OP8_SQL = f"""
 WITH docs AS (
   SELECT doc_id::BIGINT AS doc_id, source,
@@ -224,15 +247,9 @@ ordered AS (
     CASE WHEN q.source_size = 0 THEN 0 ELSE floor(q.target)::BIGINT % q.source_size END AS rest,
     sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id
       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS upto
-  FROM docs d JOIN quotas q ON d.source IS NOT DISTINCT FROM q.source),
-gaps AS (
-  SELECT *, rest - max(CASE WHEN upto <= rest THEN upto ELSE 0 END) OVER (PARTITION BY source)
-    AS gap FROM ordered),
-last AS (
-  SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY size DESC, h, doc_id) AS r
-  FROM gaps WHERE upto > rest AND size > 0 AND size <= gap)
-SELECT g.doc_id, g.source, g.size, g.source_size, g.target,
-  (g.size * (times + CASE WHEN upto <= rest OR l.doc_id IS NOT NULL THEN 1 ELSE 0 END))::BIGINT
-    AS taken
-FROM gaps g LEFT JOIN (SELECT doc_id FROM last WHERE r = 1) l ON g.doc_id = l.doc_id
+  FROM docs d JOIN quotas q ON d.source IS NOT DISTINCT FROM q.source)
+{''.join(map(_fill_sql, range(FILLS)))}
+SELECT doc_id, source, size, source_size, target,
+  (size * (times + CASE WHEN more THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM taken{FILLS - 1}
 """
