@@ -13,7 +13,7 @@ import re
 import sys
 import time
 
-from warpsift.operators.scan import balanced, explode_hits, scan_files
+from warpsift.operators.scan import explode_hits, scan_files
 from warpsift.plans.queries import QUERIES
 from warpsift.rules.catalog import FILE_PACKS
 from warpsift.session import build_session
@@ -45,7 +45,7 @@ def main() -> None:
 
     def one_pass():
         files = corpus.files(spark, sf_dir)
-        return explode_hits(scan_files(balanced(files), FILE_PACKS), FILE_PACKS)
+        return explode_hits(scan_files(files, FILE_PACKS), FILE_PACKS)
 
     first, warm = {"single_pass": timed(one_pass)}, {}
     warm["single_pass"] = timed(one_pass)
@@ -56,7 +56,7 @@ def main() -> None:
 
     def per_pack(pack):
         files = corpus.files(spark, sf_dir)
-        return timed(lambda: explode_hits(scan_files(balanced(files), [pack]), [pack]))
+        return timed(lambda: explode_hits(scan_files(files, [pack]), [pack]))
 
     apart = round(sum(per_pack(p) for p in FILE_PACKS), 3)
     rows, size = corpus.files(spark, sf_dir).selectExpr(

@@ -8,6 +8,7 @@ from warpsift.functions.versions import version_key
 from warpsift.operators import deps, env, fixes, joins
 from warpsift.operators.enrich import compliance_enrich
 from warpsift.operators.select import selected
+from warpsift.plans.audit import audit
 from warpsift.sources import corpus, files as sources
 from warpsift.streaming import watch
 
@@ -92,14 +93,14 @@ def test_environment_files(files_of):
         (8, 'X="a$b=c"')])
     stats = env.env_file_stats(files).first()
     assert (stats["total_lines"], stats["valid_entries"], stats["issues"]) == (8, 4, 5)
-    assert {r["rule_id"]: r["title"] for r in env.env_repo_findings(files).collect()} == {
+    assert {r["rule_id"]: r["title"] for r in audit(files, ["env"]).collect()} == {
         "gitignore_missing": "Environment file is not ignored by version control",
         "no_env_example": "No sample environment file",
         "env_format": "5 formatting issue(s) in the environment file"}
 
 
 def test_repository_without_interesting_files_still_lacks_them(files_of):
-    rows = env.env_repo_findings(files_of({"readme.txt": "hi"})).collect()
+    rows = audit(files_of({"readme.txt": "hi"}), ["env"]).collect()
     assert {r["rule_id"] for r in rows} == {"gitignore_missing", "no_env_example"}
 
 
@@ -154,12 +155,12 @@ def test_stream_equals_batch(spark, tmp_path):
     """Changes arriving in several files give the ticks one batch job gives."""
     sf = "/root/testdata/sf0.01"
     changes, files = corpus.changes(spark, sf), corpus.files(spark, sf)
-    changes.repartitionByRange(4, "ts").sortWithinPartitions("ts") \
-        .write.parquet(str(tmp_path / "in"))
+    # In no order of time, so that most of them are late.
+    changes.repartition(4, "path").write.parquet(str(tmp_path / "in"))
     arriving = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1) \
         .parquet(str(tmp_path / "in"))
     query = watch.watch_stream(arriving, files, str(tmp_path / "out"), str(tmp_path / "cp"),
-                               "1 day", lateness="60 days", trigger={"availableNow": True})
+                               "1 day", trigger={"availableNow": True})
     query.awaitTermination()
     stream = watch.watched(spark, str(tmp_path / "out"))
     batch = watch.scan_ticks(watch.ticks(changes, "1 day"), files)

@@ -22,14 +22,15 @@ def hit(rule_no: int, line, match_ord="0", matched="NULL") -> str:
             f"'matched_text', CAST({matched} AS STRING))")
 
 
-def hit_per_match(text: str, pattern: Pattern, rule_no: int, chars: int) -> str:
+def hit_per_match(text: str, pattern: Pattern, rule_no: int, chars: int | None) -> str:
     """Array of hits, one per match; the pattern must not span lines."""
     # The test first: collecting matches may go back over a line, the test does not.
     found = (f"flatten(array_compact(transform({lines_of(text)}, (line, i) -> "
              f"CASE WHEN {without_nel('line')} RLIKE {quoted(linear_regex(pattern))} THEN "
              f"transform({find_all('line', pattern)}, "
              f"m -> named_struct('line', i + 1, 'm', m)) END)))")
-    return f"transform({found}, (x, k) -> {hit(rule_no, 'x.line', 'k', f'left(x.m, {chars})')})"
+    matched = "x.m" if chars is None else f"left(x.m, {chars})"
+    return f"transform({found}, (x, k) -> {hit(rule_no, 'x.line', 'k', matched)})"
 
 
 def match_lines(text: str, regex: str) -> str:

@@ -10,8 +10,7 @@ from ..rules.catalog import PACK_ORDER
 from ..rules.env import (ISSUE_KEY, ISSUE_QUOTES, ISSUE_SPACES, KEY_FORM, PACK, QUOTED, SPACED,
                          UNQUOTED)
 from ..schema import FINDING_COLUMNS
-from .scan import finding_id, scan_files
-from .select import selected
+from .scan import finding_id
 
 ENV, SAMPLE, GITIGNORE = ".env", ".env.example", ".gitignore"
 _RULES = {r.rule_id: (i, r) for i, r in enumerate(PACK.rules)}
@@ -65,33 +64,33 @@ def env_file_stats(files: DataFrame) -> DataFrame:
         f"CAST(size({format_issues('content')}) AS BIGINT) AS issues")
 
 
-_FACTS = (f"max(path = '{ENV}') AS env_exists",
-          f"max(path = '{GITIGNORE}' AND contains(content, '{ENV}')) AS env_in_gitignore",
-          f"max(path = '{SAMPLE}') AS env_example_exists")
-
-
 def env_config_status(files: DataFrame) -> DataFrame:
-    """Which environment files a repository has. Combined before the shuffle."""
-    facts = files.groupBy("repo_id").agg(*[F.expr(f) for f in _FACTS])
-    return facts.select("*", F.col("env_exists").alias("has_validation"))
-
-
-def env_repo_findings(files: DataFrame) -> DataFrame:
-    """The four repository-level findings. Only five cheap rules run here, once per file."""
-    wanted = files.where(f"path IN ('{ENV}', '{GITIGNORE}', '{SAMPLE}') OR {selected('env')}")
-    scanned = scan_files(wanted, ["env"])
-    facts = scanned.select("repo_id", "path", F.expr(
-        f"path = '{GITIGNORE}' AND contains(content, '{ENV}')").alias("ignored"),
-        F.expr(f"CASE WHEN path = '{ENV}' THEN size({format_issues('content')}) END")
-        .alias("n_issues"), F.size("hits").alias("n_hits")) \
-        .groupBy("repo_id").agg(
-            F.expr(f"max(path = '{ENV}')").alias("env_exists"), F.max("ignored").alias("ignored"),
-            F.expr(f"max(path = '{SAMPLE}')").alias("sample"), F.max("n_issues").alias("n_issues"),
-            F.sum("n_hits").alias("n_hits"))
-    # A repository none of whose files is of interest still lacks both files.
-    facts = files.select("repo_id").distinct().join(facts, "repo_id", "left") \
-        .na.fill({"env_exists": False, "ignored": False, "sample": False,
-                  "n_issues": 0, "n_hits": 0})
+    """Which environment files a repository has, from the paths; texts of .gitignore only."""
+    there = files.groupBy("repo_id").agg(
+        F.expr(f"max(path = '{ENV}')").alias("env_exists"),
+        F.expr(f"max(path = '{SAMPLE}')").alias("env_example_exists"))
+    listed = files.where(F.col("path") == GITIGNORE).groupBy("repo_id").agg(
+        F.expr(f"max(contains(content, '{ENV}'))").alias("_listed"))
+    return there.join(listed, "repo_id", "left").select(
+        "repo_id", "env_exists", F.coalesce("_listed", F.lit(False)).alias("env_in_gitignore"),
+        "env_example_exists", F.col("env_exists").alias("has_validation"))
+
+
+def file_facts(numbers: list[int]) -> list:
+    """What the repository rules need of a scanned file; `numbers`: the pack's rule numbers."""
+    mine = f"h.rule_no IN ({', '.join(map(str, numbers))})" if numbers else "false"
+    return [F.expr(f"path = '{GITIGNORE}' AND contains(content, '{ENV}')").alias("_ignored"),
+            F.expr(f"CASE WHEN path = '{ENV}' THEN size({format_issues('content')}) END")
+            .alias("_issues"), F.expr(f"size(filter(hits, h -> {mine}))").alias("_env_hits")]
+
+
+def env_repo_findings(passed: DataFrame) -> DataFrame:
+    """The four repository-level findings, from the facts of all files of a pass."""
+    facts = passed.groupBy("repo_id").agg(
+        F.expr(f"max(path = '{ENV}')").alias("env_exists"), F.max("_ignored").alias("ignored"),
+        F.expr(f"max(path = '{SAMPLE}')").alias("sample"),
+        F.coalesce(F.max("_issues"), F.lit(0)).alias("n_issues"),
+        F.sum("_env_hits").alias("n_hits")).na.fill({"ignored": False})
     cases = [("gitignore_missing", "NOT ignored", GITIGNORE),
              ("no_env_example", "NOT sample", SAMPLE),
              ("env_missing", "NOT env_exists AND n_hits > 0", ENV),

@@ -177,8 +177,11 @@ def required_files_check(files: DataFrame) -> DataFrame:
     """ok, missing or optional per repository and expected file; warns if .gitignore does
     not list the environment file."""
     has = [F.max(F.col("path") == p).alias(f"_{i}") for i, (p, _) in enumerate(REQUIRED_FILES)]
-    open_ignore = F.expr(f"max(path = '{GITIGNORE}' AND NOT contains(content, '{ENV}'))")
-    facts = files.groupBy("repo_id").agg(*has, open_ignore.alias("_open"))
+    # Presence comes from the paths; the only texts read are those of .gitignore.
+    unlisted = files.where(F.col("path") == GITIGNORE).groupBy("repo_id").agg(
+        F.expr(f"max(NOT contains(content, '{ENV}'))").alias("_unlisted"))
+    facts = files.groupBy("repo_id").agg(*has).join(unlisted, "repo_id", "left").withColumn(
+        "_open", F.coalesce("_unlisted", F.lit(False)))
     rows = ", ".join(
         f"named_struct('path', '{p}', 'required', {str(need).lower()}, "
         f"'status', CASE WHEN _{i} THEN 'ok' ELSE '{'missing' if need else 'optional'}' END, "

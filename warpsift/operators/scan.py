@@ -13,7 +13,7 @@ from ..functions.patterns import (Text, ascii_lower, flagged, quoted, shared_wor
                                   without_nel)
 from ..rules.base import PER_FILE, PER_MATCH, Pattern, Rule
 from ..rules.catalog import FILE_PACKS, PACK_ORDER, rules_of
-from ..rules.prompts import COMMENT_PREFIX, MATCH_CHARS
+from ..rules.prompts import COMMENT_PREFIX
 from ..schema import FINDING_COLUMNS
 from ..session import constant_table
 from .iac import docker_hits, workflow_hits
@@ -25,15 +25,6 @@ _WORK = "_scan_"
 _EXTRA_SELECTORS = {"prompts": ["prompts", "comments"], "iac": ["dockerfiles", "workflows"]}
 
 
-def balanced(files: DataFrame) -> DataFrame:
-    """Spread the texts over all cores when the input has fewer splits than cores.
-
-    Large inputs have far more splits than cores and pass through unchanged.
-    """
-    cores = files.sparkSession.sparkContext.defaultParallelism
-    return files if files.rdd.getNumPartitions() >= cores else files.repartition(cores)
-
-
 def _condition(rule: Rule, text: Text) -> str:
     """SQL test of a rule, in the order written: cheap path tests first."""
     def on_path(pattern):
@@ -89,7 +80,7 @@ def scan_files(files: DataFrame, packs=FILE_PACKS, extra_rules=(), select=True)
         for no, r in by_pack[pack]:
             if r.emits == PER_MATCH:
                 parts.append(f"CASE WHEN {inside} AND {plain.matches(r.all_of[0])} THEN "
-                             f"{hit_per_match('content', r.all_of[0], no, MATCH_CHARS)} END")
+                             f"{hit_per_match('content', r.all_of[0], no, r.match_chars)} END")
         numbers = {r.rule_id: no for no, r in by_pack[pack]}
         special = {}
         if pack == "prompts":

@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 
 from ..operators import deps, env
-from ..operators.scan import balanced, explode_hits, scan_files
+from ..operators.scan import explode_hits, scan_files
 from ..operators.select import ignore_paths
-from ..rules.catalog import SCANS
+from ..rules.catalog import PACK_ORDER, SCANS, rules_of
+from ..session import shared_dir
 
 
 @dataclass
@@ -28,27 +29,39 @@ class Dependencies:
                                         self.registry, self.as_of)
 
 
+def _passed(scanned: DataFrame, packs, extra_rules) -> DataFrame:
+    """The hits of every file and what repository rules need, stored: the texts' one pass."""
+    rules = rules_of([p for p in PACK_ORDER if p in set(packs)], extra_rules)
+    numbers = [i for i, r in enumerate(rules) if r.pack == "env"]
+    table = scanned.select("repo_id", "path", "hits", *env.file_facts(numbers))
+    path = shared_dir(scanned.sparkSession, "pass")
+    table.write.parquet(path)
+    return scanned.sparkSession.read.schema(table.schema).parquet(path)
+
+
 def audit(files: DataFrame, packs=SCANS, dependencies: Dependencies | None = None,
           extra_rules=(), ignore=()) -> DataFrame:
     """Findings of the requested packs.
 
-    All file packs share one pass over the texts. Ignore globs reach the secret scan only,
-    as in the command the option belongs to. Write the result to a table before drawing
-    several reports from it.
+    All file packs share one pass over the texts. With the `env` pack its hits (keys and
+    matches, no texts) are stored in the shared folder when this is called, since findings
+    of files and of repositories are both drawn from them. Ignore globs reach the secret
+    scan only, as in the command the option belongs to. Write the result to a table before
+    drawing several reports from it.
     """
     packs = list(packs)
     parts = []
     together = [p for p in packs if p != "deps" and not (ignore and p == "secrets")]
     if together:
-        spread = balanced(files)
-        parts.append(explode_hits(scan_files(spread, together, extra_rules), together,
-                                  extra_rules))
+        scanned = scan_files(files, together, extra_rules)
+        if "env" in together:
+            scanned = _passed(scanned, together, extra_rules)
+            parts.append(env.env_repo_findings(scanned))
+        parts.append(explode_hits(scanned, together, extra_rules))
     if ignore and "secrets" in packs:
-        kept = balanced(ignore_paths(files, ignore))
+        kept = ignore_paths(files, ignore)
         parts.append(explode_hits(scan_files(kept, ["secrets"], extra_rules), ["secrets"],
                                   extra_rules))
-    if "env" in packs:
-        parts.append(env.env_repo_findings(files))
     if "deps" in packs and dependencies is not None:
         parts.append(dependencies.findings())
     return reduce(DataFrame.unionByName, parts)

@@ -22,8 +22,8 @@ from ..rules.catalog import (ADVISORY_SEVERITY, COMPLIANCE, DASHBOARD_PACKS, FIL
 from ..rules.matrix import THREAT_ROWS
 from ..rules.prompts import COMMENT_PREFIX, COMMENTS, MATCH_CHARS
 from ..schema import FINDING_COLUMNS
-from ..sources.corpus import AS_OF, NAMED, OPS, PHRASES, WATCHED_DOCS
-from ..sources.slots import ENV_SLOT, SAMPLE_PATH, SAMPLE_SLOT, SLOTS
+from ..sources.corpus import AS_OF, NAMED, OPS, PHRASES
+from ..sources.slots import ENV_SLOT, NO_ENV_PATH, SAMPLE_PATH, SAMPLE_SLOT, SLOTS
 from ..streaming.watch import IGNORED
 
 NL = "chr(10)"
@@ -99,18 +99,26 @@ _SLOT_ROWS = ", ".join(f"({i}, {q(p)}, {q(s)}, {q(c)}, {q(more)})"
 
 def _slot_path(k, repo):
     return (f"CASE WHEN {k} = {SAMPLE_SLOT} AND {repo} % 5 = 0 THEN {q(SAMPLE_PATH)} "
-            "ELSE s.path END")
+            f"WHEN {k} = {ENV_SLOT} AND {repo} % 4 = 0 THEN {q(NO_ENV_PATH)} ELSE s.path END")
+
+
+_COMMENTED = f"{NL} || '# ' || replace(text, {NL}, {NL} || '# ')"
+_DOCS = "(SELECT count(*) FROM documents)"
 
 
 CTE: dict[str, str] = {
-    "slots": f"SELECT * FROM (VALUES {_SLOT_ROWS}) v(k, path, dirty, clean, more)",
+    "slots": f"SELECT * FROM (VALUES {_SLOT_ROWS}) v(k, path, dirty, clean, form)",
     "files": f"""SELECT doc_id, repo_id, path, '/corpus/r' || repo_id || '/' || path AS abs_path,
-        CASE WHEN more THEN base || {NL} || text ELSE base END AS content
-        FROM (SELECT d.doc_id, d.doc_id // 24 AS repo_id, d.text, s.more,
+        CASE form WHEN 'comment' THEN base || {_COMMENTED}
+        WHEN 'env' THEN base || {NL} || 'KEY_' || repo_id % 97 || '=' || doc_id || {_COMMENTED}
+        WHEN 'json' THEN rtrim(replace(base, '"dependencies":{{', '"dependencies":{{"lib-' ||
+            repo_id % 997 || '":"' || (1 + doc_id % 5) || '.' || doc_id % 10 || '.0",')[:-2]) ||
+            ',"about":"' || regexp_replace(text, '["\\\x00-\x1f]', ' ', 'g') || '"}}'
+        ELSE base || {NL} || text END AS content
+        FROM (SELECT d.doc_id, d.doc_id // 24 AS repo_id, coalesce(d.text, '') AS text, s.form,
                 {_slot_path('s.k', '(d.doc_id // 24)')} AS path,
                 CASE WHEN (d.doc_id // 24) % 3 <> 0 THEN s.dirty ELSE s.clean END AS base
-              FROM documents d JOIN slots s ON d.doc_id % 24 = s.k
-              WHERE NOT (s.k = {ENV_SLOT} AND (d.doc_id // 24) % 4 = 0))""",
+              FROM documents d JOIN slots s ON d.doc_id % 24 = s.k)""",
     "page_files": """SELECT CAST(1 AS BIGINT) AS repo_id, 'pages/p' || page_id || '.js' AS path,
         '/corpus/pages/pages/p' || page_id || '.js' AS abs_path,
         concat_ws(chr(10), url, html) AS content FROM pages""",
@@ -140,10 +148,10 @@ CTE: dict[str, str] = {
     "latest": "SELECT package, (3 + p_size % 6) || '.0.0' AS latest FROM parts",
     "changed": """SELECT repo_id, path, (['A','C','M','D','R'])[doc_id % 5 + 1] AS status
         FROM files""",
-    "changes": f"""SELECT e.ts, (e.user_id % {WATCHED_DOCS}) // 24 AS repo_id,
-        {_slot_path('s.k', f'((e.user_id % {WATCHED_DOCS}) // 24)')} AS path,
+    "changes": f"""SELECT e.ts, (e.user_id % {_DOCS}) // 24 AS repo_id,
+        {_slot_path('s.k', f'((e.user_id % {_DOCS}) // 24)')} AS path,
         CASE event_type {' '.join(f"WHEN '{e}' THEN '{o}'" for e, o in OPS.items())} END AS op
-        FROM events e JOIN slots s ON (e.user_id % {WATCHED_DOCS}) % 24 = s.k""",
+        FROM events e JOIN slots s ON (e.user_id % {_DOCS}) % 24 = s.k""",
     "due": f"""SELECT DISTINCT strftime(date_trunc('day', ts), '%Y-%m-%d') AS tick, repo_id, path
         FROM changes WHERE op IN ('add', 'change')
         AND NOT regexp_matches(path, {q(IGNORED)})""",
@@ -182,7 +190,7 @@ def _row(no, line, match_ord="0", matched="NULL") -> str:
 
 def _per_match(r: Rule, no: int, source: str) -> str:
     return f"""{_row(no, 'i', 'row_number() OVER (PARTITION BY repo_id, path ORDER BY i, j) - 1',
-                     f'ms[j][1:{MATCH_CHARS}]')}
+                     f'ms[j][1:{r.match_chars}]' if r.match_chars else 'ms[j]')}
         FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS j
               FROM (SELECT *, regexp_extract_all(ls[i], {rx(r.all_of[0])}) AS ms
                     FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i
@@ -483,11 +491,11 @@ def _queries() -> dict[str, tuple]:
         "scan_toggles": (["owasp", "headers", "iac"], False,
                          f"SELECT pack, {_N} AS findings FROM found GROUP BY pack"),
         "quick_scan": (["secrets"], False, f"SELECT {_COLS} FROM found"),
-        "quiet_filter": (["auth", "iac"], False, """SELECT repo_id, path, rule_id, severity, line
+        "quiet_filter": (FILE_PACKS, False, """SELECT repo_id, path, rule_id, severity, line
             FROM found WHERE severity = 'critical'"""),
-        "explain_candidates": (["auth", "api", "headers"], False, """SELECT repo_id, path,
+        "explain_candidates": (FILE_PACKS, False, """SELECT repo_id, path,
             rule_id, severity, line FROM found WHERE severity IN ('critical', 'high')"""),
-        "fixable_filter": (["headers", "api"], False,
+        "fixable_filter": (FIXER_PACKS, False,
                            "SELECT repo_id, path, rule_id, line FROM found WHERE line > 0"),
         "merge_dependency_maps": (None, False, """SELECT repo_id, CAST(count(*) AS BIGINT)
             AS packages, string_agg(package || '@' || version, ',' ORDER BY package || '@'
@@ -507,13 +515,13 @@ def _queries() -> dict[str, tuple]:
             AS framework FROM raw_manifest JOIN (VALUES {', '.join(
                 f'({q(p)}, {q(f)}, {n})' for p, f, n in FRAMEWORKS)})
             w(package, framework, priority) USING (package) GROUP BY 1) USING (repo_id)"""),
-        "compliance_enrich_findings": ([*js, "iac", "headers"], False, """SELECT repo_id, path,
+        "compliance_enrich_findings": (FILE_PACKS, False, """SELECT repo_id, path,
             rule_id, match_ord, owasp, mitre, nist FROM found LEFT JOIN compliance
             USING (owasp)"""),
         "changed_files": (None, False, f"""SELECT {_COLS} FROM (
             {findings(['secrets'], everything=True)}) JOIN changed USING (repo_id, path)
             WHERE status IN ('A', 'C', 'M')"""),
-        "fix_lines": (["secrets", "prompts"], False, f"""SELECT repo_id, path, line, rule_id,
+        "fix_lines": (FIXER_PACKS, False, f"""SELECT repo_id, path, line, rule_id,
             match_ord, (string_split(content, {NL}))[line] AS text FROM found
             JOIN files USING (repo_id, path) WHERE line > 0"""),
         "all_findings": (*_FULL, f"SELECT {_COLS} FROM found"),
@@ -559,12 +567,12 @@ def _queries() -> dict[str, tuple]:
             remediation, total AS repo_total, {_GRADE}, critical, high,
             shown - critical - high AS rest FROM found LEFT JOIN compliance USING (owasp)
             JOIN tiles USING (repo_id) WHERE pack IN {_list(DASHBOARD_PACKS)}"""),
-        "pack_severity": (["auth", "api", "iac"], False, f"""SELECT pack, CASE WHEN c IS NULL
+        "pack_severity": (*_FULL, f"""SELECT pack, CASE WHEN c IS NULL
             THEN 'none' WHEN c THEN 'critical' WHEN h THEN 'high' ELSE 'medium' END AS severity
             FROM (SELECT unnest([{', '.join(q(p) for p in (*FILE_PACKS, 'deps'))}]) AS pack)
             LEFT JOIN (SELECT pack, bool_or(severity = 'critical') AS c,
             bool_or(severity = 'high') AS h FROM found GROUP BY 1) USING (pack)"""),
-        "scans_performed": (["secrets", "owasp", "auth"], False, f"""SELECT pack,
+        "scans_performed": (js, False, f"""SELECT pack,
             coalesce(n, 0) AS findings FROM (SELECT unnest([{', '.join(map(q, js))}]) AS pack)
             LEFT JOIN (SELECT pack, {_N} AS n FROM found GROUP BY 1) USING (pack)"""),
         "prompt_files_scanned": (None, False, f"""SELECT repo_id, {_sum(selected('prompts'))}

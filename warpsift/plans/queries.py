@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import deps, env, fixes, ranking, reports
 from ..operators.enrich import compliance_enrich
-from ..operators.scan import balanced, explode_hits, scan_files
+from ..operators.scan import explode_hits, scan_files
 from ..operators.select import select_files, selector_counts
-from ..rules.catalog import FILE_PACKS, JSON_REPORT_PACKS
+from ..rules.catalog import FILE_PACKS, FIXER_PACKS, JSON_REPORT_PACKS
 from ..schema import FINDING_COLUMNS
 from ..session import shared_dir
 from ..sources import corpus, files as sources, sinks
@@ -35,7 +35,7 @@ def _deps(spark, sf) -> Dependencies:
 
 
 def _manifest(spark, sf) -> DataFrame:
-    return deps.latest_declared(balanced(corpus.raw_manifest(spark, sf)))
+    return deps.latest_declared(corpus.raw_manifest(spark, sf))
 
 
 def _found(spark, sf, packs) -> DataFrame:
@@ -135,13 +135,13 @@ def dashboard_table(spark, sf):
 @query
 def pages_owasp(spark, sf):
     pages = corpus.page_files(spark, sf)
-    return _out(explode_hits(scan_files(balanced(pages), ["owasp"]), ["owasp"]))
+    return _out(explode_hits(scan_files(pages, ["owasp"]), ["owasp"]))
 
 
 @query
 def talk_prompts(spark, sf):
     talk = corpus.talk_files(spark, sf)
-    return _out(explode_hits(scan_files(balanced(talk), ["prompts"]), ["prompts"]))
+    return _out(explode_hits(scan_files(talk, ["prompts"]), ["prompts"]))
 
 
 # ---- predicates ---------------------------------------------------------------------
@@ -159,19 +159,19 @@ def quick_scan(spark, sf):
 
 @query
 def quiet_filter(spark, sf):
-    return reports.quiet(_found(spark, sf, ["auth", "iac"])).select(
+    return reports.quiet(_found(spark, sf, FILE_PACKS)).select(
         "repo_id", "path", "rule_id", "severity", "line")
 
 
 @query
 def explain_candidates(spark, sf):
-    return reports.explain_candidates(_found(spark, sf, ["auth", "api", "headers"])).select(
+    return reports.explain_candidates(_found(spark, sf, FILE_PACKS)).select(
         "repo_id", "path", "rule_id", "severity", "line")
 
 
 @query
 def fixable_filter(spark, sf):
-    return reports.fixable(_found(spark, sf, ["headers", "api"])).select(
+    return reports.fixable(_found(spark, sf, FIXER_PACKS)).select(
         "repo_id", "path", "rule_id", "line")
 
 
@@ -220,7 +220,7 @@ def framework_of_repo(spark, sf):
 
 @query
 def compliance_enrich_findings(spark, sf):
-    return compliance_enrich(_found(spark, sf, [*JSON_REPORT_PACKS, "iac", "headers"])).select(
+    return compliance_enrich(_found(spark, sf, FILE_PACKS)).select(
         "repo_id", "path", "rule_id", "match_ord", "owasp", "mitre", "nist")
 
 
@@ -231,7 +231,7 @@ def changed_files(spark, sf):
 
 @query
 def fix_lines(spark, sf):
-    return fixes.fix_lines(balanced(corpus.files(spark, sf)), ["secrets", "prompts"])
+    return fixes.fix_lines(corpus.files(spark, sf))
 
 
 # ---- aggregations -------------------------------------------------------------------
@@ -248,7 +248,7 @@ def category_summary(spark, sf):
 
 @query
 def pack_severity(spark, sf):
-    return reports.pack_severity(_found(spark, sf, ["auth", "api", "iac"]))
+    return reports.pack_severity(_everything(spark, sf))
 
 
 @query
@@ -273,7 +273,7 @@ def report_rollup(spark, sf):
 
 @query
 def scans_performed(spark, sf):
-    return reports.scans_performed(_found(spark, sf, ["secrets", "owasp", "auth"]))
+    return reports.scans_performed(_found(spark, sf, JSON_REPORT_PACKS))
 
 
 @query
@@ -364,24 +364,24 @@ def remediation_queue(spark, sf):
 
 @query
 def context_window(spark, sf):
-    return ranking.context_window(balanced(corpus.files(spark, sf)))
+    return ranking.context_window(corpus.files(spark, sf))
 
 
 @query
 def fix_order(spark, sf):
-    return ranking.fix_order(balanced(corpus.files(spark, sf)))
+    return ranking.fix_order(corpus.files(spark, sf))
 
 
 # ---- rewriting ----------------------------------------------------------------------
 
 @query
 def apply_fixes(spark, sf):
-    return fixes.apply_fixes(balanced(corpus.files(spark, sf)))
+    return fixes.apply_fixes(corpus.files(spark, sf))
 
 
 @query
 def fix_summary(spark, sf):
-    return fixes.fix_summary(fixes.apply_fixes(balanced(corpus.files(spark, sf))))
+    return fixes.fix_summary(fixes.apply_fixes(corpus.files(spark, sf)))
 
 
 # ---- streaming ----------------------------------------------------------------------
@@ -393,9 +393,9 @@ def _replay(spark, sf) -> DataFrame:
     events = spark.readStream.schema(spark.read.parquet(path).schema) \
         .parquet(f"{sf}/[e]vents.parquet")
     out = shared_dir(spark, "watch")
-    watch.watch_stream(corpus.changes_of(events), corpus.files(spark, sf), f"{out}/rows",
-                       f"{out}/checkpoint", TICK, trigger={"availableNow": True}) \
-        .awaitTermination()
+    changes = corpus.changes_of(events, corpus.documents(spark, sf))
+    watch.watch_stream(changes, corpus.files(spark, sf), f"{out}/rows", f"{out}/checkpoint", TICK,
+                       trigger={"availableNow": True}).awaitTermination()
     return watch.watched(spark, f"{out}/rows")
 
 

@@ -67,6 +67,12 @@ class Rule:
     best_practice: str | None = None
     env_var: str | None = None
     emits: str = PER_FILE
+    match_chars: int | None = None  # matched text is cut there in findings; None: whole
+
+    def __post_init__(self):
+        if self.emits == PER_FILE and not (self.all_of or self.none_of or self.path_all
+                                           or self.path_none or self.longer_than is not None):
+            raise ValueError(f"rule {self.rule_id} has no condition")
 
     @property
     def owasp_ref(self) -> str | None:
@@ -80,6 +86,7 @@ class Pack:
     name: str
     type: str
     owasp: str | None = None
+    match_chars: int | None = None
     rules: list[Rule] = field(default_factory=list)
 
     def add(self, rule_id, severity, category, *, title, fix, has=(), lacks=(), path=(),
@@ -94,4 +101,4 @@ class Pack:
         self.rules.append(Rule(
             self.name, rule_id, severity, category, type or self.type, owasp or self.owasp,
             title, fix, *listed, longer_than=longer_than, line=line, best_practice=better,
-            env_var=env_var, emits=emits))
+            env_var=env_var, emits=emits, match_chars=self.match_chars))

@@ -2,7 +2,9 @@
 
 from .base import CRITICAL, HIGH, MEDIUM, PER_MATCH, Pack, ci
 
-PACK = Pack("prompts", "ai-prompt-security", "A04")
+# Findings of prompts quote this much of a match.
+MATCH_CHARS = 100
+PACK = Pack("prompts", "ai-prompt-security", "A04", match_chars=MATCH_CHARS)
 
 # Text of a comment that instructs a code assistant: line, block and hash comments.
 COMMENTS = (
@@ -11,7 +13,6 @@ COMMENTS = (
     ci(r"#\s*(?:AI|GPT|Claude|Copilot|Cursor).*?:\s*(.*)"),
 )
 COMMENT_PREFIX = "comment:"
-MATCH_CHARS = 100
 
 # Phrases searched for in prompt files (every match) and in comments (once per comment).
 PHRASES = (

@@ -1,7 +1,9 @@
 """Tables of files, dependencies and changes derived from the given parquet tables.
 
-Everything is a narrow projection of the source table (no shuffle), so the derived
-tables grow with it.
+Everything is a projection of the source table, so the derived tables grow with it. The raw
+rows of texts are dealt out over all tasks by a hash first: the given files may hold all rows
+in one row group, which one task would scan alone. Tables of files that are kept as such need
+no shuffle: see `sources.files.write_table` for their layout.
 """
 
 from __future__ import annotations
@@ -9,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..rules.catalog import FRAMEWORKS, UNMAINTAINED
-from .slots import ENV_SLOT, SAMPLE_PATH, SAMPLE_SLOT, SLOTS
+from .slots import (COMMENT, ENV_LINES, ENV_SLOT, JSON, NO_ENV_PATH, SAMPLE_PATH, SAMPLE_SLOT,
+                    SLOTS)
 
 N_SLOTS = len(SLOTS)
 AS_OF = "2024-01-31 00:00:00"
@@ -25,17 +28,45 @@ def _pick(values, index):
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out by a hash of their key, the same way at every size."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, key)
+
+
+def _path(k, repo):
+    return F.when((k == SAMPLE_SLOT) & (repo % 5 == 0), SAMPLE_PATH) \
+        .when((k == ENV_SLOT) & (repo % 4 == 0), NO_ENV_PATH) \
+        .otherwise(_pick([s[0] for s in SLOTS], k))
+
+
+def _with_text(form, base, text, repo):
+    """A file's telling or clean part, followed by the document's text in the file's form."""
+    lines = F.concat(F.lit("\n# "), F.replace(text, F.lit("\n"), F.lit("\n# ")))
+    entry = F.concat(F.lit("\nKEY_"), (repo % 97).cast("string"), F.lit("="),
+                     F.col("doc_id").cast("string"))
+    own = F.concat(F.lit('"dependencies":{"lib-'), (repo % 997).cast("string"), F.lit('":"'),
+                   (1 + F.col("doc_id") % 5).cast("string"), F.lit("."),
+                   (F.col("doc_id") % 10).cast("string"), F.lit('.0",'))
+    declared = F.replace(base, F.lit('"dependencies":{'), own)
+    about = F.concat(F.lit(',"about":"'),
+                     F.regexp_replace(text, r'["\\\x00-\x1f]', " "), F.lit('"}'))
+    return F.when(form == COMMENT, F.concat(base, lines)) \
+        .when(form == ENV_LINES, F.concat(base, entry, lines)) \
+        .when(form == JSON, F.concat(F.expr("left(_declared, length(_declared) - 1)"), about)) \
+        .otherwise(F.concat(base, F.lit("\n"), text)), declared
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents become the files of repositories of 24 files each."""
     k, repo = F.col("doc_id") % N_SLOTS, F.floor(F.col("doc_id") / N_SLOTS)
-    path = F.when((k == SAMPLE_SLOT) & (repo % 5 == 0), SAMPLE_PATH) \
-        .otherwise(_pick([s[0] for s in SLOTS], k))
+    path = _path(k, repo)
     base = F.when(repo % 3 != 0, _pick([s[1] for s in SLOTS], k)) \
         .otherwise(_pick([s[2] for s in SLOTS], k))
-    n_long = sum(s[3] for s in SLOTS)
-    content = F.when(k < n_long, F.concat(base, F.lit("\n"), F.col("text"))).otherwise(base)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.where((k != ENV_SLOT) | (repo % 4 != 0)).select(
+    content, declared = _with_text(_pick([s[3] for s in SLOTS], k), base,
+                                   F.coalesce("text", F.lit("")), repo)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return docs.withColumn("_declared", declared).select(
         "doc_id", repo.alias("repo_id"), path.alias("path"),
         F.concat(F.lit("/corpus/r"), repo.cast("string"), F.lit("/"), path).alias("abs_path"),
         content.alias("content"))
@@ -44,7 +75,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw web pages as source files: their address, then their markup."""
     path = F.concat(F.lit("pages/p"), F.col("page_id").cast("string"), F.lit(".js"))
-    return table(spark, sf_dir, "pages").select(
+    return spread(table(spark, sf_dir, "pages"), "page_id").select(
         F.lit(PAGES_REPO).cast("bigint").alias("repo_id"), path.alias("path"),
         F.concat(F.lit("/corpus/pages/"), path).alias("abs_path"),
         F.concat_ws("\n", "url", "html").alias("content"))
@@ -54,7 +85,7 @@ def talk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as prompt files, each under one phrase of the prompt slot."""
     path = F.concat(F.lit("prompts/c"), F.col("conv_id").cast("string"), F.lit("/t"),
                     F.col("turn").cast("string"), F.lit(".md"))
-    return table(spark, sf_dir, "conversations").select(
+    return spread(table(spark, sf_dir, "conversations"), "conv_id").select(
         F.lit(TALK_REPO).cast("bigint").alias("repo_id"), path.alias("path"),
         F.concat(F.lit("/corpus/talk/"), path).alias("abs_path"),
         F.concat(_pick(PHRASES, F.col("conv_id") % len(PHRASES)), F.lit("\n"), "text")
@@ -106,25 +137,28 @@ def latest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat((3 + F.col("p_size") % 6).cast("string"), F.lit(".0.0")).alias("latest"))
 
 
-# What an event says about a file, and the files events speak of.
+# What an event says about a file.
 OPS = {"view": "add", "click": "change", "purchase": "change", "signup": "unlink",
        "error": "unlink"}
-WATCHED_DOCS = 200
 
 
-def changes_of(events: DataFrame) -> DataFrame:
-    """Events as file changes (batch or stream)."""
-    doc = F.col("user_id") % WATCHED_DOCS
+def changes_of(events: DataFrame, documents: int) -> DataFrame:
+    """Events as changes of the files of that many documents (batch or stream)."""
+    doc = F.col("user_id") % max(documents, 1)
     k, repo = doc % N_SLOTS, F.floor(doc / N_SLOTS)
-    path = F.when((k == SAMPLE_SLOT) & (repo % 5 == 0), SAMPLE_PATH) \
-        .otherwise(_pick([s[0] for s in SLOTS], k))
+    path = _path(k, repo)
     op = F.coalesce(*[F.when(F.col("event_type") == e, o) for e, o in OPS.items()])
     return events.select(F.col("ts").cast("timestamp").alias("ts"), repo.alias("repo_id"),
                          path.alias("path"), op.alias("op"))
 
 
+def documents(spark: SparkSession, sf_dir: str) -> int:
+    """How many documents events can speak of: a count, answered by the file footers."""
+    return table(spark, sf_dir, "documents").count()
+
+
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changes_of(table(spark, sf_dir, "events"))
+    return changes_of(table(spark, sf_dir, "events"), documents(spark, sf_dir))
 
 
 def changed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.joins import lookup_join
 from ..operators.scan import explode_hits, scan_files
+from ..schema import HIT
 
 # Paths the watcher does not follow.
 IGNORED = r"node_modules|\.git|dist|build|\.(log|png|jpg|jpeg|gif|ico|pdf|zip)$"
 PACKS = ("secrets",)
 _TICK = ("tick", "repo_id", "path")
+WATCHED = f"tick timestamp, repo_id bigint, path string, hits array<{HIT}>"
 
 
 def watch_ignore(changes: DataFrame) -> DataFrame:
@@ -53,26 +55,29 @@ def watch_batch_summary(scanned: DataFrame) -> DataFrame:
 
 
 def watch_stream(changes: DataFrame, files: DataFrame, out: str, checkpoint: str,
-                 interval="5 seconds", lateness="1 minute", trigger=None):
+                 interval="5 seconds", trigger=None):
     """Start watching a stream of changes; scanned ticks are appended to a table at `out`.
 
-    State is one row per open tick and file; changes later than `lateness` are dropped,
-    which bounds it. Each micro-batch writes its own folder, so a repeated batch after a
-    failure replaces what it wrote before.
+    Each micro-batch is cut into ticks and scanned by itself, so nothing is kept between
+    batches and no change is too late. It writes its own folder, so a repeated batch after
+    a failure replaces what it wrote before.
     """
-    due = ticks(changes.withWatermark("ts", lateness), interval)
+    spark = changes.sparkSession
+    spark.createDataFrame([], WATCHED).write.mode("overwrite").parquet(f"{out}/batch=-1")
 
     def write(batch: DataFrame, batch_id: int):
-        scan_ticks(batch, files).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        due = ticks(batch, interval).persist()
+        scan_ticks(due, files).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        due.unpersist()
 
-    return due.writeStream.outputMode("update").foreachBatch(write) \
+    return changes.writeStream.outputMode("append").foreachBatch(write) \
         .option("checkpointLocation", checkpoint) \
         .trigger(**(trigger or {"processingTime": interval})).start()
 
 
 def watched(spark: SparkSession, out: str) -> DataFrame:
-    """All scanned ticks so far. A file that changed again later in the same tick was
-    scanned again; the newest scan of a tick and file counts."""
-    rows = spark.read.parquet(out)
+    """All scanned ticks so far. A file that changed again in a later batch of the same tick
+    was scanned again; the newest scan of a tick and file counts."""
+    rows = spark.read.schema(f"{WATCHED}, batch bigint").parquet(out)
     newest = F.max_by("hits", "batch").alias("hits")
     return rows.groupBy(*_TICK).agg(newest)
