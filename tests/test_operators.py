@@ -8,7 +8,8 @@ from warpsift.functions.versions import version_key
 from warpsift.operators import deps, env, fixes, joins
 from warpsift.operators.enrich import compliance_enrich
 from warpsift.operators.select import selected
-from warpsift.plans.audit import audit
+from warpsift.plans.audit import audit, changed_files_scan
+from warpsift.plans.queries import QUERIES
 from warpsift.sources import corpus, files as sources
 from warpsift.streaming import watch
 
@@ -167,3 +168,58 @@ def test_stream_equals_batch(spark, tmp_path):
     for view in (watch.watch_findings, watch.watch_batch_summary):
         assert sorted(map(str, view(stream).collect())) == sorted(map(str, view(batch).collect()))
     assert watch.watch_findings(batch).count() > 0
+
+
+def test_stored_layout_prunes_folders(spark, tmp_path):
+    """A scan of changed files opens the folders of their repositories only."""
+    sf = "/root/testdata/sf0.001"
+    kept = str(tmp_path / "files")
+    sources.write_table(corpus.files(spark, sf), kept)
+    files = sources.read_table(spark, kept)
+    assert files.count() == corpus.files(spark, sf).count()
+    one = corpus.changed(spark, sf).where("repo_id = 1")
+    scanned = changed_files_scan(files, one)
+    plan = scanned._jdf.queryExecution().toString()
+    assert "dynamicpruning" in plan and "repo_part" in plan
+    want = changed_files_scan(corpus.files(spark, sf), one)
+    assert sorted(map(str, scanned.collect())) == sorted(map(str, want.collect()))
+
+
+def test_false_calm_is_not_reported(spark, sf_dir):
+    """Packs with findings are never called `none` or 0."""
+    counts = {r["pack"]: r["n"] for r in QUERIES["all_findings"](spark, sf_dir).groupBy(
+        "pack").agg(F.count("*").alias("n")).collect()}
+    for r in QUERIES["pack_severity"](spark, sf_dir).collect():
+        assert (r["severity"] == "none") == (r["pack"] not in counts)
+    for r in QUERIES["scans_performed"](spark, sf_dir).collect():
+        assert r["findings"] == counts.get(r["pack"], 0)
+
+
+def test_the_pass_reads_the_texts_once(spark, tmp_path):
+    """The union of all findings is drawn from stored hits: no text column is left in it."""
+    kept = str(tmp_path / "files")
+    sources.write_table(corpus.files(spark, "/root/testdata/sf0.001"), kept)
+    found = audit(sources.read_table(spark, kept))
+    assert "content" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.where("pack = 'env'").count() > 0
+
+
+def test_texts_are_dealt_out_evenly(spark, sf_dir):
+    rows = [r[0] for r in corpus.files(spark, "/root/testdata/sf0.01").groupBy(
+        F.spark_partition_id().alias("p")).count().select("count").collect()]
+    assert len(rows) == 8 and max(rows) < 1.5 * min(rows)
+
+
+def test_equal_and_keyless_rows_spread(spark):
+    facts = spark.createDataFrame([(None, 1)] * 900 + [("hot", 1)] * 900 + [("b", 2)] * 9,
+                                  "k string, v int")
+    out = joins.salted_join(facts, spark.createDataFrame([("hot", 7), ("b", 8)],
+                                                         "k string, w int"), ["k"], "left", 4)
+    assert out.count() == 1809 and out.where("w = 7").count() == 900
+    assert out.where("w is null").count() == 900
+
+
+def test_rules_need_a_condition():
+    from warpsift.rules.base import Rule
+    with pytest.raises(ValueError):
+        Rule("secrets", "x", "high", "c", "t", None, "title", "fix")

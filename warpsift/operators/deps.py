@@ -56,6 +56,8 @@ def _emit(df: DataFrame, *seeds: str) -> DataFrame:
 
 _LEVEL = "CASE _level " + " ".join(
     f"WHEN '{k}' THEN '{v}'" for k, v in ADVISORY_SEVERITY.items()) + " ELSE 'medium' END"
+_FIX = (f"coalesce(concat('Move to version ', fixed, ' or later.'), "
+        f"{quoted(_RULES['known_cve'][1].remediation)})")
 _GAP = f"({major('latest')} - {major('version')})"
 _ADVICE = "CASE package " + " ".join(
     f"WHEN '{p}' THEN {quoted(advice)}" for p, advice in UNMAINTAINED) + " END"
@@ -93,13 +95,36 @@ def _brand_new_seed(as_of: str) -> str:
 def known_vulnerabilities(manifest: DataFrame, advisories: DataFrame) -> DataFrame:
     """Declared versions inside an advisory's range: introduced <= version < fixed."""
     ours = manifest.select("repo_id", "package", "version", version_key("version").alias("_v"))
-    known = advisories.select("package", F.col("severity").alias("_level"), "introduced",
+    known = advisories.select("package", F.col("severity").alias("_level"), "introduced", "fixed",
                               version_key("introduced").alias("_from"),
                               version_key("fixed").alias("_to"))
     hit = lookup_join(ours, known, ["package"]).where(
         "_from <= _v AND (_to IS NULL OR _v < _to)")
     return _emit(hit, _seed("known_cve", "true", "concat(package, '@', version)",
-                            severity=_LEVEL, key="introduced"))
+                            severity=_LEVEL, key="concat_ws('-', introduced, fixed)",
+                            remediation=_FIX))
+
+
+def vulnerability_details(manifest: DataFrame, advisories: DataFrame) -> DataFrame:
+    """What an advisory says of each declared version in its range; absent facts are N/A."""
+    ours = manifest.select("repo_id", "package", "version", version_key("version").alias("_v"))
+    known = advisories.select("package", "severity", "introduced", "fixed", "cve", "advisory",
+                              version_key("introduced").alias("_from"),
+                              version_key("fixed").alias("_to"))
+    hit = lookup_join(ours, known, ["package"]).where(
+        "_from <= _v AND (_to IS NULL OR _v < _to)")
+
+    def known_or(column):
+        return F.coalesce(column, F.lit("N/A"))
+
+    return hit.select(
+        "repo_id", "package", "version", F.expr(_LEVEL.replace("_level", "severity")).alias(
+            "severity"), known_or(F.col("cve")).alias("cve"),
+        known_or(F.col("advisory")).alias("advisory"),
+        known_or(F.concat(F.lit(">="), "introduced", F.concat(F.lit(" <"), "fixed"))).alias(
+            "vulnerable_range"),
+        known_or(F.concat(F.lit(">="), "fixed")).alias("patched_range"),
+        F.expr(_FIX).alias("remediation"))
 
 
 def outdated_major(manifest: DataFrame, latest_versions: DataFrame) -> DataFrame:

@@ -41,8 +41,11 @@ def hot_keys(facts: DataFrame, on: list[str], tasks: int | None = None) -> DataF
 def salted_join(facts: DataFrame, lookup: DataFrame, on: list[str], how="inner",
                 tasks: int | None = None) -> DataFrame:
     hot = F.broadcast(hot_keys(facts, on, tasks))
-    spread = F.when(F.col("_salts").isNull(), 0).otherwise(
-        F.pmod(F.xxhash64(*facts.columns), F.col("_salts")))
+    # Equal rows go to different tasks too; rows without a key match nothing and go anywhere.
+    turn = F.xxhash64(*facts.columns, F.monotonically_increasing_id())
+    anywhere = tasks or int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = F.when(F.col(on[0]).isNull(), F.pmod(turn, F.lit(anywhere))).when(
+        F.col("_salts").isNull(), 0).otherwise(F.pmod(turn, F.col("_salts")))
     left = facts.join(hot, on, "left").withColumn(_SALT, spread.cast("int")).drop("_salts")
     right = lookup.join(hot, on, "left").withColumn(
         _SALT, F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")

@@ -217,6 +217,31 @@ def recommendations(findings: DataFrame, repos: DataFrame) -> DataFrame:
     return facts.selectExpr("repo_id", f"inline(array_compact(array({items})))")
 
 
+def _listed(findings: DataFrame, column: str) -> DataFrame:
+    """`a:3,b:1` per repository: as many entries as the catalog has values of the column."""
+    counts = findings.groupBy("repo_id", column).agg(F.count("*").alias("n"))
+    entries = F.array_sort(F.collect_list(F.struct(column, "n")))
+    return counts.groupBy("repo_id").agg(F.array_join(F.transform(
+        entries, lambda e: F.concat(e[column], F.lit(":"), e["n"].cast("string"))), ",")
+        .alias("text"))
+
+
+def json_summary(findings: DataFrame, repos: DataFrame, generated: str) -> DataFrame:
+    """The report's record of each repository: when, how many, of what, and what to do.
+
+    The findings themselves are rows beside it (`sinks.json_report`), keyed by repository.
+    """
+    advice = recommendations(findings, repos).groupBy("repo_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("position", "priority", "title"))),
+        lambda e: F.concat(e["position"].cast("string"), F.lit(". ["), e["priority"],
+                           F.lit("] "), e["title"])), "; ").alias("recommendations"))
+    scans = _listed(findings, "pack").withColumnRenamed("text", "scans")
+    kinds = _listed(findings, "type").withColumnRenamed("text", "types")
+    return overall_status(findings, repos).withColumn("generated", F.lit(generated)).join(
+        scans, "repo_id", "left").join(kinds, "repo_id", "left").join(
+        advice, "repo_id", "left").na.fill("", ["scans", "types"])
+
+
 def prompt_files_scanned(files: DataFrame) -> DataFrame:
     return files.groupBy("repo_id").agg(
         F.expr(f"count_if({selected('prompts')})").cast("bigint").alias("prompt_files"))

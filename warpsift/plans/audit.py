@@ -12,6 +12,7 @@ from ..operators.scan import explode_hits, scan_files
 from ..operators.select import ignore_paths
 from ..rules.catalog import PACK_ORDER, SCANS, rules_of
 from ..session import shared_dir
+from ..sources.files import only_files
 
 
 @dataclass
@@ -73,9 +74,10 @@ def quick(files: DataFrame) -> DataFrame:
 
 
 def changed_files_scan(files: DataFrame, changed: DataFrame, packs=("secrets",)) -> DataFrame:
-    """Scan only files that were added, copied or modified, whatever their path."""
-    from ..operators.joins import lookup_join
+    """Scan only files that were added, copied or modified, whatever their path.
 
+    Files in the stored layout are read from the folders of the changed repositories only.
+    """
     wanted = changed.where("status IN ('A', 'C', 'M')").select("repo_id", "path").distinct()
-    touched = lookup_join(files, wanted, ["repo_id", "path"], "left_semi")
+    touched = only_files(files, wanted)
     return explode_hits(scan_files(touched, packs, select=False), packs)

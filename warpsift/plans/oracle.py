@@ -143,7 +143,9 @@ CTE: dict[str, str] = {
     "registry": f"""SELECT package, TIMESTAMP '{AS_OF}' - to_days(CAST(p_partkey % 400 AS INT))
         - INTERVAL 1 HOUR AS created FROM parts WHERE p_partkey % 10 <> 0""",
     "advisories": """SELECT package, (['critical','high','moderate','low','info'])[p_size % 5 + 1]
-        AS severity, (1 + p_size % 3) || '.0.0' AS introduced, (2 + p_size % 3) || '.5.0' AS fixed
+        AS severity, (1 + p_size % 3) || '.0.0' AS introduced, (2 + p_size % 3) || '.5.0' AS fixed,
+        CASE WHEN p_size % 2 = 0 THEN 'CVE-2024-' || (10000 + p_partkey) END AS cve,
+        CASE WHEN p_size % 3 > 0 THEN 'advisory ' || p_partkey END AS advisory
         FROM parts WHERE p_partkey % 7 = 3""",
     "latest": "SELECT package, (3 + p_size % 6) || '.0.0' AS latest FROM parts",
     "changed": """SELECT repo_id, path, (['A','C','M','D','R'])[doc_id % 5 + 1] AS status
@@ -371,12 +373,13 @@ _LEVELS = "CASE level " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in
                                    ADVISORY_SEVERITY.items()) + " ELSE 'medium' END"
 DEPS = {
     "known_vulnerabilities": _dep(
-        "known_cve", f"""SELECT m.*, a.severity AS level, a.introduced FROM manifest m
+        "known_cve", f"""SELECT m.*, a.severity AS level, a.introduced, a.fixed FROM manifest m
             JOIN advisories a USING (package)
             WHERE {_numbers('a.introduced')} <= {_numbers('m.version')}
             AND {_numbers('m.version')} < {_numbers('a.fixed')}""",
         f"{_title('known_cve')} || package || '@' || version", severity=_LEVELS,
-        key="introduced"),
+        key="introduced || '-' || fixed",
+        remediation="'Move to version ' || fixed || ' or later.'"),
     "outdated_major": _dep(
         "outdated_major", """SELECT * FROM (SELECT m.*, CAST(split_part(latest, '.', 1) AS INT)
             - CAST(split_part(version, '.', 1) AS INT) AS gap
@@ -490,6 +493,38 @@ def _queries() -> dict[str, tuple]:
                          f"SELECT {_COLS} FROM ({findings(['prompts'], 'talk_files')})"),
         "scan_toggles": (["owasp", "headers", "iac"], False,
                          f"SELECT pack, {_N} AS findings FROM found GROUP BY pack"),
+        "vulnerability_details": (None, False, f"""SELECT repo_id, package, version,
+            {_LEVELS} AS severity, coalesce(cve, 'N/A') AS cve,
+            coalesce(advisory, 'N/A') AS advisory,
+            '>=' || introduced || ' <' || fixed AS vulnerable_range,
+            '>=' || fixed AS patched_range,
+            'Move to version ' || fixed || ' or later.' AS remediation FROM (
+            SELECT m.*, a.* EXCLUDE (package, severity), a.severity AS level FROM manifest m
+            JOIN advisories a USING (package)
+            WHERE {_numbers('a.introduced')} <= {_numbers('m.version')}
+            AND {_numbers('m.version')} < {_numbers('a.fixed')})"""),
+        "json_report": (js, False, f"""WITH counts AS (SELECT repo_id, {_N} AS total, {_EACH}
+            FROM found GROUP BY 1), scans AS (SELECT repo_id, string_agg(pack || ':' || n, ','
+            ORDER BY pack) AS scans FROM (SELECT repo_id, pack, count(*) AS n FROM found
+            GROUP BY 1, 2) GROUP BY 1), kinds AS (SELECT repo_id, string_agg(type || ':' || n, ','
+            ORDER BY type) AS types FROM (SELECT repo_id, type, count(*) AS n FROM found
+            GROUP BY 1, 2) GROUP BY 1), advice AS (SELECT repo_id, string_agg(position || '. [' ||
+            priority || '] ' || title, '; ' ORDER BY position) AS recommendations
+            FROM ({' UNION ALL '.join(
+                f"SELECT repo_id, {i} AS position, {q(p)} AS priority, {q(t)} AS title "
+                f"FROM file_repos" + (f" WHERE repo_id IN (SELECT repo_id FROM found WHERE {cond})"
+                                      if cond else "")
+                for i, (cond, p, t, a) in enumerate(RECOMMENDATIONS, start=1))}) GROUP BY 1)
+            SELECT repo_id, '{AS_OF}' AS generated, {', '.join(_z(c) for c in
+                                                             ('total', *SEVERITIES))},
+            CASE WHEN critical > 0 THEN 'fail' WHEN high > 0 THEN 'warning' ELSE 'pass' END
+            AS status, coalesce(scans, '') AS scans, coalesce(types, '') AS types,
+            recommendations FROM file_repos LEFT JOIN counts USING (repo_id)
+            LEFT JOIN scans USING (repo_id) LEFT JOIN kinds USING (repo_id)
+            LEFT JOIN advice USING (repo_id)"""),
+        "stored_changed_files": (None, False, f"""SELECT {_COLS} FROM (
+            {findings(['secrets'], everything=True)}) JOIN changed USING (repo_id, path)
+            WHERE status IN ('A', 'C', 'M')"""),
         "quick_scan": (["secrets"], False, f"SELECT {_COLS} FROM found"),
         "quiet_filter": (FILE_PACKS, False, """SELECT repo_id, path, rule_id, severity, line
             FROM found WHERE severity = 'critical'"""),

@@ -126,6 +126,20 @@ def json_report_sink(spark, sf):
                                    shared_dir(spark, "report"))
 
 
+@query
+def json_report(spark, sf):
+    found = _stored(spark, _found(spark, sf, JSON_REPORT_PACKS))
+    return reports.json_summary(found, _file_repos(spark, sf), corpus.AS_OF)
+
+
+@query
+def stored_changed_files(spark, sf):
+    """Files kept in the stored layout, then the scan of the changed ones only."""
+    path = shared_dir(spark, "files")
+    sources.write_table(corpus.files(spark, sf), path)
+    return _out(changed_files_scan(sources.read_table(spark, path), corpus.changed(spark, sf)))
+
+
 @query
 def dashboard_table(spark, sf):
     found = _stored(spark, compliance_enrich(_everything(spark, sf)))
@@ -182,6 +196,11 @@ def known_vulnerabilities(spark, sf):
     return _out(deps.known_vulnerabilities(_manifest(spark, sf), corpus.advisories(spark, sf)))
 
 
+@query
+def vulnerability_details(spark, sf):
+    return deps.vulnerability_details(_manifest(spark, sf), corpus.advisories(spark, sf))
+
+
 @query
 def outdated_major(spark, sf):
     return _out(deps.outdated_major(_manifest(spark, sf), corpus.latest_versions(spark, sf)))

@@ -8,7 +8,7 @@ from .base import CRITICAL, HIGH, LOW, MEDIUM, OTHER, OWASP, Pack, Rule
 
 deps = Pack("deps", "dependency-vulnerability", "A06")
 deps.add("known_cve", MEDIUM, "known-cve", emits=OTHER,
-         title="Vulnerable package: ", fix="Move to a corrected version.")
+         title="Known weakness in ", fix="Move to a corrected version.")
 deps.add("outdated_major", MEDIUM, "outdated-major-version", type="dependency-outdated",
          emits=OTHER, title="Package is behind: ", fix="Plan the upgrade.")
 deps.add("unmaintained", MEDIUM, "unmaintained-package", type="dependency-maintenance",

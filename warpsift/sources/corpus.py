@@ -128,7 +128,11 @@ def advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").where(F.col("p_partkey") % 7 == 3).select(
         _package(F.col("p_partkey")).alias("package"), level.alias("severity"),
         F.concat((1 + size % 3).cast("string"), F.lit(".0.0")).alias("introduced"),
-        F.concat((2 + size % 3).cast("string"), F.lit(".5.0")).alias("fixed"))
+        F.concat((2 + size % 3).cast("string"), F.lit(".5.0")).alias("fixed"),
+        F.when(size % 2 == 0, F.concat(F.lit("CVE-2024-"), (10_000 + F.col("p_partkey")).cast(
+            "string"))).alias("cve"),
+        F.when(size % 3 > 0, F.concat(F.lit("advisory "), F.col("p_partkey").cast("string")))
+        .alias("advisory"))
 
 
 def latest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:

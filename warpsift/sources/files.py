@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from ..operators.joins import lookup_join
 
 _BATCH_BYTES = 16 << 20
 
@@ -54,9 +56,39 @@ def read_tree(spark: SparkSession, root: str, tasks: int | None = None) -> DataF
         "abs_path", "content")
 
 
+#: Folders of the stored layout. A scan of a few repositories opens their folders only.
+PARTS = 64
+_FILES_PER_PART = 4
+
+
+def part_of(repo_id="repo_id") -> Column:
+    return F.pmod(F.xxhash64(repo_id), F.lit(PARTS)).cast("int")
+
+
+def write_table(files: DataFrame, path: str) -> None:
+    """Keep files in the layout that scans prune: a folder per hash of the repository,
+    several files in each so that one large repository is no single task, sorted by path."""
+    files.withColumn("repo_part", part_of()).repartition(
+        PARTS * _FILES_PER_PART, "repo_part", F.pmod(F.xxhash64("path"), F.lit(_FILES_PER_PART))) \
+        .sortWithinPartitions("repo_part", "path").write.partitionBy("repo_part").parquet(path)
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Files already kept as a parquet table with the columns of `schema.FILES`."""
-    return spark.read.parquet(path).select("repo_id", "path", "abs_path", "content")
+    """Files already kept as a parquet table with the columns of `schema.FILES`.
+
+    Of a table in the stored layout `repo_part` comes along, by which joins prune folders.
+    """
+    table = spark.read.parquet(path)
+    return table.select("repo_id", "path", "abs_path", "content",
+                        *[c for c in table.columns if c == "repo_part"])
+
+
+def only_files(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The files of given repositories and paths."""
+    on = ["repo_id", "path"]
+    if "repo_part" in files.columns:
+        wanted, on = wanted.withColumn("repo_part", part_of()), ["repo_part", *on]
+    return lookup_join(files, wanted, on, "left_semi")
 
 
 def distinct_files(files: DataFrame) -> DataFrame:

@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.joins import lookup_join
 from ..operators.scan import explode_hits, scan_files
 from ..schema import HIT
+from ..sources.files import only_files
 
 # Paths the watcher does not follow.
 IGNORED = r"node_modules|\.git|dist|build|\.(log|png|jpg|jpeg|gif|ico|pdf|zip)$"
@@ -37,8 +37,7 @@ def scan_ticks(due: DataFrame, files: DataFrame) -> DataFrame:
     due = due.select(*_TICK).distinct()
     touched = due.select("repo_id", "path").distinct()
     # Semi join from the side of the files: few files change, so texts need not move.
-    seen = scan_files(lookup_join(files.select("repo_id", "path", "abs_path", "content"), touched,
-                                  ["repo_id", "path"], "left_semi"), PACKS, select=False)
+    seen = scan_files(only_files(files, touched), PACKS, select=False)
     # A file has at most one row per tick, so no key is hot here.
     return due.join(seen.select("repo_id", "path", "hits"), ["repo_id", "path"])
 
