@@ -139,3 +139,128 @@ def test_users_can_add_rules_and_ignore_paths(files_of):
 def test_repository_rules_are_not_content_rules():
     assert {r.rule_id for r in PACKS["env"] if r.emits == OTHER} == {
         "gitignore_missing", "no_env_example", "env_missing", "env_format"}
+
+
+LARGE_APP = """const express = require('express');
+const mongoose = require('mongoose');
+const jwt = require('jsonwebtoken');
+const app = express();
+const debug = true;
+const JWT_SECRET = 'a-value-kept-in-code';
+const PASSWORD = 'letmein-please';
+const API_KEY = 'with_underscores_in_it_no_hit';
+mongoose.connect('mongodb://root:pw@db.example.com/app');
+const userSchema = mongoose.Schema({
+  email: { type: String, required: true },
+  ssn: String, // hashing is planned
+});
+const User = mongoose.model('User', userSchema);
+
+app.use((req, res, next) => {
+  res.header('Access-Control-Allow-Origin', '*');
+  next();
+});
+
+app.post('/register', async (req, res) => {
+  const user = new User(req.body);
+  await user.save();
+  res.json(user);
+});
+
+app.post('/login', async (req, res) => {
+  const one = await User.findOne({ email: req.body.email });
+  const token = jwt.sign({ userId: one.id },
+    JWT_SECRET, { algorithm: 'none' });
+  res.json({ token });
+});
+
+app.get('/people/:id', async (req, res) => {
+  const one = await User.findById(req.params.id);
+  res.end(one.email);
+});
+
+app.get('/people', async (req, res) => {
+  res.end(String(await User.find()));
+});
+
+app.get('/ping', (req, res) => {
+  exec('ping ' + req.query.host);
+  eval(req.query.code); // never eval outside input
+});
+
+app.get('/fetch', async (req, res) => {
+  res.end(await fetch(req.query.url));
+});
+
+app.use((err, req, res, next) => {
+  res.send(err.stack);
+});
+app.listen(3000);
+"""
+
+
+def test_large_app(files_of):
+    """An app with many flaws: what is found, on which line, and what guards suppress."""
+    lines = LARGE_APP.split("\n")
+
+    def at(text):
+        return next(i for i, line in enumerate(lines, 1) if text in line)
+
+    want = {
+        "owasp": {"cmd_injection": at("exec("), "cors_wildcard": at("Allow-Origin"),
+                  "debug_on": at("debug ="), "verbose_errors": at("err.stack"),
+                  "ssrf": at("fetch")},
+        "auth": {"jwt_none": at("'none'"), "jwt_no_expiry": at("jwt.sign"),
+                 "jwt_no_verify": at("jwt.sign"), "session_fixation": at("/login"),
+                 "pwd_policy": at("/register"), "auth_no_rate": at("/register"),
+                 "csrf": at("app.post")},
+        "db": {"conn_mongo": at("mongodb://"), "no_tls": at("mongoose.connect"),
+               "nosql_input": at("findOne"), "no_unique": at("email")},
+        "api": {"body_no_valid": at("app.post"), "content_type": at("app.post"),
+                "user_exposed": at("res.json(user)"), "api_headers": 1},
+        "headers": {"no_helmet": 1, "cors_wild": at("Allow-Origin"), "no_csp": None, **{
+            f"missing_{h}": None for h in (
+                "x_frame_options", "x_content_type_options", "x_xss_protection",
+                "strict_transport_security", "content_security_policy")}},
+        "ratelimit": {"none": 1, "endpoint_login": at("/login"),
+                      "endpoint_register": at("/register"), "no_page_limit": at(".find()")},
+        "env": {"app_secret": at("JWT_SECRET ="), "password": at("PASSWORD =")},
+        "routes": {"route_no_auth": at("/register")}}
+    # The secret pack has its own reading of the database address.
+    rows = found(files_of({"src/routes/app.js": LARGE_APP}), [
+        p for p in FILE_PACKS if p != "secrets"])
+    assert len(rows) == 35
+    assert set(rows) == {(p, rule, line) for p, rules in want.items()
+                         for rule, line in rules.items()}
+
+
+def _guarded():
+    """Rules whose guards can be written down: the guard's first plain alternative."""
+    import re
+    for pack in ("owasp", "auth", "db", "api", "headers", "ratelimit"):
+        for rule in PACKS[pack]:
+            for guard in rule.none_of:
+                word = re.sub(r"\\\\s\*|\[[^]]*\]\?", "", guard.text.split("|")[0])
+                if re.fullmatch(r"[A-Za-z .:/-]+", word):
+                    yield pack, rule, word
+
+
+def test_each_guard_silences_its_rule(spark):
+    """The corpus file that fires a rule no longer does with the guard's words added."""
+    from pyspark.sql import functions as F
+    files = corpus.files(spark, "/root/testdata/sf0.001").cache()
+    packs = ["owasp", "auth", "db", "api", "headers", "ratelimit"]
+    fires = audit(files, packs).select("pack", "rule_id", "repo_id", "path").collect()
+    first = {}
+    for r in fires:
+        first.setdefault((r.pack, r.rule_id), (r.repo_id, r.path))
+    cases = [(i, p, r.rule_id, w, *first[p, r.rule_id]) for i, (p, r, w) in enumerate(_guarded())
+             if (p, r.rule_id) in first]
+    assert len(cases) > 30
+    table = spark.createDataFrame(cases, "case long, pack string, rule_id string, word string, "
+                                         "repo_id bigint, path string")
+    guarded = files.join(table, ["repo_id", "path"]).select(
+        F.col("case").alias("repo_id"), "path", "abs_path",
+        F.concat("content", F.lit("\n"), "word", F.lit("\n")).alias("content"))
+    still = {(r.repo_id, r.pack, r.rule_id) for r in audit(guarded, packs).collect()}
+    assert not [c[:4] for c in cases if (c[0], c[1], c[2]) in still]
