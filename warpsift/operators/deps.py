@@ -22,33 +22,38 @@ def latest_declared(manifest: DataFrame) -> DataFrame:
         .select("repo_id", "package", "_best.version")
 
 
-def _seed(rule_id: str, test: str, title: str, severity: str | None = None,
+def _seed(rule_id: str, test: str, detail: str, severity: str | None = None,
           remediation: str | None = None, key: str = "''") -> str:
-    """SQL: the parts of a finding that differ by rule, or null where the test fails."""
-    number, r = _RULES[rule_id]
-
-    def text(value):
-        return "CAST(NULL AS STRING)" if value is None else quoted(value)
-
-    fields = {"rule_ord": str(number), "rule_id": text(rule_id), "type": text(r.type),
-              "category": text(r.category), "severity": severity or text(r.severity),
-              "title": f"concat({text(r.title)}, {title})",
-              "remediation": remediation or text(r.remediation),
-              "best_practice": text(r.best_practice), "owasp": text(r.owasp_ref), "key": key}
+    """SQL: what a finding has beyond its rule, or null where the test fails."""
+    number, _ = _RULES[rule_id]
+    fields = {"rule_ord": str(number), "detail": detail, "key": key,
+              "severity": severity or "CAST(NULL AS STRING)",
+              "remediation": remediation or "CAST(NULL AS STRING)"}
     return (f"CASE WHEN {test} THEN named_struct("
             + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ") END")
 
 
+def _rule_rows(spark) -> DataFrame:
+    """The five rules, to be joined to their seeds (fixed size: the catalog)."""
+    return constant_table(spark, [
+        (n, r.rule_id, r.type, r.category, r.severity, r.title, r.remediation, r.best_practice,
+         r.owasp_ref) for n, r in _RULES.values()],
+        "rule_ord int,rule_id string,type string,category string,_severity string,_title string,"
+        "_remediation string,best_practice string,owasp string")
+
+
 def _emit(df: DataFrame, *seeds: str) -> DataFrame:
-    """Finding rows of all seeds, in one pass over the rows."""
+    """Finding rows of all seeds, in one pass over the rows; the rules' texts come after it."""
     found = df.selectExpr("repo_id", "package",
                           f"inline_outer(array_compact(array({', '.join(seeds)})))") \
-        .where("rule_id IS NOT NULL")
+        .where("rule_ord IS NOT NULL").join(F.broadcast(_rule_rows(df.sparkSession)), "rule_ord")
     ids = F.concat_ws("|", F.col("repo_id").cast("string"), F.lit("package.json"), "rule_id",
                       "package", F.when(F.col("key") != "", F.col("key")))
     empty = F.lit(None).cast("string")
     return found.withColumns({
         "pack": F.lit("deps"), "finding_id": F.sha2(ids, 256), "path": F.lit("package.json"),
+        "severity": F.coalesce("severity", "_severity"), "title": F.concat("_title", "detail"),
+        "remediation": F.coalesce("remediation", "_remediation"),
         "line": F.lit(None).cast("bigint"), "match_ord": F.lit(0).cast("bigint"),
         "matched_text": empty, "suggested_env_var": empty,
         "pack_ord": F.lit(PACK_ORDER["deps"])}).select(*FINDING_COLUMNS, "pack_ord", "rule_ord")
