@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..operators.joins import fits_broadcast
 from ..session import shared_dir
 
 #: Rows that one task ranks at a time; only the number of tasks grows with the data.
@@ -55,8 +56,10 @@ def running(df: DataFrame, groups: list[str], order: list[str], sums: dict[str,
     same ones. Rows that tie in `order` get their places in no stated order.
     """
     keys = [*groups, *order]
-    n = max(1, -(-df.count() // RANGE_ROWS))
-    ranged = stored(df.repartitionByRange(n, *keys).withColumn("_range", F.spark_partition_id()),
+    # Stored first: counting, finding the ranges and dealing out each read the rows.
+    table = stored(df, name)
+    n = max(1, -(-table.count() // RANGE_ROWS))
+    ranged = stored(table.repartitionByRange(n, *keys).withColumn("_range", F.spark_partition_id()),
                     name)
     inside = Window.partitionBy(*groups, "_range").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0)
@@ -70,7 +73,6 @@ def running(df: DataFrame, groups: list[str], order: list[str], sums: dict[str,
             F.coalesce(F.sum(f"_t_{new}").over(before), F.lit(0)).alias(f"_b_{new}"),
             F.sum(f"_t_{new}").over(whole).alias(f"{new}_all"))])
     # One row per range and group: at most (ranges + groups) rows, so measured, then sent.
-    from ..operators.joins import fits_broadcast
     if fits_broadcast(offsets):
         offsets = F.broadcast(offsets)
     on = F.col("_range") == F.col("_g_range")
