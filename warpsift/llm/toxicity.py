@@ -23,9 +23,11 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import column, seeded
@@ -43,7 +45,7 @@ PENALTY = 3e-6
 PAD = 5
 EVEN = 0.5
 SEED = 7
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 500_000
 
 _WORD = re.compile(r"\w+")
 
@@ -52,13 +54,23 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
 def subwords(word: str) -> list[int]:
     """Table rows of a word: its n-grams and itself."""
     marked = f"<{word}>"
-    low, high = GRAMS
-    grams = {marked[i:i + n] for n in range(low, high + 1) for i in range(len(marked) - n + 1)}
-    grams.add(marked)
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in sorted(grams)]
+    size, (low, high) = len(marked), GRAMS
+    whole = marked.encode("utf-8", "surrogatepass")
+    if len(whole) == size:              # one byte a character
+        grams = dict.fromkeys([whole[i:i + n] for n in range(low, high + 1)
+                               for i in range(size - n + 1)])
+    else:
+        grams = dict.fromkeys([marked[i:i + n].encode("utf-8", "surrogatepass")
+                               for n in range(low, high + 1) for i in range(size - n + 1)])
+    grams[whole] = None
+    return [zlib.crc32(g) % BUCKETS for g in grams]
 
 
 @dataclass
@@ -68,13 +80,15 @@ class Model:
     weights: np.ndarray | None
 
     def word(self, word: str) -> float:
-        return float(self.weights[subwords(word)].mean())
+        rows = subwords(word)
+        return sum([self.plain[r] for r in rows]) / len(rows)
 
+    @cached_property
+    def plain(self) -> list[float]:
+        return self.weights.tolist()
 
-def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Sums of consecutive runs of rows; every run has at least one."""
-    starts = np.concatenate([[0], ends[:-1]])
-    return np.add.reduceat(values, starts, axis=0)
+    def __getstate__(self) -> dict:
+        return {"prior": self.prior, "weights": self.weights}
 
 
 def train(texts: list[str], labels: np.ndarray) -> Model:
@@ -82,72 +96,86 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     share = np.log((ones + 0.5) / (len(labels) - ones + 1.5))
     if not ones or ones == len(labels):
         return Model(float(share), None)
-    # Words by document; a document's words weigh 1 / its length each.
-    numbers: dict[str, int] = {}
-    whats, weights_, sizes = [], [], []
+    # Words by document, as hashes; a document's words weigh 1 / its length each.
+    hashes, weights_, sizes = [], [], []
     for text in texts:
         words = words_of(text)
         bag = Counter(words)
-        whats.append(np.array([numbers.setdefault(w, len(numbers)) for w in bag], np.int32))
+        hashes.append(np.fromiter(map(_hash, bag), np.uint64, len(bag)))
         weights_.append(np.array(list(bag.values()), np.float32) / (len(words) + PAD))
         sizes.append(len(bag))
-    if not numbers:
-        return Model(float(share), None)
-    what, weight = np.concatenate(whats), np.concatenate(weights_)
-    who = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
-    kept = np.bincount(what, minlength=len(numbers)) >= MIN_DOCUMENTS
-    vocabulary = [w for w, i in numbers.items() if kept[i]]
-    del numbers, whats, weights_
-    if not vocabulary:
-        return Model(float(share), None)
+    every, what, documents = np.unique(np.concatenate(hashes), return_inverse=True,
+                                       return_counts=True)
+    who, weight = np.repeat(np.arange(len(texts), dtype=np.int32), sizes), np.concatenate(weights_)
+    kept = documents >= MIN_DOCUMENTS
     there = kept[what]
-    who, what, weight = who[there], (np.cumsum(kept) - 1)[what[there]].astype(np.int32), \
-        weight[there]
+    if not there.any():
+        return Model(float(share), None)
+    who, weight = who[there], weight[there]
+    what = (np.cumsum(kept) - 1)[what[there]].astype(np.int32)
+    # Only the words that are kept are held as text.
+    wanted = dict.fromkeys(every[kept].tolist())
+    del hashes, weights_, every, documents, there
+    for text in texts:
+        for word in set(words_of(text)):
+            h = _hash(word)
+            if h in wanted:
+                wanted[h] = word
     # Table rows by word.
-    rows = [np.array(subwords(w), np.int32) for w in vocabulary]
+    rows = [np.array(subwords(w), np.int32) for w in wanted.values()]
+    del wanted
     counts = np.array([len(r) for r in rows])
     flat = np.concatenate(rows)
     used, flat = np.unique(flat, return_inverse=True)
     flat = flat.astype(np.int32)
-    by_row = np.argsort(flat, kind="stable").astype(np.int32)
-    word_of = np.repeat(np.arange(len(rows), dtype=np.int32), counts)
-    inverse = (1.0 / counts).astype(np.float32)[:, None]
-    row_ends = np.cumsum(np.bincount(flat))
-    by_word = np.argsort(what, kind="stable").astype(np.int32)
-    seen_words, word_ends = np.unique(what[by_word], return_index=True)
-    word_ends = np.append(word_ends[1:], len(what))
-    seen_documents, document_ends = np.unique(who, return_index=True)
-    document_ends = np.append(document_ends[1:], len(who))
+    by_row = np.argsort(flat, kind="stable")
+    word_by_row = np.repeat(np.arange(len(rows), dtype=np.int32), counts)[by_row]
+    del rows, by_row
+    inverse = (1.0 / counts).astype(np.float32)
+    # Where each run of equal numbers starts: rows of a word, words of a row, and so on.
+    starts = np.cumsum(counts) - counts
+    row_starts = np.unique(np.repeat(np.arange(len(used)), np.bincount(flat)), return_index=True)[1]
+    by_word = np.argsort(what, kind="stable")
+    who_by_word, weight_by_word = who[by_word], weight[by_word]
+    seen_words, word_starts = np.unique(what[by_word], return_index=True)
+    seen_texts, text_starts = np.unique(who, return_index=True)
+    del by_word
 
     random = np.random.default_rng(SEED)
-    table = random.normal(0, 0.1, (len(used), DIMENSIONS)).astype(np.float32)
+    # One array per dimension: sums run over contiguous numbers, and little is held at a time.
+    table = random.normal(0, 0.1, (DIMENSIONS, len(used))).astype(np.float32)
     layer = random.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.array([0.0, share], np.float32)
     # Both labels weigh alike in a part of the loss, by their numbers in the rest.
     each = np.where(labels == 1, 1 - EVEN + EVEN * len(labels) / (2 * ones),
                     1 - EVEN + EVEN * len(labels) / (2 * (len(labels) - ones))).astype(np.float32)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (table, layer, bias)]
+    slope_table = np.empty_like(table)
+    mean = np.zeros((len(texts), DIMENSIONS), np.float32)
     for step in range(1, STEPS + 1):
-        vectors = _sums(table[flat], np.cumsum(counts)) * inverse
-        mean = np.zeros((len(texts), DIMENSIONS), np.float32)
-        mean[seen_documents] = _sums(vectors[what] * weight[:, None], document_ends)
+        for d in range(DIMENSIONS):
+            vectors = np.add.reduceat(table[d][flat], starts) * inverse
+            mean[seen_texts, d] = np.add.reduceat(vectors[what] * weight, text_starts)
         logits = mean @ layer + bias
         odds = np.exp(logits - logits.max(1, keepdims=True))
         odds /= odds.sum(1, keepdims=True)
         odds[np.arange(len(texts)), labels] -= 1
         slope = odds * (each / each.sum())[:, None]
         to_mean = slope @ layer.T
-        to_vectors = np.zeros_like(vectors)
-        to_vectors[seen_words] = _sums(to_mean[who[by_word]] * weight[by_word][:, None], word_ends)
-        to_table = _sums((to_vectors * inverse)[word_of[by_row]], row_ends)
-        slopes = (to_table + PENALTY * table, mean.T @ slope + PENALTY * layer, slope.sum(0))
+        to_words = np.zeros(len(counts), np.float32)
+        for d in range(DIMENSIONS):
+            to_words[seen_words] = np.add.reduceat(
+                to_mean[:, d][who_by_word] * weight_by_word, word_starts)
+            slope_table[d] = np.add.reduceat((to_words * inverse)[word_by_row], row_starts)
+        slope_table += PENALTY * table
+        slopes = (slope_table, mean.T @ slope + PENALTY * layer, slope.sum(0))
         for p, g, (m, v) in zip((table, layer, bias), slopes, moments):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             p -= RATE * (1 - (step - 1) / STEPS) * (m / (1 - 0.9 ** step)) / (
                 np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
     weights = np.zeros(BUCKETS, np.float32)
-    weights[used] = table @ (layer[:, 1] - layer[:, 0])
+    weights[used] = (layer[:, 1] - layer[:, 0]) @ table
     return Model(float(bias[1] - bias[0]), weights)
 
 
@@ -192,7 +220,9 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Model:
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(
         F.broadcast(sample), "doc_id").toPandas()
     rows = rows.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
-    return train(rows["text"].tolist(), (rows["toxic"].to_numpy() > 0).astype(np.int64))
+    texts, toxic = rows["text"].tolist(), (rows["toxic"].to_numpy() > 0).astype(np.int64)
+    del rows
+    return train(texts, toxic)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
