@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words kept per Python worker; beyond that the table starts anew.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 500_000
 
 # Characters for which lower-casing, composition and white space agree in every library.
 _PLAIN = re.compile("[\t\n\r -~¡-ÿ]*")
@@ -22,10 +22,19 @@ _PLAIN = re.compile("[\t\n\r -~¡-ÿ]*")
 _WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\s\\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 
 
+def byte_characters() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies: itself
+    where it is printable, else one of those from 256 on, in order."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(others)) for b in range(256)]
+
+
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, byte_characters()
         self.known: dict[str, int] = {}
         self.forget()
 
@@ -38,7 +47,9 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _learn(self, word: str) -> int:
-        ids = self.whole(word)
+        # Straight to the merges: the word is already cut out and in lower case.
+        letters = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+        ids = [t.id for t in self.model.tokenize(letters)]
         at = len(self.known)
         if at + 2 > len(self.bounds):
             self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
