@@ -57,6 +57,25 @@ def test_passages_of_over_fifty_words_go(spark, passage):
         assert sum(w in left for w in passage.split()) <= 12
 
 
+def test_passages_inside_other_sentences_go(spark):
+    """Between words of other sentences, at another place each time."""
+    passage = ("Green hills rise behind the old town, and a river winds down from them to the sea. "
+               "Boats lie along its banks, painted in blue, white and red. In the evening people "
+               "walk there, talk of the day, and watch the lights come on across the water. Later "
+               "the wind turns, the boats swing round, and all is still.")
+    own = lambda k, n: " ".join(f"own{k}x{i}" for i in range(n))
+    docs = spark.createDataFrame([doc(k, f"{own(k, 3 + k)} {passage} {own(-k, 9)}")
+                                  for k in range(12)])
+    out = result(sen.dedup_spans(docs.toDF("doc_id", "text", "lang", "source", "n_chars")))
+    assert passage in out[0][0]
+    for k in range(1, 12):
+        left = out[k][0]
+        assert own(k, 3 + k) in left and left.endswith(own(-k, 9))
+        # Only what shares a sentence with the words before it is left.
+        assert not [s for s in ("a river winds", "Boats lie", "In the evening", "Later",
+                                "all is still") if s in left]
+
+
 def test_short_runs_and_single_sentences_stay(spark):
     line = "The same long line of boilerplate stands in each and every document here."
     docs = spark.createDataFrame([doc(k, f"Word {k} is. {line} Then {k} comes. To. In. Of.")

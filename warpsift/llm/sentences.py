@@ -5,9 +5,10 @@ occur more than once anywhere are joined over all documents; and every sentence
 run that is not its first occurrence is removed. The first occurrence is the one with the
 smallest (doc_id, position).
 
-A sentence ends after a word with a full stop, question or exclamation mark at its end, at a
-line break, or after `MOST_WORDS` words, so that prose without marks is compared as well. Its
-white space belongs to it: the sentences of a text joined together are the text. Runs shorter
+A sentence ends after a word with a full stop, question or exclamation mark, comma, colon or
+semicolon at its end, at a line break, or after `MOST_WORDS` words: so prose without marks is
+compared as well, and a passage that stands in the middle of another sentence falls into step at
+its first mark. Its white space belongs to it: the sentences of a text joined together are the text. Runs shorter
 than `LEAST_CHARS` characters are passed over, as a few very short sentences repeat by chance.
 Spans are compared exactly (128-bit hashes of their words and white space, without the white
 space around each sentence).
@@ -24,14 +25,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.joins import fits_broadcast
+from .common import stored
 
 RUN = 3
 MOST_WORDS = 16
-LEAST_CHARS = 64
+LEAST_CHARS = 48
 
 # The five white-space characters that all regular-expression engines agree on.
 _WS = r"\t\n\f\r "
-SENTENCE = (rf"[{_WS}]*(?:[^{_WS}]*[^{_WS}.!?][\t\f\r ]+){{0,{MOST_WORDS - 1}}}"
+SENTENCE = (rf"[{_WS}]*(?:[^{_WS}]*[^{_WS}.!?,;:][\t\f\r ]+){{0,{MOST_WORDS - 1}}}"
             rf"[^{_WS}]+[{_WS}]*")
 
 
@@ -44,13 +46,15 @@ def _spans(docs: DataFrame, run: int, least: int) -> DataFrame:
     """One row per run: key, id, text hash, position. `docs` has _id and _text."""
     trimmed = F.transform(sentences_of(F.col("_text")),
                           lambda s: F.btrim(s, F.lit("\t\n\f\r ")))
-    bare = docs.select("_id", F.xxhash64("_text").alias("_th"), trimmed.alias("_s"))
+    bare = docs.select("_id", F.hash("_text").alias("_th"), trimmed.alias("_s"))
     last = F.size("_s") - run
     joined = F.transform(F.sequence(F.lit(0), last),
                          lambda i: F.array_join(F.slice("_s", i + 1, run), "\n"))
     spans = bare.where(last >= 0).select("_id", "_th", F.posexplode(joined).alias("_pos", "_run"))
+    # Two independent 64-bit hashes: fixed width, so that the rows that are shuffled stay short.
     return spans.where(F.length("_run") >= least).select(
-        F.unhex(F.md5("_run")).alias("_key"), F.struct("_id", "_th", "_pos").alias("_at"))
+        F.xxhash64("_run").alias("_key"), F.xxhash64(F.concat(F.lit("#"), "_run")).alias("_key2"),
+        "_id", "_th", "_pos")
 
 
 def dedup_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", run: int = RUN,
@@ -63,15 +67,21 @@ def dedup_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", run
     at_text, at_id = names[docs.columns.index(text)], names[docs.columns.index(doc_id)]
     inner = docs.toDF(*names).withColumns({"_id": F.col(at_id), "_text": F.col(at_text)})
     spans = _spans(inner.select("_id", "_text"), run, least)
-    # Counts combine before the shuffle, so that a passage in every document is one row a task.
-    repeated = spans.groupBy("_key").agg(F.min("_at").alias("_first"), F.count("*").alias("_n")) \
+    # Keys that occur twice: short rows, and counts combine before the shuffle, so that a passage
+    # in every document is one row a task. Only spans with such a key go on.
+    keys = stored(spans.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").select(
+        "_key"), "span-keys")
+    candidates = stored(spans.join(keys, "_key", "left_semi"), "spans")
+    at = F.struct("_id", "_th", "_pos")
+    repeated = candidates.groupBy("_key", "_key2").agg(F.min(at).alias("_first"),
+                                                  F.count("*").alias("_n")) \
         .where("_n > 1").drop("_n")
-    later = spans.join(repeated, "_key").where(~F.col("_at").eqNullSafe(F.col("_first")))
+    later = candidates.join(repeated, ["_key", "_key2"]).where(~at.eqNullSafe(F.col("_first")))
     # At most one entry per sentence of the document.
-    covered = later.groupBy(F.col("_at._id").alias("_i"), F.col("_at._th").alias("_t")).agg(
+    covered = later.groupBy(F.col("_id").alias("_i"), F.col("_th").alias("_t")).agg(
         F.array_distinct(F.flatten(F.collect_set(
-            F.sequence("_at._pos", F.col("_at._pos") + (run - 1))))).alias("_gone"))
-    on = inner["_id"].eqNullSafe(covered["_i"]) & (F.xxhash64(inner["_text"]) == covered["_t"])
+            F.sequence("_pos", F.col("_pos") + (run - 1))))).alias("_gone"))
+    on = inner["_id"].eqNullSafe(covered["_i"]) & (F.hash(inner["_text"]) == covered["_t"])
     if fits_broadcast(covered.select("_i", "_t", F.concat_ws(",", F.transform(
             "_gone", lambda p: p.cast("string"))).alias("_gone"))):
         covered = F.broadcast(covered)
