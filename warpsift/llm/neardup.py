@@ -48,7 +48,7 @@ ROWS = 4
 BANDS = 24
 COORDINATES = ROWS * BANDS
 BLOCK = 512
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 200_000
 
 _WORD = re.compile(r"\w+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
