@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -108,3 +109,65 @@ def test_null_and_repeated_ids(spark):
     rows = sen.dedup_spans(docs.toDF("doc_id", "text", "lang", "source", "n_chars")).collect()
     assert sorted((str(r.doc_id), r.text == text, r.text) for r in rows) == sorted(
         [("None", True, text), ("3", False, ""), ("3", False, ""), ("3", False, "other")])
+
+
+def all_runs(rows):
+    """Texts after `dedup_passages`, by a table of every run of pieces in every document."""
+    first, gone = {}, [set() for _ in rows]
+    cuts = [sen.pieces_of(t) for _, t in rows]
+    for i, (_, t) in enumerate(rows):
+        s = [t[a:b].strip(WS) for a, b in cuts[i]]
+        for p in range(len(s)):
+            for q in range(p + sen.RUN, len(s) + 1):
+                run = "\n".join(s[p:q])
+                if len(run) >= sen.LEAST_CHARS:
+                    if first.setdefault(run, (i, p)) != (i, p):
+                        gone[i].update(range(p, q))
+    return [(k, "".join(t[a:b] for p, (a, b) in enumerate(c) if p not in g) if g else t)
+            for (k, t), c, g in zip(rows, cuts, gone)]
+
+
+def passages(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in sen.dedup_passages(docs).orderBy("doc_id").collect()]
+
+
+@pytest.mark.parametrize("passage", [
+    ", ".join(f"item{i}" for i in range(120)) + ",",
+    "\n".join(f"line {i}" for i in range(60)) + "\n",
+    " ".join(f"WORD{i}!!" for i in range(200))])
+def test_passages_of_short_pieces_go(spark, passage):
+    out = passages(spark, [f"Own words of document number {k}: {passage} And {k} ends."
+                           for k in range(4)])
+    assert passage in out[0]
+    for k in range(1, 4):
+        assert f"document number {k}:" in out[k] and out[k].endswith(f"And {k} ends.")
+        assert sum(w in out[k].split() for w in set(passage.split())) <= 2
+
+
+def test_passages_against_a_table_of_all_runs(spark):
+    r = random.Random(3)
+    shared = [" ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 9)))
+                       + r.choice(["", "", "", ",", ".\n"]) for _ in range(40)) for _ in range(5)]
+    texts = []
+    for k in range(25):
+        parts = []
+        for _ in range(3):
+            low = r.randrange(150)
+            parts += [f"own {k}", r.choice(shared)[low:low + r.randrange(200)]]
+        texts.append(" ".join(parts))
+    spans = sen.dedup_spans(spark.createDataFrame(list(enumerate(texts)),
+                                                  "doc_id long, text string"))
+    rows = [(x.doc_id, x.text) for x in spans.orderBy("doc_id").collect()]
+    want = all_runs(rows)
+    assert want != rows and passages(spark, texts) == [t for _, t in want]
+
+
+def test_odd_rows_of_passages(spark, odd_docs, no_docs):
+    rows = sen.dedup_passages(odd_docs).collect()
+    assert len(rows) == odd_docs.count() and sum(r.text is None for r in rows) == 2
+    twice = [r for r in rows if r.doc_id == 9]
+    assert len(twice) == 2 and twice[0] == twice[1] and twice[0].text
+    assert sen.dedup_passages(no_docs).count() == 0
+    for t in ("", " \n ", "a", "\n a b.\n c ", "x " * 50):
+        assert "".join(t[a:b] for a, b in sen.pieces_of(t)) == (t if t.strip() else "")

@@ -22,7 +22,13 @@ else ValueError.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.joins import fits_broadcast
 from .common import stored
@@ -36,6 +42,9 @@ _WS = r"\t\n\f\r "
 SENTENCE = (rf"[{_WS}]*(?:[^{_WS}]*[^{_WS}.!?,;:][\t\f\r ]+){{0,{MOST_WORDS - 1}}}"
             rf"[^{_WS}]+[{_WS}]*")
 
+_WORD = re.compile(rf"([^{_WS}]+)[{_WS}]*")
+_ENDS = frozenset(".!?,;:")
+
 
 def sentences_of(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)),
@@ -97,6 +106,106 @@ def dedup_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", run
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
+def pieces_of(text: str) -> list[tuple[int, int]]:
+    """Start and end of each piece of `dedup_passages`; together they are the text."""
+    out, start, words = [], 0, 0
+    for m in _WORD.finditer(text):
+        word, words = m[1], words + 1
+        if (word[-1] in _ENDS or words == MOST_WORDS or "\n" in m[0]):
+            out.append((start, m.end()))
+            start, words = m.end(), 0
+    if words:
+        out.append((start, len(text)))
+    return out
+
+
+def runs_of(text: str) -> Iterator[tuple[str, int, int]]:
+    """(words, start, end) of every run that has `RUN` pieces and `LEAST_CHARS` characters at
+    least, and would not without its first piece, or not without its last."""
+    places = pieces_of(text)
+    bare = [text[a:b].strip("\t\n\f\r ") for a, b in places]
+    n = len(bare)
+    end, size = 0, -1                       # the shortest run from `i` is bare[i:end]
+    for i in range(n):
+        while end < n and (end - i < RUN or size < LEAST_CHARS):
+            size += len(bare[end]) + 1
+            end += 1
+        if end - i < RUN or size < LEAST_CHARS:
+            return
+        size -= len(bare[i]) + 1
+        last, rest = end, size              # runs that end where none of those from `i + 1` do
+        while True:
+            yield "\n".join(bare[i:last]), places[i][0], places[last - 1][1]
+            if last == n or last - i - 1 >= RUN and rest >= LEAST_CHARS:
+                break
+            rest += len(bare[last]) + 1
+            last += 1
+            if last - i - 1 >= RUN and rest >= LEAST_CHARS:
+                break
+
+
+def without(text: str, gone: list) -> str:
+    """`text` without the ranges in `gone`, which may overlap."""
+    kept, at = [], 0
+    for low, high in sorted((r[0], r[1]) for r in gone):
+        kept.append(text[at:max(at, low)])
+        at = max(at, high)
+    return "".join(kept) + text[at:]
+
+
+def dedup_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """`dedup_spans`, and then what its runs pass over: adds `chars_removed`, by the second step.
+
+    Pieces end at marks, at line breaks and after `MOST_WORDS` words. A run is as many pieces as it takes, `RUN` at least, to have `LEAST_CHARS` characters,
+    so passages of very short pieces are compared too. Order and rows as in `dedup_spans`.
+    """
+    if "chars_removed" in {c.lower() for c in docs.columns}:
+        raise ValueError("rename the column chars_removed first")
+    docs = stored(dedup_spans(docs, text, doc_id), "sentence-spans")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at_text, at_id = names[docs.columns.index(text)], names[docs.columns.index(doc_id)]
+    inner = docs.toDF(*names).withColumns({"_id": F.col(at_id), "_text": F.col(at_text)})
+    bare = inner.select("_id", F.hash("_text").alias("_th"), "_text")
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, value in enumerate(batch.column(2)):
+                found = [(int.from_bytes(h[:8], "big", signed=True),
+                          int.from_bytes(h[8:], "big", signed=True), low, high)
+                         for run, low, high in runs_of(value.as_py() or "")
+                         for h in (xxhash.xxh3_128_digest(run.encode("utf-8", "surrogatepass")),)]
+                for k in range(0, len(found), 10_000):
+                    part = list(zip(*found[k:k + 10_000]))
+                    same = pa.array([row] * len(part[0]), pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(same), batch.column(1).take(same),
+                         *[pa.array(c, t) for c, t in zip(part, (pa.int64(), pa.int64(),
+                                                                 pa.int32(), pa.int32()))]],
+                        names=["_id", "_th", "_key", "_key2", "_low", "_high"])
+
+    shape = StructType([bare.schema["_id"], bare.schema["_th"]]).add("_key", "long").add(
+        "_key2", "long").add("_low", "integer").add("_high", "integer")
+    spans = bare.mapInArrow(runs, shape)
+    keys = stored(spans.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").select(
+        "_key"), "passage-keys")
+    candidates = stored(spans.join(keys, "_key", "left_semi"), "passages")
+    at = F.struct("_id", "_th", "_low")
+    repeated = candidates.groupBy("_key", "_key2").agg(F.min(at).alias("_first"),
+                                                       F.count("*").alias("_n")) \
+        .where("_n > 1").drop("_n")
+    later = candidates.join(repeated, ["_key", "_key2"]).where(~at.eqNullSafe(F.col("_first")))
+    covered = later.groupBy(F.col("_id").alias("_i"), F.col("_th").alias("_t")).agg(
+        F.collect_set(F.struct("_low", "_high")).alias("_gone"))
+    on = inner["_id"].eqNullSafe(covered["_i"]) & (F.hash(inner["_text"]) == covered["_t"])
+    cut = F.udf(lambda t, g: None if t is None or g is None else without(t, g), "string")
+    out = inner.join(covered, on, "left").withColumn("_left", F.coalesce(cut(
+        F.when(F.col("_gone").isNotNull(), F.col("_text")), F.col("_gone")), F.col("_text")))
+    return out.select(
+        *[F.col("_left" if n == at_text else n).alias(c) for n, c in zip(names, docs.columns)],
+        (F.coalesce(F.length("_text"), F.lit(0)) - F.coalesce(F.length("_left"), F.lit(0))).cast(
+            "long").alias("chars_removed"))
+
+
 def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         F.col("doc_id").cast("long").alias("doc_id"), "text")
