@@ -145,6 +145,17 @@ def test_passages_of_short_pieces_go(spark, passage):
         assert sum(w in out[k].split() for w in set(passage.split())) <= 2
 
 
+def test_unmarked_passages_at_other_offsets_go(spark):
+    passage = " ".join(f"passage{i}" for i in range(200))
+    own = lambda k, n: " ".join(f"own{k}x{i}" for i in range(n))
+    out = passages(spark, [f"{own(k, 3 + k)} {passage} {own(-k - 1, 5)}" for k in range(6)])
+    assert passage in out[0]
+    for k in range(1, 6):
+        assert out[k].startswith(own(k, 3 + k)) and out[k].endswith(own(-k - 1, 5))
+        # What shares a piece with the words before or after it is left.
+        assert sum(w in out[k].split() for w in passage.split()) <= 2 * sen.MOST_WORDS
+
+
 def test_passages_against_a_table_of_all_runs(spark):
     r = random.Random(3)
     shared = [" ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 9)))

@@ -41,6 +41,8 @@ LEAST_CHARS = 48
 _WS = r"\t\n\f\r "
 SENTENCE = (rf"[{_WS}]*(?:[^{_WS}]*[^{_WS}.!?,;:][\t\f\r ]+){{0,{MOST_WORDS - 1}}}"
             rf"[^{_WS}]+[{_WS}]*")
+#: `dedup_passages` also ends a piece at one word in so many, chosen by the word's hash.
+WORDS_PER_CUT = 8
 
 _WORD = re.compile(rf"([^{_WS}]+)[{_WS}]*")
 _ENDS = frozenset(".!?,;:")
@@ -111,7 +113,8 @@ def pieces_of(text: str) -> list[tuple[int, int]]:
     out, start, words = [], 0, 0
     for m in _WORD.finditer(text):
         word, words = m[1], words + 1
-        if (word[-1] in _ENDS or words == MOST_WORDS or "\n" in m[0]):
+        if (word[-1] in _ENDS or words == MOST_WORDS or "\n" in m[0]
+                or xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) % WORDS_PER_CUT == 0):
             out.append((start, m.end()))
             start, words = m.end(), 0
     if words:
@@ -156,7 +159,9 @@ def without(text: str, gone: list) -> str:
 def dedup_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """`dedup_spans`, and then what its runs pass over: adds `chars_removed`, by the second step.
 
-    Pieces end at marks, at line breaks and after `MOST_WORDS` words. A run is as many pieces as it takes, `RUN` at least, to have `LEAST_CHARS` characters,
+    Pieces end at marks and line breaks, and within long stretches at words chosen by their hash,
+    so that they fall alike wherever a passage stands; `MOST_WORDS` bounds those without such a
+    word. A run is as many pieces as it takes, `RUN` at least, to have `LEAST_CHARS` characters,
     so passages of very short pieces are compared too. Order and rows as in `dedup_spans`.
     """
     if "chars_removed" in {c.lower() for c in docs.columns}:
