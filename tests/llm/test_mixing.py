@@ -72,3 +72,15 @@ def test_odd_rows(spark, odd_docs, no_docs, tables):
 def test_rows_repeat(spark):
     df = spark.createDataFrame([("a", 0), ("b", 1), ("c", 3)], "k string, copies int")
     assert sorted(r.k for r in mixing.repeat_rows(df).collect()) == ["b", "c", "c", "c"]
+
+
+def test_rows_that_share_an_id_are_taken_one_by_one(spark):
+    """A third of the rows have no id, a third share one; no source goes beyond its target by them."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else 1000 + i, "ab"[i % 2], 20 + i * 37 % 101)
+            for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, words bigint")
+    out = mixing.mix(df, F.col("words"), F.array("source"), ["doc_id"]).collect()
+    assert len(out) == 600
+    for source in "ab":
+        of = [r for r in out if r.source == source]
+        assert abs(sum(r.taken for r in of) - of[0].flow) <= 10

@@ -11,7 +11,8 @@ Only one row per pattern reaches the driver. Patterns are bounded by the vocabul
 sources, not by the documents; more than `MAX_PATTERNS` is an error, never a cut.
 
 Rows: a null text has size 0; documents of size 0 bring no words and are taken 0 words.
-A null source is a source of its own, the last. Repeated rows are documents of their own. An
+A null source is a source of its own, the last. Repeated rows are documents of their own, and so
+are rows that share an id or have none. An
 empty table gives an empty result. Columns of the input keep their names; the new ones
 (`size`, `copies`, `taken`, ...) must not clash, else ValueError.
 """
@@ -23,7 +24,7 @@ from collections import deque
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import column, running, seeded
+from .common import column, running, seeded, stored
 
 SEED = 20240131
 WEIGHTS = (5, 2, 1)
@@ -127,7 +128,9 @@ def mix(docs: DataFrame, size: Column, members: Column, order: list[str],
         .toDF(*names, "_size", "_members")
     keyed = inner.withColumn("_pattern", F.to_json("_members", {"ignoreNullFields": "false"})) \
         .drop("_members").withColumn("_h", seeded(seed, *[column(c) for c in ids]))
-    summed = running(keyed, ["_pattern"], ["_h", *ids], {"_upto": "_size"}, "mix")
+    # A place of its own for each row: rows of one size and id stay apart.
+    summed = stored(running(keyed, ["_pattern"], ["_h", *ids], {"_upto": "_size"}, "mix")
+                    .withColumn("_place", F.monotonically_increasing_id()), "mix-places")
 
     found = summed.groupBy("_pattern").agg(F.first("_upto_all").alias("size")) \
         .withColumn("members", F.from_json("_pattern", "array<string>")) \
@@ -165,10 +168,8 @@ def mix(docs: DataFrame, size: Column, members: Column, order: list[str],
         # Only the last may go beyond the gap, if that brings it nearer.
         fits = "_size <= _gap" if turn < FILLS - 1 else "_size < 2 * _gap"
         last = open_.where(fits).groupBy("_pattern").agg(F.min(F.struct(
-            F.abs(F.col("_gap") - F.col("_size")).alias("s"), "_h", *ids)).alias("_last"))
-        same = F.col("_size") > 0
-        for c in ("_h", *ids):
-            same = same & F.col(f"_last.{c}").eqNullSafe(F.col(c))
+            F.abs(F.col("_gap") - F.col("_size")).alias("s"), "_h", *ids, "_place")).alias("_last"))
+        same = F.col("_last._place") == F.col("_place")
         chosen = chosen.join(F.broadcast(last), "_pattern", "left").withColumn(
             "_more", F.col("_more") | F.coalesce(F.col("_last").isNotNull() & same, F.lit(False))
         ).drop("_last")
