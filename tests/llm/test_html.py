@@ -108,3 +108,18 @@ def test_odd_rows(spark, chain):
     assert [r.text for r in out if r.page_id is None] == ["Some text here."]
     assert html.extract(df.limit(0), chain).count() == 0
     assert html.extract(df.drop("url"), chain).count() == 6
+
+
+def test_heads_without_an_end():
+    head = "<!DOCTYPE html><html><head><title>x <b>y</title><meta a=b><style>p{}</style>"
+    assert texts(f"{head}<article><h1>A</h1><p>b") == ["A", "b"]
+    assert texts(f"{head}<noscript><p>z</noscript><script>1</script> <a href=''>A</a>") == ["A"]
+    assert texts(f"{head}b<p>c") == ["b", "c"]
+    assert texts(f"{head}</head><body><p>c") == ["c"]
+
+
+def test_formulas_and_upper_case_end_tags():
+    assert texts("<p>so <math><semantics><mi>E</mi><mo>=</mo><mi>m</mi><annotation>E=m</annotation>"
+                 "</semantics></math> holds") == ["so E=m holds"]
+    assert texts("<p>İ<SCRIPT>1</SCRIPT>x<STYLE>p{}</STYLE>y") == ["İxy"]
+    assert texts("<p>a<script>'</scripts>'</script>b") == ["ab"]

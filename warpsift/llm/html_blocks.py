@@ -22,9 +22,16 @@ _SPACE = re.compile(r"\s+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp "
-                    "small span strike strong sub sup time tt u var wbr".split())
-_SILENT = frozenset("script style template svg math object".split())
+                    "small span strike strong sub sup time tt u var wbr "
+                    "math merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow "
+                    "ms msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover "
+                    "semantics".split())
+#: `annotation` repeats a formula in another notation.
+_SILENT = frozenset("script style template svg object annotation annotation-xml".split())
+_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I | re.A) for t in _SILENT}
 _HEAD = frozenset(["head", "title"])
+#: Elements that may stand in a head; any other start tag, or text, ends it.
+_IN_HEAD = frozenset("title meta link style script base noscript template head html".split())
 #: Elements that end an open element of the same kind, and the elements that hold them together.
 _ENDS = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th",
          "th": "td th", "option": "option"}
@@ -64,7 +71,13 @@ def blocks_of(html: str) -> list[Block]:
     def close(upto: int) -> None:
         del stack[upto:]
 
-    lower = None
+    def leave_head() -> None:
+        """A head that was never closed ends here."""
+        for i, (t, _) in enumerate(stack):
+            if t == "head" and all(u not in ("title", "noscript") for u, _ in stack[i:]):
+                del stack[i]
+                break
+
     at, end = 0, len(html)
     while at < end:
         m = _TOKEN.match(html, at)
@@ -74,6 +87,8 @@ def blocks_of(html: str) -> list[Block]:
             piece = m[0]
             if piece.startswith(("<!", "<?")):
                 continue
+            if not piece.isspace():
+                leave_head()
             if any(t in _HEAD for t, _ in stack):
                 continue
             if where is None and not piece.isspace():
@@ -95,11 +110,12 @@ def blocks_of(html: str) -> list[Block]:
                 if tag in _INLINE and stack[i][0] not in _INLINE:
                     break                       # an inline end tag closes no block
             continue
+        if tag not in _IN_HEAD:
+            leave_head()
         if tag in _SILENT:
             if not rest.rstrip().endswith("/"):
-                lower = html.lower() if lower is None else lower
-                stop = lower.find(f"</{tag}", at) if len(lower) == end else html.find(f"</{tag}", at)
-                stop = end if stop < 0 else html.find(">", stop)
+                found = _END[tag].search(html, at)
+                stop = html.find(">", found.end()) if found else end
                 at = end if stop < 0 else min(stop + 1, end)
             continue
         if tag in _VOID:
