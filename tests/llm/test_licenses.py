@@ -84,3 +84,15 @@ def test_query_against_plain_counts(spark, sf_dir):
 
 def test_many_finds_in_one_text():
     assert lic.scan_text("gnu general public license " * 3000)[1] == 3000
+
+
+def test_edited_licence_lines_of_the_documents():
+    for line, label in (("Licensed under the Apache Licence, Version 2.0.", "apache"),
+                        ("See the Apache Licence.", "apache"),
+                        ("Released under the MIT Licence.", "mit"),
+                        ("Licensd under the MIT Licence.", "mit"),
+                        ("Licensed uder CC BY-NC 4.0.", "cc-by"),
+                        ("This work is licensed under the GNU Genral Public Licence.", "gpl"),
+                        ("All rigts reserved.", "reserved")):
+        assert lic.scan_text(f"Some words. {line}\nMore.")[5] == label, line
+    assert lic.scan_text("They submit license forms, permit licences and limit license use.")[5] == ""

@@ -48,6 +48,11 @@ NOTICES = (
     ("permission to use copy modify and or distribute this software for any purpose", "isc"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("all rights reserved", "reserved"),
+    ("apache license", "apache"),
+    ("apache license version 2 0", "apache"),
+    ("the mit license", "mit"),
+    ("licensed under the mit license", "mit"),
+    ("licensed under cc by", "cc-by"),
 )
 #: One edit for every so many characters, `MOST_EDITS` at most.
 CHARS_PER_EDIT = 12
