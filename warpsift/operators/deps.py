@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.patterns import quoted
+from ..functions.ranges import intervals
 from ..functions.versions import major, version_key
+from ..rules.base import SEVERITY_RANK
 from ..rules.catalog import (ADVISORY_SEVERITY, FRAMEWORKS, NEW_PACKAGE_DAYS, PACK_ORDER,
                              REGISTRY_SKIP, UNMAINTAINED, deps)
 from ..schema import FINDING_COLUMNS
 from ..session import constant_table
+from .closure import reached
+from .intervals import overlaps
 from .joins import lookup_join
 
 _RULES = {r.rule_id: (i, r) for i, r in enumerate(deps.rules)}
@@ -70,6 +74,11 @@ _ADVICE = "CASE package " + " ".join(
 _CHECKABLE = " AND ".join(f"NOT startswith(package, '{p}')" for p in REGISTRY_SKIP)
 
 
+def severity_rank(severity):
+    """0 for the worst."""
+    return F.coalesce(*[F.when(severity == s, n) for s, n in SEVERITY_RANK.items()])
+
+
 def _age(as_of: str) -> str:
     """SQL: fractional days since a package was created."""
     return (f"((unix_micros(CAST('{as_of}' AS TIMESTAMP)) - unix_micros(created))"
@@ -110,6 +119,63 @@ def known_vulnerabilities(manifest: DataFrame, advisories: DataFrame) -> DataFra
                             remediation=_FIX))
 
 
+def range_vulnerabilities(manifest: DataFrame, advisories: DataFrame) -> DataFrame:
+    """Declared ranges that allow versions inside an advisory's range.
+
+    `exposure` is `all` where every allowed version is affected, else `some`. What is declared
+    is compared once per package and text, however many repositories declare it; the pairs come
+    from an interval join, which stays in proportion to its result for a package with thousands
+    of advisories. A plain version allows itself only; tags and addresses match nothing.
+    """
+    declared = manifest.select("package", "version").distinct().selectExpr(
+        "package", "version", f"{intervals('version')} AS spans").where("size(spans) > 0")
+    ours = declared.select("package", "version", F.size("spans").alias("n"),
+                           F.explode("spans").alias("i")).select("package", "version", "n", "i.*")
+    bounds = "concat('>=', introduced, coalesce(concat(' <', fixed), ''))"
+    known = advisories.selectExpr(
+        "package", "severity AS _level", "introduced", "fixed",
+        f"explode({intervals(bounds)}) AS i").select(
+        "package", "_level", "introduced", "fixed", "i.*")
+    inside = "lo >= other_lo AND hi <= other_hi"
+    met = overlaps(ours, known, ["package"]).groupBy(
+        "package", "version", "n", "_level", "introduced", "fixed").agg(
+        F.count_if(F.expr(inside)).alias("within")).select(
+        "package", "version", F.expr(_LEVEL).alias("severity"), "introduced", "fixed",
+        F.when(F.col("within") == F.col("n"), "all").otherwise("some").alias("exposure"),
+        F.expr(_FIX).alias("remediation"))
+    return lookup_join(manifest.select("repo_id", "package", "version").distinct(), met,
+                       ["package", "version"]).select(
+        "repo_id", "package", "version", "severity", "introduced", "fixed", "exposure",
+        "remediation")
+
+
+def indirect_vulnerabilities(manifest: DataFrame, requirements: DataFrame,
+                             advisories: DataFrame) -> DataFrame:
+    """Affected packages that a repository gets through its direct dependencies.
+
+    One row per repository, affected package and version, with the shortest path that leads
+    there (of several the least text) as the reason.
+    """
+    needs = requirements.select("requires", "version").distinct().select(
+        "requires", "version", version_key("version").alias("_v"))
+    known = advisories.select(F.col("package").alias("requires"), F.col("severity").alias("_level"),
+                              version_key("introduced").alias("_from"),
+                              version_key("fixed").alias("_to"))
+    levels = F.expr(_LEVEL)
+    worst = F.min(F.struct(severity_rank(levels).alias("rank"), levels.alias("severity")))
+    affected = lookup_join(needs, known, ["requires"]).where(
+        "_from <= _v AND (_to IS NULL OR _v < _to)").groupBy("requires", "version").agg(
+        worst.getField("severity").alias("severity"))
+    paths = reached(requirements, affected)
+    hit = lookup_join(manifest.select("repo_id", "package").distinct(), paths, ["package"])
+    best = F.min(F.struct("hops", "path")).alias("best")
+    found = hit.groupBy("repo_id", "target", "version").agg(best)
+    return lookup_join(found.withColumnRenamed("target", "requires"), affected,
+                       ["requires", "version"]).select(
+        "repo_id", F.col("requires").alias("package"), "version", "severity",
+        F.col("best.hops").alias("hops"), F.col("best.path").alias("reason"))
+
+
 def vulnerability_details(manifest: DataFrame, advisories: DataFrame) -> DataFrame:
     """What an advisory says of each declared version in its range; absent facts are N/A."""
     ours = manifest.select("repo_id", "package", "version", version_key("version").alias("_v"))

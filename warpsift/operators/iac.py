@@ -1,10 +1,15 @@
-"""Container and workflow files, read line by line inside their own row."""
+"""Container and workflow files, read line by line inside their own row.
+
+A workflow is read into its entries first (see `workflow`), so only the permissions of the whole
+workflow count, however the key is written, and not those of a job or words inside a script.
+"""
 
 from __future__ import annotations
 
 from ..functions.lines import hit, lines_of
 from ..functions.patterns import js_trim, quoted
-from ..rules.iac import WRITE_ALL, WRITE_ALL_TEXT
+from ..rules.iac import WRITE_ALL, WRITE_ALL_KEY, WRITE_ALL_TEXT
+from .workflow import entries
 
 _TRIMMED = js_trim("l")
 _IS_USER = f"startswith(upper({_TRIMMED}), 'USER ')"
@@ -28,5 +33,7 @@ def docker_hits(text: str, numbers: dict[str, int]) -> str:
 def workflow_hits(text: str, numbers: dict[str, int]) -> str:
     at = (f"array_position(transform({lines_of(text)}, "
           f"l -> contains(l, {quoted(WRITE_ALL_TEXT)})), true)")
-    return (f"CASE WHEN {text} RLIKE {quoted(WRITE_ALL)} "
-            f"THEN array({hit(numbers['gha_write_all'], f'greatest({at}, 1)')}) END")
+    told = f"contains({text}, '{WRITE_ALL_KEY}') AND contains({text}, '{WRITE_ALL}')"
+    top = f"e.path = '{WRITE_ALL_KEY}' AND e.value = '{WRITE_ALL}'"
+    return (f"CASE WHEN {told} THEN CASE WHEN exists({entries(text)}, e -> {top}) "
+            f"THEN array({hit(numbers['gha_write_all'], f'greatest({at}, 1)')}) END END")

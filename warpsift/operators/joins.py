@@ -17,9 +17,14 @@ _SALT = "_salt"
 
 def fits_broadcast(table: DataFrame, max_rows=BROADCAST_ROWS, max_bytes=BROADCAST_BYTES) -> bool:
     """Measure a table, reading at most max_rows + 1 rows of it."""
-    width = sum((F.coalesce(F.octet_length(F.col(f.name)), F.lit(0))
-                 if f.dataType.simpleString() == "string" else F.lit(16))
-                for f in table.schema.fields)
+    def bytes_of(f):
+        if f.dataType.typeName() == "array":  # of hits and the like: a guess for each element
+            return 16 + 64 * F.coalesce(F.size(F.col(f.name)), F.lit(0))
+        if f.dataType.simpleString() == "string":
+            return F.coalesce(F.octet_length(F.col(f.name)), F.lit(0))
+        return F.lit(16)
+
+    width = sum(bytes_of(f) for f in table.schema.fields)
     rows, size = table.limit(max_rows + 1).agg(F.count("*"), F.sum(width)).first()
     return rows <= max_rows and (size or 0) <= max_bytes
 

@@ -118,12 +118,17 @@ def overall_status(findings: DataFrame, repos: DataFrame) -> DataFrame:
                        .otherwise("pass").alias("status"))
 
 
-def security_grade(findings: DataFrame, repos: DataFrame) -> DataFrame:
+def grade_of(total: str):
     """A+ for none, then A below 5, B below 15, C below 30, else F."""
-    n = F.col("total")
+    n = F.col(total)
+    return F.when(n == 0, "A+").when(n < 5, "A").when(n < 15, "B").when(n < 30, "C") \
+        .otherwise("F")
+
+
+def security_grade(findings: DataFrame, repos: DataFrame) -> DataFrame:
+    """The grade of each repository by its number of findings."""
     return _per_repo(findings, repos, _total()).select("repo_id", _zero("total")).select(
-        "repo_id", "total", F.when(n == 0, "A+").when(n < 5, "A").when(n < 15, "B")
-        .when(n < 30, "C").otherwise("F").alias("grade"))
+        "repo_id", "total", grade_of("total").alias("grade"))
 
 
 def release_gate(findings: DataFrame, repos: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.lines import NO_HITS, hit, hit_per_match
 from ..functions.patterns import (Text, ascii_lower, flagged, quoted, shared_words,
                                   without_nel)
-from ..rules.base import PER_FILE, PER_MATCH, Pattern, Rule
+from ..rules.base import OTHER, PER_FILE, PER_MATCH, Pattern, Rule
 from ..rules.catalog import FILE_PACKS, PACK_ORDER, rules_of
 from ..rules.prompts import COMMENT_PREFIX
 from ..schema import FINDING_COLUMNS
@@ -38,18 +38,37 @@ def _condition(rule: Rule, text: Text) -> str:
     return " AND ".join(tests)
 
 
+def selectors_of(rule: Rule) -> list[str]:
+    """The selectors whose files a rule looks at."""
+    if rule.emits == COMMENT_PREFIX:
+        return ["comments"]
+    if rule.pack == "iac":
+        return ["workflows" if rule.rule_id.startswith("gha_") else "dockerfiles"]
+    return [rule.pack]
+
+
 def _line(rule: Rule, text: Text):
     return text.first_line(rule.line) if isinstance(rule.line, Pattern) else rule.line
 
 
-def scan_files(files: DataFrame, packs=FILE_PACKS, extra_rules=(), select=True) -> DataFrame:
+def _asked(packs, extra_rules, only) -> tuple[list[str], list[Rule]]:
+    """The packs in report order and their rules, or the rules of `only` and their packs."""
+    if only is not None:
+        if any(r.emits == OTHER for r in only):
+            raise ValueError("rules with an operator of their own run with their pack")
+        packs = {r.pack for r in only}
+    packs = [p for p in PACK_ORDER if p in set(packs) and p != "deps"]
+    return packs, rules_of(packs, extra_rules) if only is None else list(only)
+
+
+def scan_files(files: DataFrame, packs=FILE_PACKS, extra_rules=(), select=True,
+               only=None) -> DataFrame:
     """Add `hits`, an array of rule hits in report order, to each file.
 
-    `extra_rules` are further rules of the given packs. With `select=False` every file
-    is tested whatever its path (changed-file scans).
+    `extra_rules` are further rules of the given packs; `only` lists rules to test in place of
+    whole packs. With `select=False` every file is tested whatever its path (changed-file scans).
     """
-    packs = [p for p in PACK_ORDER if p in set(packs) and p != "deps"]
-    rules = rules_of(packs, extra_rules)
+    packs, rules = _asked(packs, extra_rules, only)
     number = {id(r): i for i, r in enumerate(rules)}
     by_pack = {p: [(number[id(r)], r) for r in rules if r.pack == p] for p in packs}
     keep = files.columns
@@ -83,9 +102,11 @@ def scan_files(files: DataFrame, packs=FILE_PACKS, extra_rules=(), select=True)
                              f"{hit_per_match('content', r.all_of[0], no, r.match_chars)} END")
         numbers = {r.rule_id: no for no, r in by_pack[pack]}
         special = {}
-        if pack == "prompts":
-            special["comments"] = comment_hits(
-                "content", [(no, r) for no, r in by_pack[pack] if r.emits == COMMENT_PREFIX])
+        in_comments = [(no, r) for no, r in by_pack[pack] if r.emits == COMMENT_PREFIX]
+        if in_comments:
+            special["comments"] = comment_hits("content", in_comments)
+        elif only is not None:
+            pass
         elif pack == "iac":
             special["dockerfiles"] = docker_hits("content", numbers)
             special["workflows"] = workflow_hits("content", numbers)
@@ -97,10 +118,9 @@ def scan_files(files: DataFrame, packs=FILE_PACKS, extra_rules=(), select=True)
     return work.selectExpr(*keep, hits)
 
 
-def rule_table(spark: SparkSession, packs, extra_rules=()) -> DataFrame:
+def rule_table(spark: SparkSession, packs, extra_rules=(), only=None) -> DataFrame:
     """The rules as a small table keyed by `rule_no` (fixed size: the catalog)."""
-    packs = [p for p in PACK_ORDER if p in set(packs)]
-    rules = rules_of(packs, extra_rules)
+    packs, rules = _asked(packs, extra_rules, only)
     # Position of a rule in its own pack, whatever packs are asked for.
     within = {id(r): n for p in packs for n, r in enumerate(r for r in rules if r.pack == p)}
     rows = [(i, r.pack, PACK_ORDER[r.pack], within[id(r)], r.rule_id, r.type, r.category,
@@ -117,20 +137,23 @@ def finding_id(*parts) -> Column:
 
 
 def explode_hits(scanned: DataFrame, packs=FILE_PACKS, extra_rules=(), keep=(),
-                 hit_fields=()) -> DataFrame:
+                 hit_fields=(), only=None) -> DataFrame:
     """Finding rows of a scanned table.
 
     `keep` names further file columns to carry along, `hit_fields` further fields of a hit.
     """
-    packs = [p for p in PACK_ORDER if p in set(packs) and p != "deps"]
-    rules = F.broadcast(rule_table(scanned.sparkSession, packs, extra_rules))
     # The outer form keeps Catalyst from adding a "has hits" filter below the explode, which
     # would evaluate the whole catalog a second time.
     rows = scanned.select("repo_id", "path", *keep, F.explode_outer("hits").alias("h")) \
         .where("h IS NOT NULL").select("repo_id", "path", *keep, "h.*")
-    extra = [*keep, *hit_fields]
-    return rows.join(rules, "rule_no").select(
+    return finding_rows(rows, rule_table(scanned.sparkSession, packs, extra_rules, only),
+                        [*keep, *hit_fields])
+
+
+def finding_rows(rows: DataFrame, rules: DataFrame, keep=()) -> DataFrame:
+    """Findings of single hits, by joining the rules' own texts (fixed size: the catalog)."""
+    return rows.join(F.broadcast(rules), "rule_no").select(
         *[c for c in FINDING_COLUMNS if c not in ("finding_id", "package")],
         finding_id("repo_id", "path", "rule_id", "match_ord").alias("finding_id"),
-        F.lit(None).cast("string").alias("package"), "pack_ord", "rule_ord", *extra) \
-        .select(*FINDING_COLUMNS, "pack_ord", "rule_ord", *extra)
+        F.lit(None).cast("string").alias("package"), "pack_ord", "rule_ord", *keep) \
+        .select(*FINDING_COLUMNS, "pack_ord", "rule_ord", *keep)

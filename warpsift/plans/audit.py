@@ -5,14 +5,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import deps, env
+from ..operators.candidates import candidates
+from ..operators.joins import lookup_join
 from ..operators.scan import explode_hits, scan_files
 from ..operators.select import ignore_paths
 from ..rules.catalog import PACK_ORDER, SCANS, rules_of
 from ..session import shared_dir
-from ..sources.files import only_files
+from ..sources.files import only_files, read_table
+from ..sources.trigrams import read_index
 
 
 @dataclass
@@ -73,6 +76,27 @@ def quick(files: DataFrame) -> DataFrame:
     return audit(files, ["secrets"])
 
 
+def indexed_scan(spark: SparkSession, stored: str, packs=(), rules=()) -> DataFrame:
+    """Findings of packs, or of some rules alone, over files kept by `write_table`.
+
+    Candidates come from the trigram index; only the folders that hold some are opened, and only
+    the candidates' texts are tested. The `env` pack judges whole repositories and is refused.
+    """
+    only = list(rules) or None
+    asked = only or rules_of([p for p in packs if p != "deps"])
+    if any(r.pack == "env" for r in asked):
+        raise ValueError("the env pack needs every file of a repository")
+    path = shared_dir(spark, "candidates")
+    candidates(read_index(spark, stored), asked).write.parquet(path)
+    chosen = spark.read.schema("repo_part int, repo_id bigint, path string").parquet(path)
+    # The numbers of the folders, at most as many as there are folders, prune the read even where
+    # the candidates are too many to be sent to every task.
+    parts = F.broadcast(chosen.select("repo_part").distinct())
+    files = read_table(spark, stored).join(parts, "repo_part", "left_semi")
+    texts = lookup_join(files, chosen, ["repo_part", "repo_id", "path"], "left_semi")
+    return explode_hits(scan_files(texts, packs, only=only), packs, only=only)
+
+
 def changed_files_scan(files: DataFrame, changed: DataFrame, packs=("secrets",)) -> DataFrame:
     """Scan only files that were added, copied or modified, whatever their path.
 

@@ -12,7 +12,7 @@ from ..functions.globs import any_glob
 from ..functions.patterns import JS_TRIM, tokens
 from ..operators import fixes
 from ..operators.reports import RECOMMENDATIONS
-from ..operators.routes import CALL, TOKEN
+from ..operators.routes import CALL, token
 from ..operators.select import ROUTE_SKIP, SELECTORS
 from ..rules import env as env_rules, iac as iac_rules
 from ..rules.base import PER_FILE, PER_MATCH, SEVERITIES, Pattern, Rule
@@ -22,9 +22,10 @@ from ..rules.catalog import (ADVISORY_SEVERITY, COMPLIANCE, DASHBOARD_PACKS, FIL
 from ..rules.matrix import THREAT_ROWS
 from ..rules.prompts import COMMENT_PREFIX, COMMENTS, MATCH_CHARS
 from ..schema import FINDING_COLUMNS
-from ..sources.corpus import AS_OF, NAMED, OPS, PHRASES
+from ..sources.corpus import AS_OF, NAMED, OPS, PHRASES, RANGE_FORMS
 from ..sources.slots import ENV_SLOT, NO_ENV_PATH, SAMPLE_PATH, SAMPLE_SLOT, SLOTS
 from ..streaming.watch import IGNORED
+from .late import LATE_RULES
 
 NL = "chr(10)"
 _SPACES = (r"\t\n\x0B\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}"
@@ -119,6 +120,11 @@ CTE: dict[str, str] = {
                 {_slot_path('s.k', '(d.doc_id // 24)')} AS path,
                 CASE WHEN (d.doc_id // 24) % 3 <> 0 THEN s.dirty ELSE s.clean END AS base
               FROM documents d JOIN slots s ON d.doc_id % 24 = s.k)""",
+    "later_files": """SELECT repo_id, CASE WHEN doc_id % 7 = 4 THEN 'moved/' || path ELSE path END
+            AS path, '/corpus/r' || repo_id || '/' || CASE WHEN doc_id % 7 = 4 THEN 'moved/' || path
+            ELSE path END AS abs_path,
+        CASE WHEN doc_id % 7 = 2 THEN 'const ok = 1;' ELSE content END AS content
+        FROM files WHERE doc_id % 14 <> 1""",
     "page_files": """SELECT CAST(1 AS BIGINT) AS repo_id, 'pages/p' || page_id || '.js' AS path,
         '/corpus/pages/pages/p' || page_id || '.js' AS abs_path,
         concat_ws(chr(10), url, html) AS content FROM pages""",
@@ -214,31 +220,50 @@ def _comments(source: str) -> str:
             f"FROM ({' UNION ALL '.join(forms)})")
 
 
-_RE2_TOKEN = TOKEN.replace(r"(?<![\w$.])req\.user(?![\w$])", r"\breq\.user\b")
 _RE2_HEAD = r"(?:[A-Za-z_$][\w$]*\s*)?" + CALL
+_RE2_TOKEN = token(_RE2_HEAD, r"\breq\.user\b")
 
 
 def _route_hits(source: str, no: int) -> str:
-    return f"""WITH cut AS (SELECT repo_id, path, string_split_regex(content, {q(_RE2_HEAD)}) AS segs,
-            regexp_extract_all(content, {q(_RE2_HEAD)}) AS ms FROM {source}),
-        pieces AS (SELECT repo_id, path, j, segs[j + 1] AS piece,
-            len(string_split(array_to_string(segs[1:j], '') ||
-                coalesce(array_to_string(ms[1:j-1], ''), ''), {NL})) AS line
-            FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS j FROM cut)),
-        toks AS (SELECT repo_id, path, j, line, ts[i] AS t, i FROM (
-            SELECT *, unnest(range(1, len(ts) + 1)) AS i FROM (
-                SELECT *, regexp_extract_all(piece, {q(_RE2_TOKEN)}) AS ts FROM pieces))),
-        steps AS (SELECT *, CASE WHEN t[1] IN ('(', '[', '{{', '.') THEN 1
-            WHEN t[1] IN (')', ']', '}}') OR (t[1] = ',' AND length(t) > 1) THEN -1
-            ELSE 0 END AS d FROM toks),
-        depths AS (SELECT *, 1 + sum(d) OVER (PARTITION BY repo_id, path, j ORDER BY i) AS after
-            FROM steps),
-        stops AS (SELECT *, min(CASE WHEN after <= 0 OR (t = ',' AND after = 1) THEN i END)
-            OVER (PARTITION BY repo_id, path, j) AS stop FROM depths),
-        judged AS (SELECT repo_id, path, j, line, bool_or(t[1] = '.') AS writes,
-            bool_or(t[1] = 'r' OR (t = ',' AND after = 1)) AS guarded
-            FROM stops WHERE stop IS NULL OR i <= stop GROUP BY ALL)
-        {_row(no, 'line', 'j - 1')} FROM judged WHERE writes AND NOT guarded"""
+    """Depths by running sums; the call a token belongs to is the last one open around it."""
+    skip = "t[1] IN (chr(34), chr(39), chr(96), '/')"
+    return f"""WITH toks AS (SELECT repo_id, path, i, ts[i] AS t FROM (
+            SELECT *, unnest(range(1, len(ts) + 1)) AS i FROM (SELECT repo_id, path,
+                regexp_extract_all(content, {q(_RE2_TOKEN)}) AS ts FROM {source}))),
+        kinds AS (SELECT *, length(t) - length(replace(t, {NL}, '')) AS nl,
+            CASE WHEN {skip} OR t = {NL} THEN '' WHEN ends_with(t, '=>') OR (ends_with(t, ')')
+                AND t[1] NOT IN (')', ',')) THEN 'head' WHEN t[1] = '.' THEN 'write'
+            WHEN t IN ('(', '[', '{{') THEN 'open' WHEN t[1] IN (')', ']', '}}')
+                OR (t[1] = ',' AND length(t) > 1) THEN 'close'
+            WHEN t[1] = 'r' THEN 'user' WHEN t = ',' THEN 'comma' ELSE '' END AS kind FROM toks),
+        depths AS (SELECT *, sum(CASE WHEN kind IN ('head', 'write', 'open') THEN 1
+                WHEN kind = 'close' THEN -1 ELSE 0 END) OVER w AS after,
+            1 + sum(nl) OVER w - nl AS line
+            FROM kinds WINDOW w AS (PARTITION BY repo_id, path ORDER BY i)),
+        heads AS (SELECT repo_id, path, i, line, after - 1 AS at, row_number() OVER (
+            PARTITION BY repo_id, path ORDER BY i) - 1 AS k FROM depths WHERE kind = 'head'),
+        ends AS (SELECT h.repo_id, h.path, h.i, min(d.i) AS last FROM heads h JOIN depths d
+            ON d.repo_id = h.repo_id AND d.path = h.path AND d.i > h.i AND d.after <= h.at
+            GROUP BY ALL),
+        spans AS (SELECT h.*, coalesce(last, 1000000000) AS last FROM heads h
+            LEFT JOIN ends USING (repo_id, path, i)),
+        owned AS (SELECT d.repo_id, d.path, d.i, d.kind, d.after, max(s.i) AS head FROM depths d
+            JOIN spans s ON d.repo_id = s.repo_id AND d.path = s.path AND s.i < d.i
+                AND d.i < s.last WHERE d.kind IN ('write', 'user', 'comma') GROUP BY ALL),
+        judged AS (SELECT s.repo_id, s.path, s.line, s.k, bool_or(kind = 'write') AS writes,
+            bool_or(kind = 'user' OR (kind = 'comma' AND o.after = s.at + 1)) AS guarded
+            FROM spans s JOIN owned o ON o.repo_id = s.repo_id AND o.path = s.path
+                AND o.head = s.i GROUP BY ALL)
+        {_row(no, 'line', 'k')} FROM judged WHERE writes AND NOT guarded"""
+
+
+# The top-level key with its value behind it, on the next line, or in a map on one line.
+_VALUE = r"""["']?write-all["']?"""
+_TOP_KEY = r"""["']?permissions["']?[ \t]*:"""
+_WRITE_ALL = (rf"(?:^|\n){_TOP_KEY}[ \t]+(?:[&!]\S+[ \t]+)*{_VALUE}[ \t\r]*(?:[ \t]#[^\n]*)?(?:\n|$)"
+              rf"|(?:^|\n){_TOP_KEY}[ \t\r]*(?:#[^\n]*)?(?:\n[ \t\r]*(?:#[^\n]*)?)*\n[ \t]+{_VALUE}"
+              rf"[ \t\r]*(?:[ \t]#[^\n]*)?(?:\n|$)"
+              rf"|(?:^|\n)\{{(?:[^{{}}\n]*,)?[ \t]*{_TOP_KEY}[ \t]+{_VALUE}[ \t]*[,}}]")
 
 
 def hits(pack: str, source: str = "files", everything: bool = False) -> str:
@@ -279,10 +304,29 @@ def hits(pack: str, source: str = "files", everything: bool = False) -> str:
         at = (f"coalesce(list_position(list_transform(string_split(content, {NL}), lambda l: "
               f"contains(l, {q(iac_rules.WRITE_ALL_TEXT)})), true), 1)")
         rows.append(f"{_row(no['gha_write_all'], at)} FROM {where('workflows')} "
-                    f"WHERE regexp_matches(content, {q(iac_rules.WRITE_ALL)})")
+                    f"WHERE regexp_matches(content, {q(_WRITE_ALL)})")
     return " UNION ALL ".join(f"({r})" for r in rows)
 
 
+def rule_findings(rules, source="files") -> str:
+    """Finding rows of given rules, each as a plain expression over its selected files."""
+    rows = []
+    for n, r in enumerate(rules):
+        where = f"(SELECT * FROM {source} WHERE {selected(r.pack)})"
+        rows.append(_per_match(r, n, where) if r.emits == PER_MATCH else
+                    f"{_row(n, first_line(r))} FROM {where} WHERE {_condition(r)}")
+    values = ", ".join(
+        "(" + ", ".join(map(q, (n, r.pack, r.rule_id, r.type, r.category, r.severity, r.title,
+                                r.env_var, r.remediation, r.best_practice, r.owasp_ref))) + ")"
+        for n, r in enumerate(rules))
+    columns = [c for c in FINDING_COLUMNS if c not in ("finding_id", "package", "best_practice")]
+    return (f"SELECT {', '.join(columns)}, CAST(best_practice AS VARCHAR) AS best_practice, "
+            f"{_KEYED} AS finding_id, CAST(NULL AS VARCHAR) AS package "
+            f"FROM ({' UNION ALL '.join(f'({r})' for r in rows)}) JOIN (VALUES {values}) "
+            "v(rule_no, pack, rule_id, type, category, severity, title, suggested_env_var, "
+            "remediation, best_practice, owasp) USING (rule_no)")
+
+
 _KEYED = ("sha256(concat_ws('|', repo_id, path, rule_id, match_ord))")
 _ORDERS = ["pack_ord", "rule_ord"]
 
@@ -468,6 +512,77 @@ def _fixing() -> str:
         "match_ord")
 
 
+def _ranges() -> str:
+    """Declared ranges and advisories compared pair by pair. The spans of each form are stated
+    here, none is read from its text. A point is [major, minor, patch, kind, number]; the kinds
+    are 0 below all pre-releases, 1 pre-release, 2 release, 3 behind the release."""
+    lo, major, minor = "[a, b, c, 2, 0]", "[a + 1, 0, 0, 0, 0]", "[a, b + 1, 0, 0, 0]"
+    exact = "[a, b, c, 3, 0]"
+    spans = ([(lo, exact)], [(lo, major)], [(lo, minor)], [("[a, 0, 0, 2, 0]", major)],
+             [("[a, b, 0, 2, 0]", minor)], [(lo, "[a + 1, 5, 0, 0, 0]")],
+             [(lo, "[a + 1, 3, 0, 0, 0]")],
+             [(lo, major), ("[a + 2, b, c, 2, 0]", "[a + 2, b, c, 3, 0]")],
+             [("[a, b, c, 1, c]", "[a, b, c, 1, c + 1]")], [])
+    listed = " ".join(f"WHEN {n} THEN [" + ", ".join(
+        f"{{'lo': {x}, 'hi': {y}}}" for x, y in form) + "]" for n, form in enumerate(spans) if form)
+    texts = " ".join(
+        f"WHEN {n} THEN " + " || ".join(
+            {"a1": "(a + 1)", "a2": "(a + 2)"}.get(t, t) if i % 2 else q(t)
+            for i, t in enumerate(form.replace("}", "{").split("{")) if i % 2 or t)
+        for n, form in enumerate(RANGE_FORMS))
+    return f"""SELECT DISTINCT repo_id, package, version, {_LEVELS} AS severity, introduced, fixed,
+            CASE WHEN len(list_filter(spans, lambda s: s.lo >= lo AND s.hi <= hi)) = len(spans)
+                THEN 'all' ELSE 'some' END AS exposure,
+            'Move to version ' || fixed || ' or later.' AS remediation
+        FROM (SELECT repo_id, package, CASE form {texts} END AS version,
+                CASE form {listed} END AS spans
+              FROM (SELECT l_orderkey AS repo_id, l_linenumber::BIGINT AS a,
+                      CAST(trunc(l_quantity) AS INT) % 10 AS b, l_suppkey % 5 AS c,
+                      (l_partkey + l_linenumber) % {len(RANGE_FORMS)} AS form,
+                      CASE WHEN l_partkey BETWEEN 1 AND {len(NAMED)}
+                        THEN ([{', '.join(map(q, NAMED))}])[l_partkey]
+                        ELSE 'pkg-' || l_partkey END AS package FROM lineitem))
+        JOIN (SELECT package, severity AS level, introduced, fixed,
+                [split_part(introduced, '.', 1)::BIGINT, 0, 0, 2, 0] AS lo,
+                [split_part(fixed, '.', 1)::BIGINT, 5, 0, 0, 0] AS hi FROM advisories)
+        USING (package)
+        WHERE len(list_filter(spans, lambda s: s.lo < hi AND lo < s.hi)) > 0"""
+
+
+def _package(key: str) -> str:
+    return (f"CASE WHEN {key} BETWEEN 1 AND {len(NAMED)} THEN ([{', '.join(map(q, NAMED))}])[{key}] "
+            f"ELSE 'pkg-' || {key} END")
+
+
+_INDIRECT = f"""WITH RECURSIVE needs AS (
+        SELECT {_package('p_partkey')} AS package, {_package('need')} AS requires,
+            (1 + p_partkey % 5) || '.' || p_partkey % 10 || '.0' AS version
+        FROM (SELECT p_partkey, unnest([CASE WHEN p_partkey > 1 THEN p_partkey // 2 END,
+                CASE WHEN p_partkey % 10 = 0 THEN (3 * p_partkey + 1) % most + 1 END,
+                CASE WHEN p_partkey % 11 = 0 AND p_partkey < most THEN p_partkey + 1 END]) AS need
+              FROM part, (SELECT max(p_partkey) AS most FROM part)) WHERE need IS NOT NULL),
+    affected AS (SELECT requires, version, arg_min({_LEVELS}, CASE {_LEVELS}
+            {' '.join(f"WHEN {q(s)} THEN {n}" for n, s in enumerate(SEVERITIES))} END) AS severity
+        FROM (SELECT DISTINCT requires, version FROM needs)
+        JOIN (SELECT package AS requires, severity AS level, introduced, fixed FROM advisories)
+        USING (requires) WHERE {_numbers('introduced')} <= {_numbers('version')}
+        AND {_numbers('version')} < {_numbers('fixed')} GROUP BY 1, 2),
+    walk(package, target, version, hops, path) USING KEY (package, target, version) AS (
+        SELECT package, requires, version, 1, min(package || ' > ' || requires || '@' || version)
+        FROM needs SEMI JOIN affected USING (requires, version) GROUP BY 1, 2, 3
+        UNION
+        SELECT n.package, w.target, w.version, w.hops + 1, min(n.package || ' > ' || w.path)
+        FROM walk w JOIN (SELECT DISTINCT package, requires FROM needs) n ON n.requires = w.package
+        LEFT JOIN recurring.walk r ON r.package = n.package AND r.target = w.target
+            AND r.version = w.version
+        WHERE r.package IS NULL GROUP BY 1, 2, 3, 4)
+    SELECT repo_id, target AS package, w.version, severity, min(hops)::INTEGER AS hops,
+        arg_min(path, (hops, path)) AS reason
+    FROM (SELECT DISTINCT repo_id, package FROM raw_manifest) JOIN walk w USING (package)
+    JOIN affected a ON a.requires = w.target AND a.version = w.version
+    GROUP BY repo_id, target, w.version, severity"""
+
+
 def _queries() -> dict[str, tuple]:
     """name -> (packs of `found` or None, with dependencies?, SQL)."""
     js = JSON_REPORT_PACKS
@@ -493,6 +608,11 @@ def _queries() -> dict[str, tuple]:
                          f"SELECT {_COLS} FROM ({findings(['prompts'], 'talk_files')})"),
         "scan_toggles": (["owasp", "headers", "iac"], False,
                          f"SELECT pack, {_N} AS findings FROM found GROUP BY pack"),
+        "tree_scan": (["auth"], False, f"SELECT {_COLS} FROM found"),
+        "tree_listing": (None, False, """SELECT repo_id, path FROM files
+            WHERE starts_with(path, 'src/') AND NOT ends_with(path, '.ts')"""),
+        "indirect_vulnerabilities": (None, False, _INDIRECT),
+        "range_vulnerabilities": (None, False, _ranges()),
         "vulnerability_details": (None, False, f"""SELECT repo_id, package, version,
             {_LEVELS} AS severity, coalesce(cve, 'N/A') AS cve,
             coalesce(advisory, 'N/A') AS advisory,
@@ -522,6 +642,14 @@ def _queries() -> dict[str, tuple]:
             recommendations FROM file_repos LEFT JOIN counts USING (repo_id)
             LEFT JOIN scans USING (repo_id) LEFT JOIN kinds USING (repo_id)
             LEFT JOIN advice USING (repo_id)"""),
+        "maintained_findings": (None, False,
+                                f"SELECT {_COLS} FROM ({findings(js, 'later_files')})"),
+        "maintained_grades": (None, False, f"""SELECT repo_id, {_z('total')}, {_GRADE}
+            FROM (SELECT DISTINCT repo_id FROM later_files) LEFT JOIN (SELECT repo_id,
+            {_N} AS total FROM ({findings(js, 'later_files')}) GROUP BY 1) USING (repo_id)"""),
+        "indexed_packs": (("secrets", "owasp", "db", "prompts"), False,
+                          f"SELECT {_COLS} FROM found"),
+        "late_rules": (None, False, f"SELECT {_COLS} FROM ({rule_findings(LATE_RULES)})"),
         "stored_changed_files": (None, False, f"""SELECT {_COLS} FROM (
             {findings(['secrets'], everything=True)}) JOIN changed USING (repo_id, path)
             WHERE status IN ('A', 'C', 'M')"""),
@@ -545,6 +673,11 @@ def _queries() -> dict[str, tuple]:
             FROM dep_findings GROUP BY 1) USING (repo_id)"""),
         "dependencies_scanned": (None, False, """SELECT repo_id, CAST(count(DISTINCT package)
             AS BIGINT) AS dependencies FROM raw_manifest GROUP BY 1"""),
+        "estate_dependencies": (None, False, """SELECT CAST(repo_id % 64 % 8 AS INTEGER) AS share,
+            CAST(count(DISTINCT package) AS BIGINT) AS packages,
+            CAST(count(DISTINCT (repo_id, package)) AS BIGINT) AS uses,
+            CAST(count(*) AS BIGINT) AS declared, true AS packages_near, true AS uses_near,
+            true AS declared_equal FROM raw_manifest GROUP BY 1"""),
         "framework_of_repo": (None, False, f"""SELECT repo_id, coalesce(framework, 'unknown')
             AS framework FROM repos LEFT JOIN (SELECT repo_id, arg_min(framework, priority)
             AS framework FROM raw_manifest JOIN (VALUES {', '.join(
@@ -670,6 +803,11 @@ def _queries() -> dict[str, tuple]:
             WHERE NOT regexp_matches(path, {q(IGNORED)}) GROUP BY ALL"""),
         "watch_scan": (None, False, f"""SELECT tick, repo_id, path, rule_id, match_ord, line
             FROM ({findings(['secrets'], everything=True)}) JOIN due USING (repo_id, path)"""),
+        "watch_once": (None, False, f"""SELECT tick, repo_id, path, CAST(1 AS BIGINT) AS scans,
+            CAST(coalesce(n, 0) AS BIGINT) AS issues FROM due JOIN files USING (repo_id, path)
+            LEFT JOIN (SELECT repo_id, path, count(*) AS n
+            FROM ({findings(['secrets'], everything=True)}) GROUP BY 1, 2)
+            USING (repo_id, path)"""),
         "watch_batch_summary": (None, False, f"""SELECT tick, {_N} AS files_scanned,
             CAST(sum(coalesce(n, 0)) AS BIGINT) AS issues FROM due
             JOIN files USING (repo_id, path) LEFT JOIN (SELECT repo_id, path, count(*) AS n
@@ -689,7 +827,7 @@ CTE["declared"] = """SELECT repo_id, package, arg_max(version, dev) AS version F
             WHERE path = 'package.json') WHERE j IS NOT NULL))
     GROUP BY repo_id, package"""
 # Which tables each one reads, in an order that can be written out.
-_NEEDS = ("slots", "files", "page_files", "talk_files", "file_repos", "raw_manifest", "repos",
+_NEEDS = ("slots", "files", "later_files", "page_files", "talk_files", "file_repos", "raw_manifest", "repos",
           "manifest", "parts", "registry", "advisories", "latest", "changed", "changes", "due",
           "compliance", "rules", "env_lines", "env_issues", "env_facts", "dep_findings",
           "declared", "found")

@@ -6,21 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import deps, env, fixes, ranking, reports
+from ..operators import deps, env, fixes, ranking, reports, sketches
 from ..operators.enrich import compliance_enrich
+from ..operators.maintained import MaintainedFindings
 from ..operators.scan import explode_hits, scan_files
 from ..operators.select import select_files, selector_counts
 from ..rules.catalog import FILE_PACKS, FIXER_PACKS, JSON_REPORT_PACKS
 from ..schema import FINDING_COLUMNS
 from ..session import shared_dir
 from ..sources import corpus, files as sources, sinks
-from ..streaming import watch
-from .audit import Dependencies, audit, changed_files_scan, quick
+from ..sources.tree import tree, write_tree
+from ..streaming import once, watch
+from .audit import Dependencies, audit, changed_files_scan, indexed_scan, quick
+from .late import LATE_RULES
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 TICK = "1 day"
+ARRIVALS = 3
 IGNORE = "prompts/**,src/config.js"
+INDEXED_PACKS = ("secrets", "owasp", "db", "prompts")
 
 
 def query(fn: Query) -> Query:
@@ -135,9 +140,92 @@ def json_report(spark, sf):
 @query
 def stored_changed_files(spark, sf):
     """Files kept in the stored layout, then the scan of the changed ones only."""
+    files = sources.read_table(spark, _estate(spark, sf))
+    return _out(changed_files_scan(files, corpus.changed(spark, sf)))
+
+
+def _tree(spark, sf) -> str:
+    """The files as a source tree in the shared folder, a folder per repository."""
+    root = shared_dir(spark, "tree")
+    write_tree(corpus.files(spark, sf).withColumn("repo", F.concat(
+        F.lit("r"), F.col("repo_id").cast("string"))), root)
+    return root
+
+
+def _repo_of_tree():
+    return F.substring("repo", 2, 20).cast("bigint").alias("repo_id")
+
+
+@query
+def tree_scan(spark, sf):
+    """A pack over a source tree; the source opens the files that the selector takes."""
+    found = tree(spark, _tree(spark, sf), selector="auth").select(
+        _repo_of_tree(), "path", F.concat(F.lit("/corpus/"), "repo", F.lit("/"), "path").alias(
+            "abs_path"), "content")
+    return _out(audit(found, ["auth"]))
+
+
+@query
+def tree_listing(spark, sf):
+    """Names only, by a test that the source takes over: no file is opened."""
+    names = tree(spark, _tree(spark, sf), content=False)
+    return names.where(F.col("path").startswith("src/") & ~F.col("path").endswith(".ts")).select(
+        _repo_of_tree(), "path")
+
+
+def _estate(spark, sf) -> str:
+    """The files kept in the stored layout, with their index."""
     path = shared_dir(spark, "files")
     sources.write_table(corpus.files(spark, sf), path)
-    return _out(changed_files_scan(sources.read_table(spark, path), corpus.changed(spark, sf)))
+    return path
+
+
+@query
+def indexed_packs(spark, sf):
+    """Whole packs over the texts that the trigram index lets through."""
+    return _out(indexed_scan(spark, _estate(spark, sf), INDEXED_PACKS))
+
+
+@query
+def late_rules(spark, sf):
+    """Rules added after the files were stored: only their candidates are read."""
+    return _out(indexed_scan(spark, _estate(spark, sf), rules=LATE_RULES))
+
+
+def change_batches(files: DataFrame) -> list[DataFrame]:
+    """All files, then files removed, emptied of risks, edited; then some restored and moved."""
+    def some(condition, op, content="content", path="path", root="abs_path"):
+        return files.where(condition).selectExpr(
+            "repo_id", f"{path} AS path", f"{root} AS abs_path", f"'{op}' AS op",
+            f"{content} AS content")
+
+    moved = dict(path="concat('moved/', path)",
+                 root="concat(left(abs_path, length(abs_path) - length(path)), 'moved/', path)")
+    edited = "concat(content, '\n', \"const feed = 'http://feed.example.com';\")"
+    return [some("true", "A"),
+            some("doc_id % 7 = 1", "D").unionByName(some("doc_id % 7 = 2", "M", "'const ok = 1;'"))
+            .unionByName(some("doc_id % 7 = 3", "M", edited)),
+            some("doc_id % 14 = 8", "A").unionByName(some("doc_id % 7 = 3", "M"))
+            .unionByName(some("doc_id % 7 = 4", "D")).unionByName(
+                some("doc_id % 7 = 4", "A", **moved))]
+
+
+def _maintained(spark, sf) -> MaintainedFindings:
+    state = MaintainedFindings(spark, shared_dir(spark, "state"), JSON_REPORT_PACKS).start()
+    for changes in change_batches(corpus.files(spark, sf)):
+        state.apply(changes)
+    return state
+
+
+@query
+def maintained_findings(spark, sf):
+    """Findings after three batches of changes, from what the batches changed alone."""
+    return _out(_maintained(spark, sf).findings())
+
+
+@query
+def maintained_grades(spark, sf):
+    return _maintained(spark, sf).grades()
 
 
 @query
@@ -196,6 +284,19 @@ def known_vulnerabilities(spark, sf):
     return _out(deps.known_vulnerabilities(_manifest(spark, sf), corpus.advisories(spark, sf)))
 
 
+@query
+def range_vulnerabilities(spark, sf):
+    return deps.range_vulnerabilities(corpus.range_manifest(spark, sf),
+                                      corpus.advisories(spark, sf))
+
+
+@query
+def indirect_vulnerabilities(spark, sf):
+    return deps.indirect_vulnerabilities(
+        corpus.raw_manifest(spark, sf), corpus.requirements(spark, sf),
+        corpus.advisories(spark, sf))
+
+
 @query
 def vulnerability_details(spark, sf):
     return deps.vulnerability_details(_manifest(spark, sf), corpus.advisories(spark, sf))
@@ -232,6 +333,20 @@ def dependencies_scanned(spark, sf):
     return deps.dependencies_scanned(corpus.raw_manifest(spark, sf))
 
 
+@query
+def estate_dependencies(spark, sf):
+    """Distinct packages of shares of the estate, from stored sketches, beside exact counts."""
+    manifest, path = corpus.raw_manifest(spark, sf), shared_dir(spark, "sketches")
+    sketches.write_sketches(manifest, path)
+    share = (F.col("part") % 8).alias("share")
+    told = sketches.estimates(sketches.read_sketches(spark, path), share)
+    pairs = manifest.groupBy("repo_id", "package").agg(F.count("*").alias("n"))
+    exact = pairs.groupBy((sketches.part_of() % 8).alias("share")).agg(
+        F.count_distinct("package").alias("packages"), F.count("*").alias("uses"),
+        F.sum("n").alias("declared"))
+    return sketches.audited(told, exact, ["share"])
+
+
 @query
 def framework_of_repo(spark, sf):
     return deps.framework_of_repo(corpus.raw_manifest(spark, sf), _repos(spark, sf))
@@ -437,3 +552,16 @@ def watch_scan(spark, sf):
 @query
 def watch_batch_summary(spark, sf):
     return _tick_text(watch.watch_batch_summary(_replay(spark, sf)))
+
+
+@query
+def watch_once(spark, sf):
+    """Changes that arrive in several files, in no order; each file is scanned once a tick."""
+    out = shared_dir(spark, "once")
+    changes = corpus.changes(spark, sf)
+    changes.repartition(ARRIVALS, "path", "ts").write.parquet(f"{out}/arriving")
+    arriving = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1) \
+        .parquet(f"{out}/arriving")
+    once.watch_once(arriving, corpus.files(spark, sf), f"{out}/rows", f"{out}/checkpoint", TICK,
+                    trigger={"availableNow": True}).awaitTermination()
+    return _tick_text(once.scans_per_tick(once.scanned_once(spark, f"{out}/rows")))

@@ -17,6 +17,6 @@ PACK.add("gha_write_all", CRITICAL, "infrastructure", emits=OTHER,
          title="Workflow holds every write permission", fix="Grant the permissions it needs.",
          better="Start from read-only and add per job.")
 
-# Fixed value: a top-level permissions key set to write-all.
-WRITE_ALL = r"""(^|\n)permissions:[ \t]*['"]?write-all['"]?[ \t\r]*(#[^\n]*)?(\n|$)"""
+# The top-level key and value of a workflow, and the text that gives its line.
+WRITE_ALL_KEY, WRITE_ALL = "permissions", "write-all"
 WRITE_ALL_TEXT = "permissions: write-all"

@@ -113,6 +113,38 @@ def raw_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         version.alias("version"))
 
 
+#: What a manifest can declare, from a version's numbers (a, b, c).
+RANGE_FORMS = ("{a}.{b}.{c}", "^{a}.{b}.{c}", "~{a}.{b}.{c}", "{a}.x", "{a}.{b}",
+               ">={a}.{b}.{c} <{a1}.5.0", "{a}.{b}.{c} - {a1}.2", "^{a}.{b}.{c} || {a2}.{b}.{c}",
+               "{a}.{b}.{c}-beta.{c}", "latest")
+
+
+def range_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as declared dependencies, most of them as ranges."""
+    a = F.col("l_linenumber").cast("bigint")
+    numbers = {"a": a, "a1": a + 1, "a2": a + 2, "b": F.col("l_quantity").cast("int") % 10,
+               "c": F.col("l_suppkey") % 5}
+    form = (F.col("l_partkey") + F.col("l_linenumber")) % len(RANGE_FORMS)
+    text = _pick(RANGE_FORMS, form)
+    for name, number in numbers.items():
+        text = F.replace(text, F.lit("{" + name + "}"), number.cast("string"))
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("repo_id"), _package(F.col("l_partkey")).alias("package"),
+        text.alias("version"))
+
+
+def requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as packages that require others: halves, some far ones, some neighbours."""
+    parts, key = table(spark, sf_dir, "part"), F.col("p_partkey")
+    most = parts.agg(F.max("p_partkey")).first()[0] or 1
+    needs = F.array_compact(F.array(
+        F.when(key > 1, F.floor(key / 2)), F.when(key % 10 == 0, (3 * key + 1) % most + 1),
+        F.when((key % 11 == 0) & (key < most), key + 1)))
+    version = F.concat_ws(".", (1 + key % 5).cast("string"), (key % 10).cast("string"), F.lit("0"))
+    return parts.select(key, F.explode(needs).alias("need"), version.alias("version")).select(
+        _package(key).alias("package"), _package(F.col("need")).alias("requires"), "version")
+
+
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     created = F.timestamp_seconds(F.unix_timestamp(F.lit(AS_OF).cast("timestamp"))

@@ -2,58 +2,20 @@
 
 from __future__ import annotations
 
-import os
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.joins import lookup_join
+from . import trigrams
+from .tree import tree
 
-_BATCH_BYTES = 16 << 20
-
-
-def read_tree(spark: SparkSession, root: str, tasks: int | None = None) -> DataFrame:
+def read_tree(spark: SparkSession, root: str, **options) -> DataFrame:
     """Whole texts below a mounted folder whose direct children are repositories.
 
-    Spark's own file readers leave out names that begin with a dot or an underscore, which
-    would lose `.env`, `.github` or `__init__.py`. So tasks list the repositories, the
-    listed paths (names only) are dealt out evenly, and tasks read the texts. Unreadable
-    files are skipped. The repository id is a hash of its folder name.
+    The repository id is a hash of its folder name. Tests of `path` reach the source, which then
+    opens only the files that pass; `options` are those of `sources.tree`.
     """
-    root = os.path.abspath(root)
-    tasks = tasks or 4 * spark.sparkContext.defaultParallelism
-    names = [(e.name,) for e in os.scandir(root) if e.is_dir(follow_symlinks=False)]
-
-    def listing(batches):
-        for batch in batches:
-            for repo in batch["repo"]:
-                for folder, _, found in os.walk(os.path.join(root, repo)):
-                    full = [os.path.join(folder, f) for f in found]
-                    yield pd.DataFrame({"repo": repo, "abs_path": full}, dtype=str)
-
-    def reading(batches):
-        rows, size = [], 0
-        for batch in batches:
-            for repo, full in zip(batch["repo"], batch["abs_path"]):
-                try:
-                    with open(full, encoding="utf-8", errors="replace", newline="") as f:
-                        text = f.read()
-                except OSError:
-                    continue
-                rows.append((repo, full, text))
-                size += len(text)
-                if size > _BATCH_BYTES:
-                    yield pd.DataFrame(rows, columns=["repo", "abs_path", "content"], dtype=str)
-                    rows, size = [], 0
-        yield pd.DataFrame(rows, columns=["repo", "abs_path", "content"], dtype=str)
-
-    repos = spark.createDataFrame(names, "repo string").repartition(tasks)
-    paths = repos.mapInPandas(listing, "repo string, abs_path string").repartition(tasks)
-    texts = paths.mapInPandas(reading, "repo string, abs_path string, content string")
-    return texts.select(
-        F.xxhash64("repo").alias("repo_id"),
-        F.expr(f"substring(abs_path, length(repo) + {len(root) + 3})").alias("path"),
-        "abs_path", "content")
+    return tree(spark, root, **options).select(
+        F.xxhash64("repo").alias("repo_id"), "path", "abs_path", "content")
 
 
 #: Folders of the stored layout. A scan of a few repositories opens their folders only.
@@ -65,12 +27,17 @@ def part_of(repo_id="repo_id") -> Column:
     return F.pmod(F.xxhash64(repo_id), F.lit(PARTS)).cast("int")
 
 
-def write_table(files: DataFrame, path: str) -> None:
-    """Keep files in the layout that scans prune: a folder per hash of the repository,
-    several files in each so that one large repository is no single task, sorted by path."""
+def write_table(files: DataFrame, path: str, files_per_part: int = _FILES_PER_PART) -> None:
+    """Keep files in the layout that scans prune, with a trigram index beside them.
+
+    A folder per hash of the repository, `files_per_part` files in each (about the folder's bytes
+    over half a gigabyte on large estates) so that one large repository is no single task, sorted
+    by path.
+    """
     files.withColumn("repo_part", part_of()).repartition(
-        PARTS * _FILES_PER_PART, "repo_part", F.pmod(F.xxhash64("path"), F.lit(_FILES_PER_PART))) \
+        PARTS * files_per_part, "repo_part", F.pmod(F.xxhash64("path"), F.lit(files_per_part))) \
         .sortWithinPartitions("repo_part", "path").write.partitionBy("repo_part").parquet(path)
+    trigrams.write_index(read_table(files.sparkSession, path), path)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
