@@ -1,7 +1,6 @@
 import random
 
 import numpy as np
-import xxhash
 from pyspark.sql import functions as F
 
 from warpsift.llm import divergence, perfect
@@ -67,11 +66,60 @@ def test_few_words_at_a_time(spark, sf_dir):
 
 
 def test_long_texts_are_cut_between_words():
-    data = b"ab cd " * 400_000 + b"e" * 3_000_000 + b" f"
-    parts = list(divergence.pieces(data))
-    assert len(parts) > 2 and b"".join(parts) == data
-    words = [w for p in parts for w in divergence._WORD.findall(p)]
-    assert len(words) == 800_002 and words[-1] == b"f"
+    parts = [p.split() for p in divergence.pieces(
+        b"Ab cd\t" * 400_000 + b"e" * 3_000_000 + b" f")]
+    assert len(parts) > 2 and [len(p) for p in parts].count(0) == 0
+    words = [w for p in parts for w in p]
+    assert len(words) == 800_002 and words[-1] == b"f" and words[0] == b"ab"
+
+
+def test_words_are_runs_of_letters():
+    import re
+    text = "".join(map(chr, range(256))) + "Ünï-UNÏ_x9y`Z{\u212a\u0130"
+    data = text.encode()
+    plain = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    want = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", plain)
+    assert [w.decode() for p in divergence.pieces(data) for w in p.split()] == want
+
+
+def test_counts_with_little_room(spark, sf_dir, rows_of, monkeypatch):
+    """Rows of slots handed on early, and forgotten words, change nothing."""
+    import pyarrow as pa
+    rng = random.Random(8)
+    docs = [(rng.choice("xy"), rng.choice("ab"), " ".join(
+        rng.choice("abcdefgh") * rng.randrange(1, 5) for _ in range(40))) for _ in range(80)]
+    kept = {lang: [w * n for w in map(str.encode, "abcdef") for n in (1, 2, 3)] for lang in "xz"}
+
+    class Shared:
+        value = {}
+
+    for lang, words in kept.items():
+        shard = perfect.hashed(words) % np.uint64(2)
+        tables = [perfect.build([w for w, x in zip(words, shard) if x == s]) for s in range(2)]
+        Shared.value[lang] = [(t.sizes, t.table, t.keys, t.spare) for t in tables]
+    batch = pa.RecordBatch.from_pydict(dict(zip(("lang", "source", "text"), [
+        list(c) for c in zip(*[(a, b, t.encode()) for a, b, t in docs])])))
+
+    def found():
+        total = {}
+        for b in divergence._recount(Shared)(iter([batch])):
+            r = b.to_pylist()[0]
+            keys = perfect.PerfectHash(*Shared.value[r["lang"]][r["shard"]]).keys
+            for s, n in zip(r["slots"], r["counts"]):
+                key = r["lang"], r["source"], keys[s]
+                total[key] = total.get(key, 0) + n
+        return total
+
+    want = {}
+    for lang, source, text in docs:
+        for w in text.encode().split():
+            if w in kept.get(lang, []):
+                want[lang, source, w] = want.get((lang, source, w), 0) + 1
+    assert found() == want
+    monkeypatch.setattr(divergence, "_PIECE", 100)
+    assert found() == want
+    monkeypatch.setattr(divergence, "_HELD_BYTES", 10)
+    assert found() == want
 
 
 def test_shares_are_exact():
@@ -84,33 +132,50 @@ def test_shares_are_exact():
 
 def test_perfect_hash():
     rng = random.Random(2)
-    keys = list({rng.randbytes(rng.randrange(1, 9)) for _ in range(5000)})
+    keys = list({rng.randbytes(rng.choice([1, 3, 7, 8, 9, 16, 17, 64, 65, 200]))
+                 for _ in range(5000)} | {b"", b"\0", b"\0\0"})
     table = perfect.build(keys)
-    slots = table.slots(keys, perfect.hashed(keys))
+    slots = table.slots(keys)
     assert sorted(slots.tolist()) == list(range(len(keys)))
     assert [table.keys[s] for s in slots] == keys
-    others = [k + b"!" * 9 for k in keys] + [b""]
-    assert (table.slots(others, perfect.hashed(others)) == -1).all()
+    others = [k + b"!" * 203 for k in keys] + [b"\0\0\0", *[
+        k[:-1] + bytes([k[-1] ^ 1]) for k in keys if len(k) > 6]]
+    others = [w for w in others if w not in set(keys)]
+    assert (table.slots(others) == -1).all()
     none = perfect.build([])
-    assert len(none) == 0 and none.slots([b"x"], perfect.hashed([b"x"])).tolist() == [-1]
+    assert len(none) == 0 and none.slots([b"x"]).tolist() == [-1] and none.slots([]).tolist() == []
+
+
+def test_shards_side_by_side():
+    rng = random.Random(4)
+    keys = list({rng.randbytes(rng.randrange(1, 20)) for _ in range(3000)})
+    shard = perfect.hashed(keys) % np.uint64(7)
+    parts = [perfect.build([k for k, x in zip(keys, shard) if x == s]) for s in range(7)]
+    both = perfect.Shards(parts)
+    at = both.find(*perfect.laid_out(keys))
+    assert sorted(at.tolist()) == list(range(len(keys)))
+    named = [k for p in parts for k in p.keys]
+    assert [named[i] for i in at] == keys
+    assert (both.find(*perfect.laid_out([k + b"xyz" * 9 for k in keys])) == -1).all()
 
 
 def test_keys_with_equal_hashes(monkeypatch):
-    monkeypatch.setattr(perfect, "hashed", lambda words: np.array(
-        [len(w) for w in words], np.uint64))
+    monkeypatch.setattr(perfect, "hashes_of", lambda data, starts, lengths: lengths.astype(np.uint64))
     keys = [b"a", b"b", b"cc", b"d", b"eee"]
     table = perfect.build(keys)
-    assert len(table.spare) == 3
-    assert sorted(table.slots(keys, perfect.hashed(keys)).tolist()) == list(range(5))
-    assert table.slots([b"x", b"yy"], perfect.hashed([b"x", b"yy"])).tolist() == [-1, -1]
-
-
-def test_spark_deals_words_out_by_the_same_hash(spark):
-    words = [b"", b"a", b"longer than eight", b"x" * 33, b"y" * 100, "ünï".encode()]
-    got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w binary").select(
-        F.xxhash64("w")).collect()]
-    assert got == [int(np.uint64(xxhash.xxh64_intdigest(w, 42)).view(np.int64)) for w in words]
-    assert perfect.hashed(words).view(np.int64).tolist() == got
+    assert table.spare == 3
+    assert sorted(table.slots(keys).tolist()) == list(range(5))
+    assert table.slots([b"x", b"yy"]).tolist() == [-1, -1]
+
+
+def test_words_are_dealt_out_alike_in_spark(spark):
+    words = [bytes([97 + i % 26]) * (i % 30 + 1) for i in range(300)]
+    hashes = perfect.hashed(words)
+    for n in (1, 3, 50):
+        df = spark.createDataFrame([(int(h), n) for h in hashes.view(np.int64)],
+                                   "hash long, shards int")
+        assert [r[0] for r in df.select(divergence._shard()).collect()] == (
+            hashes % np.uint64(n)).tolist()
 
 
 def test_pairs_of_a_language_without_words(spark):

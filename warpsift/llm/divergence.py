@@ -28,7 +28,6 @@ Extra columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import column, stored
 from .neardup import _joined
-from .perfect import PerfectHash, build, hashed
+from .perfect import PAD, PerfectHash, Shards, build, hashed
 
 LEAST = 3
 TOP = 200
@@ -47,34 +46,40 @@ SHARD_WORDS = 16_384
 CELLS = 2_000_000
 BOUND = 64 << 20
 _HELD_WORDS = 300_000
-_HELD_BYTES = 48 << 20
+_HELD_BYTES = 80 << 20
+_HELD_COUNTS = 1 << 30
 _PIECE = 1 << 20
 
-_WORD = re.compile(rb"[a-z\x80-\xff]+")
-_GAP = re.compile(rb"[^a-z\x80-\xff]")
+#: Letters in lower case and bytes beyond ASCII as they are, all else a blank.
+_LETTERS = bytes(c if c > 127 else ord(chr(c).lower()) if chr(c).isalpha() else 32
+                 for c in range(256))
 
 
 def pieces(data: bytes) -> Iterator[bytes]:
-    """A lower-cased text in parts of about a megabyte, cut where no word goes on."""
-    start = 0
+    """The words of a text between blanks, about a megabyte at a time."""
+    data, start = data.translate(_LETTERS), 0
     while len(data) - start > _PIECE:
-        gap = _GAP.search(data, start + _PIECE)
-        if gap is None:
+        gap = data.find(b" ", start + _PIECE)
+        if gap < 0:
             break
-        yield data[start:gap.start()]
-        start = gap.start()
+        yield data[start:gap]
+        start = gap
     yield data[start:]
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """The values of the other columns, and the lower-cased text, row by row."""
+    """The values of the other columns, and the text, row by row."""
     *keys, texts = batch.columns
     for *key, text in zip(*[k.to_pylist() for k in keys], texts):
-        yield tuple(key), text.as_py().lower()
+        yield tuple(key), text.as_py()
+
+
+def _hashes(words: list[bytes]) -> pa.Array:
+    return pa.array(hashed(words).view(np.int64), pa.int64())
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Language, word, and in how many documents of this task (so far) it stands."""
+    """Language, word with its hash, and in how many documents of this task (so far) it stands."""
     found: dict[str, Counter] = {}
     held = 0
 
@@ -82,7 +87,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words in found.items():
             yield pa.RecordBatch.from_pydict({
                 "lang": pa.array([lang] * len(words), pa.string()),
-                "word": pa.array(list(words), pa.binary()),
+                "word": pa.array(list(words), pa.binary()), "hash": _hashes(list(words)),
                 "n": pa.array(list(words.values()), pa.int64())})
         found.clear()
 
@@ -90,7 +95,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (lang,), data in _texts(batch):
             mine: set[bytes] = set()
             for piece in pieces(data):
-                mine.update(_WORD.findall(piece))
+                mine.update(piece.split())
             words = found.setdefault(lang, Counter())
             held -= len(words)
             words.update(mine)
@@ -109,117 +114,121 @@ def _build(table: pa.Table) -> pa.Table:
         "sizes": pa.array([shard.sizes], pa.list_(pa.int64())),
         "places": pa.array([shard.table.tobytes()], pa.binary()),
         "keys": pa.array([shard.keys], pa.list_(pa.binary())),
-        "spare": pa.array([len(shard.spare)], pa.int32())})
+        "spare": pa.array([shard.spare], pa.int32())})
 
 
 _SHARD = "lang string, shard int, sizes array<long>, places binary, keys array<binary>, spare int"
 
 
-def _opened(row) -> PerfectHash:
-    keys = [bytes(k) for k in row["keys"]]
-    ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int64)
-    return PerfectHash(list(row["sizes"]), np.frombuffer(bytes(row["places"]), np.int32),
-                       b"".join(keys), ends, row["spare"])
+def _opened(row) -> tuple:
+    return (list(row["sizes"]), np.frombuffer(bytes(row["places"]), np.int32),
+            [bytes(k) for k in row["keys"]], row["spare"])
 
 
-class _Slots:
-    """Dense slots of the groups that one task meets, and the shards to find them by."""
+class _Counts:
+    """Dense rows of slots of the groups that one task meets.
+
+    Texts wait until there is about a megabyte of a language; their words are then looked up
+    at once.
+    """
 
-    def __init__(self, shards: dict[str, list[PerfectHash]]):
-        self.shards = shards
-        self.starts = {lang: np.concatenate([[0], np.cumsum([len(s) for s in of])])
-                       for lang, of in shards.items()}
+    def __init__(self, shards: dict[str, list[tuple]]):
+        self.shards = {lang: Shards([PerfectHash(*s) for s in of]) for lang, of in shards.items()}
         self.rows: dict[tuple[str, str], np.ndarray] = {}
-        self.held = 0
-
-    def find(self, lang: str, words: list[bytes]) -> np.ndarray:
-        """Slots in the language's shards one after the other; -1: not kept."""
-        of, starts = self.shards[lang], self.starts[lang]
-        hashes = hashed(words)
-        shard = hashes.view(np.int64) % len(of)
-        out = np.full(len(words), -1, np.int64)
-        for s in range(len(of)):
-            mine = np.flatnonzero(shard == s)
-            if len(mine):
-                at = of[s].slots([words[i] for i in mine.tolist()], hashes[mine])
-                out[mine] = np.where(at < 0, -1, at + starts[s])
-        return out
-
-    def add(self, counts: dict[tuple[str, str], Counter]) -> None:
-        for lang in {lang for lang, _ in counts}:
-            if lang not in self.shards:
-                continue
-            groups = {key: words for key, words in counts.items() if key[0] == lang}
-            words = list(set().union(*groups.values()))
-            slot = dict(zip(words, self.find(lang, words).tolist()))
-            for key, found in groups.items():
-                if key not in self.rows:
-                    self.rows[key] = np.zeros(int(self.starts[lang][-1]), np.int64)
-                    self.held += self.rows[key].nbytes
-                at = np.fromiter(map(slot.__getitem__, found), np.int64, len(found))
-                n = np.fromiter(found.values(), np.int64, len(found))
-                self.rows[key][at[at >= 0]] += n[at >= 0]
+        self.waiting: dict[str, list[tuple[str, bytes]]] = {lang: [] for lang in shards}
+        self.size = dict.fromkeys(shards, 0)
+        self.held = self.counted = 0
+
+    def add(self, lang: str, source: str, piece: bytes) -> None:
+        if lang in self.shards:
+            self.waiting[lang].append((source, piece))
+            self.size[lang] += len(piece)
+            if self.size[lang] > _PIECE:
+                self.settle(lang)
+
+    def settle(self, lang: str) -> None:
+        texts, self.waiting[lang], self.size[lang] = self.waiting[lang], [], 0
+        data = np.frombuffer(b" ".join([b"", *[t for _, t in texts], PAD]), np.uint8)
+        edges = np.flatnonzero(np.diff((data[:-len(PAD)] != 32).view(np.int8)))
+        starts, ends = edges[::2] + 1, edges[1::2] + 1
+        at = self.shards[lang].find(data, starts, ends - starts)
+        cuts = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for _, t in texts]))
+        for (source, _), a, b in zip(texts, cuts[:-1], cuts[1:]):
+            row = self.rows.get((lang, source))
+            if row is None:
+                row = self.rows[lang, source] = np.zeros(
+                    int(self.shards[lang].starts[-1]), np.int32)
+                self.held += row.nbytes
+            mine = at[a:b]
+            np.add.at(row, mine[mine >= 0], np.int32(1))
+        self.counted += len(at)
+
+    def full(self) -> bool:
+        return self.held > _HELD_BYTES or self.counted > _HELD_COUNTS
 
     def flushed(self) -> Iterator[pa.RecordBatch]:
+        for lang, texts in self.waiting.items():
+            if texts:
+                self.settle(lang)
         for (lang, source), row in self.rows.items():
+            starts = self.shards[lang].starts
             there = np.flatnonzero(row)
-            shard = np.searchsorted(self.starts[lang], there, side="right") - 1
-            cuts = np.searchsorted(shard, np.arange(len(self.shards[lang]) + 1))
+            cuts = np.searchsorted(there, starts)
             for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
                 if a < b:
                     yield pa.RecordBatch.from_pydict({
                         "lang": [lang], "source": [source], "shard": pa.array([s], pa.int32()),
-                        "slots": pa.array([there[a:b] - self.starts[lang][s]],
-                                          pa.list_(pa.int32())),
-                        "counts": pa.array([row[there[a:b]]], pa.list_(pa.int64()))})
-        self.rows, self.held = {}, 0
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Word counts per language and source, handed on whenever many words are held."""
-    counts: dict[tuple[str, str], Counter] = {}
-    held = 0
-    for batch in batches:
-        for key, data in _texts(batch):
-            words = counts.setdefault(key, Counter())
-            held -= len(words)
-            for piece in pieces(data):
-                words.update(_WORD.findall(piece))
-            held += len(words)
-            if held > _HELD_WORDS:
-                yield counts
-                counts, held = {}, 0
-    yield counts
+                        "slots": pa.array([there[a:b] - starts[s]], pa.list_(pa.int32())),
+                        "counts": pa.array([row[there[a:b]]], pa.list_(pa.int32()))})
+        self.rows, self.held, self.counted = {}, 0, 0
 
 
 def _recount(shared):
     """Second pass with all shards at hand."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = _Slots({lang: [PerfectHash(*s) for s in of] for lang, of in shared.value.items()})
-        for counts in _counted(batches):
-            slots.add(counts)
-            if slots.held > _HELD_BYTES:
-                yield from slots.flushed()
-        yield from slots.flushed()
+        counts = _Counts(shared.value)
+        for batch in batches:
+            for (lang, source), data in _texts(batch):
+                for piece in pieces(data):
+                    counts.add(lang, source, piece)
+                if counts.full():
+                    yield from counts.flushed()
+        yield from counts.flushed()
     return run
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Second pass without them: the words themselves."""
-    for counts in _counted(batches):
+    """Second pass without them: the words themselves, combined as far as a task holds them."""
+    counts: dict[tuple[str, str], Counter] = {}
+    held = 0
+
+    def flushed():
         for (lang, source), words in counts.items():
             yield pa.RecordBatch.from_pydict({
                 "lang": pa.array([lang] * len(words), pa.string()),
                 "source": pa.array([source] * len(words), pa.string()),
-                "word": pa.array(list(words), pa.binary()),
+                "word": pa.array(list(words), pa.binary()), "hash": _hashes(list(words)),
                 "n": pa.array(list(words.values()), pa.int64())})
+        counts.clear()
+
+    for batch in batches:
+        for key, data in _texts(batch):
+            for piece in pieces(data):
+                words = counts.setdefault(key, Counter())
+                held -= len(words)
+                words.update(piece.split())
+                held += len(words)
+                if held > _HELD_WORDS:
+                    yield from flushed()
+                    held = 0
+    yield from flushed()
 
 
 def _shard_slots(words: pa.Table, shard: pa.Table) -> pa.Table:
     """Slots of the words that fall to one shard; words it does not hold go."""
     row = shard.slice(0, 1).to_pylist()
     found = words["word"].to_pylist()
-    at = _opened(row[0]).slots(found, hashed(found)) if row else np.full(len(found), -1, np.int64)
+    at = PerfectHash(*_opened(row[0])).slots(found) if row else np.full(len(found), -1, np.int64)
     out = words.select(["lang", "source", "shard", "n"]).append_column(
         "slot", pa.array(at.astype(np.int32)))
     return out.filter(pa.array(at >= 0)).select(["lang", "source", "shard", "slot", "n"])
@@ -274,6 +283,13 @@ def _compare(top: int):
     return run
 
 
+def _shard():
+    """The shard of a word among `shards`: its hash, without a sign, modulo their number."""
+    whole = F.col("hash").cast("decimal(20,0)") + F.when(
+        F.col("hash") < 0, F.lit(str(2 ** 64)).cast("decimal(20,0)")).otherwise(0)
+    return F.pmod(whole, F.col("shards").cast("decimal(20,0)")).cast("int")
+
+
 def _recounted(spark: SparkSession, docs: DataFrame, shards: DataFrame, bound: int) -> DataFrame:
     """`lang`, `source`, `shard`, `slot`, `n`: how often the kept words occur."""
     size = shards.agg(F.sum(F.expr("length(places) + aggregate(keys, 0L, (s, k) -> "
@@ -281,20 +297,18 @@ def _recounted(spark: SparkSession, docs: DataFrame, shards: DataFrame, bound: i
     if size <= bound:
         table: dict[str, list] = {}
         for row in sorted(shards.collect(), key=lambda r: r["shard"]):
-            s = _opened(row)
-            table.setdefault(row["lang"], []).append(
-                (s.sizes, s.table, s.blob, s.ends, len(s.spare)))
+            table.setdefault(row["lang"], []).append(_opened(row))
         shared = spark.sparkContext.broadcast(table)
         parts = docs.mapInArrow(_recount(shared), (
-            "lang string, source string, shard int, slots array<int>, counts array<long>"))
+            "lang string, source string, shard int, slots array<int>, counts array<int>"))
         cells = parts.select("lang", "source", "shard", F.expr("inline(arrays_zip(slots, counts))"))
         return cells.groupBy("lang", "source", "shard", F.col("slots").alias("slot")).agg(
             F.sum("counts").alias("n"))
-    words = docs.mapInArrow(_count_words, "lang string, source string, word binary, n long") \
-        .groupBy("lang", "source", "word").agg(F.sum("n").alias("n"))
+    words = docs.mapInArrow(
+        _count_words, "lang string, source string, word binary, hash long, n long").groupBy(
+        "lang", "source", "word").agg(F.sum("n").alias("n"), F.first("hash").alias("hash"))
     per = shards.groupBy("lang").agg(F.count("*").alias("shards"))
-    dealt = _joined(words, per, ["lang"], "inner").withColumn(
-        "shard", F.pmod(F.xxhash64("word"), "shards").cast("int"))
+    dealt = _joined(words, per, ["lang"], "inner").withColumn("shard", _shard())
     return dealt.groupBy("lang", "shard").cogroup(shards.groupBy("lang", "shard")).applyInArrow(
         _shard_slots, "lang string, source string, shard int, slot int, n long")
 
@@ -311,9 +325,10 @@ def divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     docs = docs.select(*[F.coalesce(column(c).cast("string"), F.lit("")).alias(n) for c, n in (
         (lang, "lang"), (source, "source"), (text, "text"))]).withColumn(
         "text", F.col("text").cast("binary"))
-    kept = docs.select("lang", "text").mapInArrow(_frequencies, "lang string, word binary, n long") \
-        .groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    kept = stored(kept.select("lang", "word"), "kept-words")
+    kept = docs.select("lang", "text").mapInArrow(
+        _frequencies, "lang string, word binary, hash long, n long").groupBy("lang", "word").agg(
+        F.sum("n").alias("n"), F.first("hash").alias("hash")).where(F.col("n") >= least)
+    kept = stored(kept.select("lang", "word", "hash"), "kept-words")
 
     groups = stored(docs.select("lang", "source").distinct(), "groups")
     per_lang = stored(groups.groupBy("lang").agg(F.count("*").alias("sources")).join(
@@ -323,7 +338,7 @@ def divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source:
                 F.lit(SHARD_WORDS), F.floor(F.lit(CELLS) / F.col("sources")))))).cast("int")
         .alias("shards")), "languages")
     dealt = _joined(kept, per_lang, ["lang"], "inner").select(
-        "lang", F.pmod(F.xxhash64("word"), "shards").cast("int").alias("shard"), "word")
+        "lang", _shard().alias("shard"), "word")
     # A shard may come out empty; it must be there, as words are dealt out by their number.
     seeds = per_lang.select("lang", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias(
         "shard"))
