@@ -16,10 +16,17 @@ a probability of 3e-6. Candidates are verified on their texts, then joined into
 2. Of each band bucket one class is the leader (the one whose buckets are the fullest), and every
    other class of the bucket is verified against it: as many pairs as rows, however large the
    bucket is.
-3. Buckets whose classes are then still in several components are compared whole, in blocks of
-   `BLOCK` classes: pairs of different components that share this band and none before it. A
-   block reports only links that join components. So no link between components is lost, and
-   the pairs of a large group are never written out.
+3. Buckets whose classes are then still in several components are compared whole, in one group
+   each: pairs of different components, in the first such band that they share. Only links that
+   join components leave the group. A bucket that is larger than a group may be (`GROUP` texts or
+   `GROUP_BYTES`) is split: each member goes to `SPLITS` parts of the bucket, by the keys of two
+   further bands each, so that only texts that agree in twelve coordinates meet; parts that are
+   still too large are split again, `DEPTH` times at most, and what is left then is compared with
+   one leader. So the rows made grow with the members of a bucket, never with their pairs.
+
+   A pair of similarity 0.8 shares 10 of the 24 bands on average and meets in one part or another
+   of a split bucket with a probability of a half, so that it meets nowhere with a probability
+   below one in a thousand, where all of its buckets are split; in all others it is compared.
 
 Rows: a null text, or one without a word, is compared for equality only; a null text is never a
 copy of another. Fewer than five words are one shingle. Rows with equal text are one class,
@@ -31,7 +38,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +54,10 @@ SIMILARITY = 0.8
 ROWS = 4
 BANDS = 24
 COORDINATES = ROWS * BANDS
-BLOCK = 512
+GROUP = 512
+GROUP_BYTES = 16 << 20
+SPLITS = 4
+DEPTH = 3
 KEPT_WORDS = 200_000
 
 _WORD = re.compile(r"\w+")
@@ -205,14 +215,26 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["a", "b"])
 
 
-def joining_links(sets: list, keys: np.ndarray, roots: list, band: int, halves: np.ndarray
+class _Sets:
+    """Shingles of the texts of a group, worked out when they are first asked for."""
+
+    def __init__(self, texts):
+        self.texts, self.known = texts, {}
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        if i not in self.known:
+            self.known[i] = shingles(self.texts[i])
+        return self.known[i]
+
+
+def joining_links(sets, keys: np.ndarray, roots: list, band: int, whole: np.ndarray, split: bool
                   ) -> list[tuple[int, int]]:
-    """Links of 0.8 or more that join components, among the members of one or two blocks.
+    """Links of 0.8 or more that join components, among the members of one group.
 
-    `halves` numbers each member's block; with two blocks only pairs across them are new. A pair
-    is looked at in the first band that it shares.
+    `whole` says of each member's bands which buckets are compared whole. A pair is looked at in
+    the first such bucket that it shares; in a part of a split bucket, if it shares none.
     """
-    parent = list(range(len(sets)))
+    parent = list(range(len(keys)))
     first: dict = {}
 
     def root(i: int) -> int:
@@ -223,40 +245,68 @@ def joining_links(sets: list, keys: np.ndarray, roots: list, band: int, halves:
 
     for i, r in enumerate(roots):
         parent[i] = first.setdefault(r, i)
-    across = halves.min() != halves.max()
-    sizes = np.array([s[1].sum() for s in sets])
+    before = keys.shape[1] if split else band
     links = []
-    for i in range(len(sets)):
-        later = np.arange(i + 1, len(sets))
-        if across:
-            later = later[halves[later] != halves[i]]
-        near = np.minimum(sizes[later], sizes[i]) >= SIMILARITY * np.maximum(sizes[later], sizes[i])
-        later = later[near]
-        if band and len(later):
-            later = later[~(keys[later, :band] == keys[i, :band]).any(1)]
-        for j in later:
-            if root(i) != root(int(j)) and similarity(sets[i], sets[j]) >= SIMILARITY:
-                links.append((i, int(j)))
-                parent[root(int(j))] = root(i)
+    for i in range(len(keys)):
+        later = np.arange(i + 1, len(keys))
+        if before and len(later):
+            shared = (keys[later, :before] == keys[i, :before]) & whole[i, :before]
+            later = later[~shared.any(1)]
+        for j in later.tolist():
+            if root(i) == root(j):
+                continue
+            a, b = sets[i], sets[j]
+            sizes = sorted((a[1].sum(), b[1].sum()))
+            if sizes[0] >= SIMILARITY * sizes[1] and similarity(a, b) >= SIMILARITY:
+                links.append((i, j))
+                parent[root(j)] = root(i)
     return links
 
 
-def _compare_blocks(key: tuple, table: pa.Table) -> pa.Table:
-    """All members of one pair of blocks of a bucket: at most twice `BLOCK` texts."""
+def _compare(key: tuple, table: pa.Table) -> pa.Table:
+    """All members of one bucket, or of one part of a split bucket."""
     marks = table["th"].to_pylist()
-    sets = [shingles(t.as_py()) for t in table["text"]]
     keys = np.array(table["keys"].to_pylist(), np.int64)
-    links = joining_links(sets, keys, table["root"].to_pylist(), table["band"][0].as_py(),
-                          table["half"].to_numpy())
+    bits = table["whole"].to_numpy()[:, None] >> np.arange(BANDS) & 1
+    texts = [t.as_py() for t in table["text"]]
+    links = joining_links(_Sets(texts), keys, table["root"].to_pylist(),
+                          table["band"][0].as_py(), bits.astype(bool), table["split"][0].as_py())
     return pa.table({"a": pa.array([marks[i] for i, _ in links], pa.binary()),
                      "b": pa.array([marks[j] for _, j in links], pa.binary())})
 
 
+def _several(units: DataFrame) -> DataFrame:
+    """Units that hold several components: their members and bytes."""
+    return units.groupBy("unit").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members"),
+        F.sum("bytes").alias("size")).where("lo != hi").select(
+        "unit", (F.col("members") <= GROUP).alias("few"), F.col("size").alias("size")).select(
+        "unit", (F.col("few") & (F.col("size") <= GROUP_BYTES)).alias("fits"))
+
+
+def _parts(units: DataFrame, depth: int) -> DataFrame:
+    """Members of units that are too large, each in several parts of its unit."""
+    def part(turn):
+        # Two further bands, others for each turn and depth.
+        step = 2 * (SPLITS * depth + turn) + 1
+        keys = [F.get("keys", F.pmod(F.col("band") + F.lit(step + i), F.lit(BANDS)).cast("int"))
+                for i in (0, 1)]
+        return F.xxhash64("unit", F.lit(turn), *keys)
+    return units.withColumn("unit", F.explode(F.array(*[part(t) for t in range(SPLITS)])))
+
+
 def _joined(table: DataFrame, lookup: DataFrame, on: list[str], how: str) -> DataFrame:
     """A join with a table whose size is measured first: sent whole, or shuffled."""
     return table.join(F.broadcast(lookup) if fits_broadcast(lookup) else lookup, on, how)
 
 
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs `a`, `b` that are alike enough."""
+    a, b = (texts.select(F.col("th").alias(n), F.col("text").alias(f"{n}_text")) for n in "ab")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text").mapInArrow(
+        _verify, "a binary, b binary")
+
+
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """`doc_id`, `th` (hash of the text), `class_id` (the smallest doc_id of an equal text) and
     `cluster_id` (the smallest doc_id of the near-duplicate group)."""
@@ -286,29 +336,38 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     involved = scores.join(nodes, "th").select("th", "some_id")
     texts = stored(_joined(base.select("*", some), involved, ["some_id", "th"], "left_semi").dropDuplicates(
         ["th"]).select("th", "text"), "texts")
-    sides = pairs.join(texts.select(F.col("th").alias("a"), F.col("text").alias("a_text")), "a") \
-        .join(texts.select(F.col("th").alias("b"), F.col("text").alias("b_text")), "b")
-    links = stored(sides.select("a", "b", "a_text", "b_text").mapInArrow(
-        _verify, "a binary, b binary"), "links")
+    links = stored(_verified(pairs, texts), "links")
     roots = components(links, "a", "b")
 
-    # Buckets that still hold several components, in pairs of blocks.
-    rooted = shared.join(roots, shared["th"] == roots["node"], "left").select(
-        "key", "band", "th", F.coalesce("root", "th").alias("root"))
-    apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
-                                      F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks")) \
-        .where("lo != hi").select("key", "blocks")
-    place = F.pmod(F.xxhash64("th", "key"), F.col("blocks"))
-    spread = rooted.join(apart, "key").withColumn("block", place).withColumn(
-        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    units = spread.select(
-        "key", "band", "th", "root", F.least("block", "other").alias("i"),
-        F.greatest("block", "other").alias("j"), F.col("block").alias("half"))
+    # Buckets that still hold several components; those that are too large in parts.
+    sized = texts.select("th", F.octet_length("text").cast("long").alias("bytes"))
+    rooted = stored(shared.join(roots, shared["th"] == roots["node"], "left").join(
+        sized, "th").select(F.col("key").alias("unit"), "band", "th", F.coalesce(
+            "root", "th").alias("root"), "bytes"), "rooted")
+    apart = stored(_several(rooted), "apart")
+    members = _joined(rooted, apart, ["unit"], "inner")
     keyed = signed.where("keys is not null").select("th", "keys")
-    known = units.select("th").distinct()
-    members = _joined(keyed, known, ["th"], "left_semi").dropDuplicates(["th"])
-    full = units.join(members, "th").join(texts, "th")
-    more = full.groupBy("key", "i", "j").applyInArrow(_compare_blocks, "a binary, b binary")
+    marked = members.groupBy("th").agg(F.expr(
+        "bit_or(if(fits, shiftleft(1L, band), 0L))").alias("whole"))
+    known = stored(_joined(keyed, marked, ["th"], "inner").dropDuplicates(["th"]), "members")
+    full = stored(members.join(known, "th"), "units")
+    units = [full.where("fits").withColumn("split", F.lit(False))]
+    rest = full.where("not fits").drop("fits")
+    for depth in range(DEPTH):
+        if not rest.limit(1).count():
+            break
+        parts = stored(_parts(rest, depth), "parts")
+        judged = stored(_joined(parts, _several(parts), ["unit"], "inner"), "judged-parts")
+        units.append(judged.where("fits").withColumn("split", F.lit(True)))
+        rest = judged.where("not fits").drop("fits")
+    # What no split makes small enough meets one leader.
+    last = rest.groupBy("unit").agg(F.min("th").alias("b"))
+    stars = stored(rest.join(last, "unit").where("th != b").select(
+        F.col("th").alias("a"), "b").distinct(), "stars")
+    names = ["unit", "band", "th", "root", "keys", "whole", "split"]
+    grouped = reduce(DataFrame.unionByName, [u.select(*names) for u in units])
+    more = grouped.join(texts, "th").groupBy("unit").applyInArrow(
+        _compare, "a binary, b binary").union(_verified(stars, texts))
     every = stored(links.union(more.distinct()), "links")
     final = components(every, "a", "b")
 
