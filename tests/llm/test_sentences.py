@@ -1,4 +1,3 @@
-import random
 import re
 
 import pytest
@@ -18,9 +17,10 @@ def plain(rows):
     for i in order:
         s = [x.strip(WS) for x in cut[i]]
         for p in range(len(s) - sen.RUN + 1):
-            run = "\n".join(s[p:p + sen.RUN])
-            if len(run) >= sen.LEAST_CHARS and first.setdefault(run, (i, p)) != (i, p):
-                gone[i].update(range(p, p + sen.RUN))
+            n = next((n for n in range(sen.RUN, len(s) - p + 1)
+                      if len("\n".join(s[p:p + n])) >= sen.LEAST_CHARS), None)
+            if n and first.setdefault("\n".join(s[p:p + n]), (i, p)) != (i, p):
+                gone[i].update(range(p, p + n))
     return {key: (text if not gone[i] else "".join(
         x for p, x in enumerate(cut[i]) if p not in gone[i]), len(cut[i]), len(gone[i]))
         for i, (key, text) in enumerate(rows)}
@@ -111,74 +111,32 @@ def test_null_and_repeated_ids(spark):
         [("None", True, text), ("3", False, ""), ("3", False, ""), ("3", False, "other")])
 
 
-def all_runs(rows):
-    """Texts after `dedup_passages`, by a table of every run of pieces in every document."""
-    first, gone = {}, [set() for _ in rows]
-    cuts = [sen.pieces_of(t) for _, t in rows]
-    for i, (_, t) in enumerate(rows):
-        s = [t[a:b].strip(WS) for a, b in cuts[i]]
-        for p in range(len(s)):
-            for q in range(p + sen.RUN, len(s) + 1):
-                run = "\n".join(s[p:q])
-                if len(run) >= sen.LEAST_CHARS:
-                    if first.setdefault(run, (i, p)) != (i, p):
-                        gone[i].update(range(p, q))
-    return [(k, "".join(t[a:b] for p, (a, b) in enumerate(c) if p not in g) if g else t)
-            for (k, t), c, g in zip(rows, cuts, gone)]
-
-
-def passages(spark, texts):
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return [r.text for r in sen.dedup_passages(docs).orderBy("doc_id").collect()]
-
-
 @pytest.mark.parametrize("passage", [
-    ", ".join(f"item{i}" for i in range(120)) + ",",
-    "\n".join(f"line {i}" for i in range(60)) + "\n",
-    " ".join(f"WORD{i}!!" for i in range(200))])
-def test_passages_of_short_pieces_go(spark, passage):
-    out = passages(spark, [f"Own words of document number {k}: {passage} And {k} ends."
-                           for k in range(4)])
-    assert passage in out[0]
+    ", ".join(f"w{i}" for i in range(120)), "\n".join(f"line {i}" for i in range(60)),
+    " ".join(f"loud{i}!!" for i in range(60))])
+def test_passages_of_very_short_sentences_go(spark, passage):
+    docs = spark.createDataFrame([doc(k, f"Document {k} begins.\n{passage}\nThen {k} ends.")
+                                  for k in range(4)])
+    out = result(sen.dedup_spans(docs.toDF("doc_id", "text", "lang", "source", "n_chars")))
+    assert passage in out[0][0]
     for k in range(1, 4):
-        assert f"document number {k}:" in out[k] and out[k].endswith(f"And {k} ends.")
-        assert sum(w in out[k].split() for w in set(passage.split())) <= 2
-
-
-def test_unmarked_passages_at_other_offsets_go(spark):
-    passage = " ".join(f"passage{i}" for i in range(200))
-    own = lambda k, n: " ".join(f"own{k}x{i}" for i in range(n))
-    out = passages(spark, [f"{own(k, 3 + k)} {passage} {own(-k - 1, 5)}" for k in range(6)])
-    assert passage in out[0]
-    for k in range(1, 6):
-        assert out[k].startswith(own(k, 3 + k)) and out[k].endswith(own(-k - 1, 5))
-        # What shares a piece with the words before or after it is left.
-        assert sum(w in out[k].split() for w in passage.split()) <= 2 * sen.MOST_WORDS
-
-
-def test_passages_against_a_table_of_all_runs(spark):
-    r = random.Random(3)
-    shared = [" ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 9)))
-                       + r.choice(["", "", "", ",", ".\n"]) for _ in range(40)) for _ in range(5)]
-    texts = []
-    for k in range(25):
-        parts = []
-        for _ in range(3):
-            low = r.randrange(150)
-            parts += [f"own {k}", r.choice(shared)[low:low + r.randrange(200)]]
-        texts.append(" ".join(parts))
-    spans = sen.dedup_spans(spark.createDataFrame(list(enumerate(texts)),
-                                                  "doc_id long, text string"))
-    rows = [(x.doc_id, x.text) for x in spans.orderBy("doc_id").collect()]
-    want = all_runs(rows)
-    assert want != rows and passages(spark, texts) == [t for _, t in want]
-
-
-def test_odd_rows_of_passages(spark, odd_docs, no_docs):
-    rows = sen.dedup_passages(odd_docs).collect()
-    assert len(rows) == odd_docs.count() and sum(r.text is None for r in rows) == 2
-    twice = [r for r in rows if r.doc_id == 9]
-    assert len(twice) == 2 and twice[0] == twice[1] and twice[0].text
-    assert sen.dedup_passages(no_docs).count() == 0
-    for t in ("", " \n ", "a", "\n a b.\n c ", "x " * 50):
-        assert "".join(t[a:b] for a, b in sen.pieces_of(t)) == (t if t.strip() else "")
+        left = out[k][0]
+        assert f"Document {k} begins." in left and f"Then {k} ends." in left
+        assert len(left) < 80
+
+
+def test_query_equals_sql_where_ids_are_shared_or_missing(spark, sf_dir, duck, rows_of, tmp_path):
+    """A third of the rows without an id, others sharing one, and rows that stand twice."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    key = F.when(F.col("doc_id") % 3 == 0, None).when(F.col("doc_id") % 5 == 0, 7).otherwise(
+        F.col("doc_id"))
+    odd = docs.withColumn("doc_id", key).unionByName(
+        docs.where("doc_id % 7 = 1").withColumn("doc_id", F.lit(None).cast("long")))
+    orders = [odd, odd.orderBy("text"), odd.repartition(5, F.length("text"))]
+    found = []
+    for n, rows in enumerate(orders):
+        folder = str(tmp_path / str(n))
+        rows.write.parquet(f"{folder}/documents.parquet")
+        found.append(rows_of(sen.op4_sentence_spans(spark, folder)))
+    assert found[0] == found[1] == found[2] == duck(sen.OP4_SQL, folder)
+    assert sum("'n_removed': 0" not in r for r in found[0]) > 10

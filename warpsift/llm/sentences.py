@@ -1,71 +1,84 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences; every run of `RUN` consecutive sentences is hashed; runs that
-occur more than once anywhere are joined over all documents; and every sentence covered by a
-run that is not its first occurrence is removed. The first occurrence is the one with the
-smallest (doc_id, position).
+A text is cut into sentences; every run of consecutive sentences (as few as have `LEAST_CHARS`
+characters, `RUN` at least) is hashed; runs that occur more than once anywhere are joined over all
+documents; and every sentence covered by a run that is not its first occurrence is removed. The
+first occurrence is the one with the smallest (doc_id, hash of the text, position).
 
 A sentence ends after a word with a full stop, question or exclamation mark, comma, colon or
 semicolon at its end, at a line break, or after `MOST_WORDS` words: so prose without marks is
 compared as well, and a passage that stands in the middle of another sentence falls into step at
-its first mark. Its white space belongs to it: the sentences of a text joined together are the text. Runs shorter
-than `LEAST_CHARS` characters are passed over, as a few very short sentences repeat by chance.
-Spans are compared exactly (128-bit hashes of their words and white space, without the white
-space around each sentence).
+its first mark. Its white space belongs to it: the sentences of a text joined together are the
+text. Where sentences are short, a run takes more of them, so lists, verse and short lines are
+compared too, and a few short words that repeat by chance are not. Spans are compared exactly
+(128-bit hashes of their words and white space, without the white space around each sentence).
 
 Rows: a null text stays null, an empty or blank one stays as it is; both have no sentences. A
-text with fewer than `RUN` sentences has no run and stays. Rows with the same doc_id and the
-same text are one document and get the same result. Null ids come first in the order. An empty
-table gives an empty result. Extra columns are kept; `n_sentences`, `n_removed` must not clash,
-else ValueError.
+text with fewer than `RUN` sentences or `LEAST_CHARS` characters has no run and stays. Rows with
+the same doc_id and the same text are one document and get the same result; texts are told apart
+by 128-bit hashes, also among rows that share an id or have none. Null ids come first in the
+order. An empty table gives an empty result. Extra columns are kept; `n_sentences`, `n_removed`
+must not clash, else ValueError.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
 
 from ..operators.joins import fits_broadcast
 from .common import stored
 
 RUN = 3
 MOST_WORDS = 16
-LEAST_CHARS = 48
+LEAST_CHARS = 96
 
 # The five white-space characters that all regular-expression engines agree on.
 _WS = r"\t\n\f\r "
 SENTENCE = (rf"[{_WS}]*(?:[^{_WS}]*[^{_WS}.!?,;:][\t\f\r ]+){{0,{MOST_WORDS - 1}}}"
             rf"[^{_WS}]+[{_WS}]*")
-#: `dedup_passages` also ends a piece at one word in so many, chosen by the word's hash.
-WORDS_PER_CUT = 8
-
-_WORD = re.compile(rf"([^{_WS}]+)[{_WS}]*")
-_ENDS = frozenset(".!?,;:")
-
 
 def sentences_of(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)),
                       F.array().cast("array<string>"))
 
 
+def _mark(text: str) -> Column:
+    """128 bits that tell texts apart."""
+    return F.unhex(F.md5(F.col(text)))
+
+
 def _spans(docs: DataFrame, run: int, least: int) -> DataFrame:
-    """One row per run: key, id, text hash, position. `docs` has _id and _text."""
+    """One row per run: key, id, text hash, position, sentences. `docs` has _id and _text."""
     trimmed = F.transform(sentences_of(F.col("_text")),
                           lambda s: F.btrim(s, F.lit("\t\n\f\r ")))
-    bare = docs.select("_id", F.hash("_text").alias("_th"), trimmed.alias("_s"))
+    bare = docs.select("_id", _mark("_text").alias("_th"), trimmed.alias("_s"))
     last = F.size("_s") - run
-    joined = F.transform(F.sequence(F.lit(0), last),
-                         lambda i: F.array_join(F.slice("_s", i + 1, run), "\n"))
-    spans = bare.where(last >= 0).select("_id", "_th", F.posexplode(joined).alias("_pos", "_run"))
+    nothing = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("size"))
+
+    def longer(so_far, sentence):
+        """One sentence more, until there are characters enough."""
+        enough = (so_far["n"] >= run) & (so_far["size"] >= least)
+        return F.struct(
+            F.when(enough, so_far["n"]).otherwise(so_far["n"] + 1).alias("n"),
+            F.when(enough, so_far["size"]).otherwise(
+                so_far["size"] + F.length(sentence) + 1).alias("size"))
+
+    def run_at(i):
+        short = F.array_join(F.slice("_s", i + 1, run), "\n")
+        # No sentence is empty, so so many have characters enough.
+        grown = F.aggregate(F.slice("_s", i + 1, max(run, least // 2 + 1)), nothing, longer)
+        n = F.when(grown["size"] >= least, grown["n"])
+        return F.when(F.length(short) >= least, F.struct(short.alias("run"), F.lit(run).alias(
+            "n"))).otherwise(F.struct(F.array_join(F.slice("_s", i + 1, n), "\n").alias("run"),
+                                      n.alias("n")))
+
+    runs = F.transform(F.sequence(F.lit(0), last), run_at)
+    spans = bare.where(last >= 0).select("_id", "_th", F.posexplode(runs).alias("_pos", "_run"))
+    words = F.col("_run.run")
     # Two independent 64-bit hashes: fixed width, so that the rows that are shuffled stay short.
-    return spans.where(F.length("_run") >= least).select(
-        F.xxhash64("_run").alias("_key"), F.xxhash64(F.concat(F.lit("#"), "_run")).alias("_key2"),
-        "_id", "_th", "_pos")
+    return spans.where("_run.n IS NOT NULL").select(
+        F.xxhash64(words).alias("_key"), F.xxhash64(F.concat(F.lit("#"), words)).alias("_key2"),
+        "_id", "_th", "_pos", F.col("_run.n").alias("_len"))
 
 
 def dedup_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", run: int = RUN,
@@ -91,9 +104,10 @@ def dedup_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", run
     # At most one entry per sentence of the document.
     covered = later.groupBy(F.col("_id").alias("_i"), F.col("_th").alias("_t")).agg(
         F.array_distinct(F.flatten(F.collect_set(
-            F.sequence("_pos", F.col("_pos") + (run - 1))))).alias("_gone"))
-    on = inner["_id"].eqNullSafe(covered["_i"]) & (F.hash(inner["_text"]) == covered["_t"])
-    if fits_broadcast(covered.select("_i", "_t", F.concat_ws(",", F.transform(
+            F.sequence("_pos", F.col("_pos") + F.col("_len") - 1)))).alias("_gone"))
+    inner = inner.withColumn("_th", _mark("_text"))
+    on = inner["_id"].eqNullSafe(covered["_i"]) & (inner["_th"] == covered["_t"])
+    if fits_broadcast(covered.select("_i", F.hex("_t").alias("_t"), F.concat_ws(",", F.transform(
             "_gone", lambda p: p.cast("string"))).alias("_gone"))):
         covered = F.broadcast(covered)
     out = inner.join(covered, on, "left").withColumn("_s", sentences_of(F.col("_text")))
@@ -108,134 +122,46 @@ def dedup_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", run
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
-def pieces_of(text: str) -> list[tuple[int, int]]:
-    """Start and end of each piece of `dedup_passages`; together they are the text."""
-    out, start, words = [], 0, 0
-    for m in _WORD.finditer(text):
-        word, words = m[1], words + 1
-        if (word[-1] in _ENDS or words == MOST_WORDS or "\n" in m[0]
-                or xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) % WORDS_PER_CUT == 0):
-            out.append((start, m.end()))
-            start, words = m.end(), 0
-    if words:
-        out.append((start, len(text)))
-    return out
-
-
-def runs_of(text: str) -> Iterator[tuple[str, int, int]]:
-    """(words, start, end) of every run that has `RUN` pieces and `LEAST_CHARS` characters at
-    least, and would not without its first piece, or not without its last."""
-    places = pieces_of(text)
-    bare = [text[a:b].strip("\t\n\f\r ") for a, b in places]
-    n = len(bare)
-    end, size = 0, -1                       # the shortest run from `i` is bare[i:end]
-    for i in range(n):
-        while end < n and (end - i < RUN or size < LEAST_CHARS):
-            size += len(bare[end]) + 1
-            end += 1
-        if end - i < RUN or size < LEAST_CHARS:
-            return
-        size -= len(bare[i]) + 1
-        last, rest = end, size              # runs that end where none of those from `i + 1` do
-        while True:
-            yield "\n".join(bare[i:last]), places[i][0], places[last - 1][1]
-            if last == n or last - i - 1 >= RUN and rest >= LEAST_CHARS:
-                break
-            rest += len(bare[last]) + 1
-            last += 1
-            if last - i - 1 >= RUN and rest >= LEAST_CHARS:
-                break
-
-
-def without(text: str, gone: list) -> str:
-    """`text` without the ranges in `gone`, which may overlap."""
-    kept, at = [], 0
-    for low, high in sorted((r[0], r[1]) for r in gone):
-        kept.append(text[at:max(at, low)])
-        at = max(at, high)
-    return "".join(kept) + text[at:]
-
-
-def dedup_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """`dedup_spans`, and then what its runs pass over: adds `chars_removed`, by the second step.
-
-    Pieces end at marks and line breaks, and within long stretches at words chosen by their hash,
-    so that they fall alike wherever a passage stands; `MOST_WORDS` bounds those without such a
-    word. A run is as many pieces as it takes, `RUN` at least, to have `LEAST_CHARS` characters,
-    so passages of very short pieces are compared too. Order and rows as in `dedup_spans`.
-    """
-    if "chars_removed" in {c.lower() for c in docs.columns}:
-        raise ValueError("rename the column chars_removed first")
-    docs = stored(dedup_spans(docs, text, doc_id), "sentence-spans")
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    at_text, at_id = names[docs.columns.index(text)], names[docs.columns.index(doc_id)]
-    inner = docs.toDF(*names).withColumns({"_id": F.col(at_id), "_text": F.col(at_text)})
-    bare = inner.select("_id", F.hash("_text").alias("_th"), "_text")
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, value in enumerate(batch.column(2)):
-                found = [(int.from_bytes(h[:8], "big", signed=True),
-                          int.from_bytes(h[8:], "big", signed=True), low, high)
-                         for run, low, high in runs_of(value.as_py() or "")
-                         for h in (xxhash.xxh3_128_digest(run.encode("utf-8", "surrogatepass")),)]
-                for k in range(0, len(found), 10_000):
-                    part = list(zip(*found[k:k + 10_000]))
-                    same = pa.array([row] * len(part[0]), pa.int32())
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(same), batch.column(1).take(same),
-                         *[pa.array(c, t) for c, t in zip(part, (pa.int64(), pa.int64(),
-                                                                 pa.int32(), pa.int32()))]],
-                        names=["_id", "_th", "_key", "_key2", "_low", "_high"])
-
-    shape = StructType([bare.schema["_id"], bare.schema["_th"]]).add("_key", "long").add(
-        "_key2", "long").add("_low", "integer").add("_high", "integer")
-    spans = bare.mapInArrow(runs, shape)
-    keys = stored(spans.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").select(
-        "_key"), "passage-keys")
-    candidates = stored(spans.join(keys, "_key", "left_semi"), "passages")
-    at = F.struct("_id", "_th", "_low")
-    repeated = candidates.groupBy("_key", "_key2").agg(F.min(at).alias("_first"),
-                                                       F.count("*").alias("_n")) \
-        .where("_n > 1").drop("_n")
-    later = candidates.join(repeated, ["_key", "_key2"]).where(~at.eqNullSafe(F.col("_first")))
-    covered = later.groupBy(F.col("_id").alias("_i"), F.col("_th").alias("_t")).agg(
-        F.collect_set(F.struct("_low", "_high")).alias("_gone"))
-    on = inner["_id"].eqNullSafe(covered["_i"]) & (F.hash(inner["_text"]) == covered["_t"])
-    cut = F.udf(lambda t, g: None if t is None or g is None else without(t, g), "string")
-    out = inner.join(covered, on, "left").withColumn("_left", F.coalesce(cut(
-        F.when(F.col("_gone").isNotNull(), F.col("_text")), F.col("_gone")), F.col("_text")))
-    return out.select(
-        *[F.col("_left" if n == at_text else n).alias(c) for n, c in zip(names, docs.columns)],
-        (F.coalesce(F.length("_text"), F.lit(0)) - F.coalesce(F.length("_left"), F.lit(0))).cast(
-            "long").alias("chars_removed"))
-
-
 def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         F.col("doc_id").cast("long").alias("doc_id"), "text")
     return dedup_spans(docs)
 
 
+def _run_sql() -> str:
+    """The run that begins at `pos`: three sentences, or as many as have characters enough."""
+    def joined(n):
+        return f"array_to_string(s[pos + 1:pos + {n}], chr(10))"
+
+    most = max(RUN, LEAST_CHARS // 2 + 1)
+    more = (f"list_filter(list_transform(range({RUN + 1}, least({most}, len(s) - pos) + 1), "
+            f"lambda k: {joined('k')}), lambda x: length(x) >= {LEAST_CHARS})[1]")
+    return f"CASE WHEN length({joined(RUN)}) >= {LEAST_CHARS} THEN {joined(RUN)} ELSE {more} END"
+
+
 def span_sql(documents: str, columns: str = "") -> str:
-    """DuckDB SQL of `dedup_spans` over a table of unique ids; `columns` are carried along."""
+    """DuckDB SQL of `dedup_spans`; `columns` are carried along. Documents are told apart by id
+    and text, as sentences hold no line break a run has one sentence more than line breaks."""
     return f"""
   SELECT doc_id, {columns} CASE WHEN gone IS NULL THEN text ELSE coalesce(
       list_aggregate(list_transform(list_filter(range(len(s)), lambda i: NOT list_contains(gone, i)),
         lambda i: s[i + 1]), 'string_agg', ''), '') END AS text,
     len(s)::BIGINT AS n_sentences, coalesce(len(gone), 0)::BIGINT AS n_removed
-  FROM (SELECT *, coalesce(regexp_extract_all(text, '{SENTENCE}'), []) AS s FROM {documents}) d
+  FROM (SELECT *, coalesce(regexp_extract_all(text, '{SENTENCE}'), []) AS s, md5(text) AS th
+    FROM {documents}) d
   LEFT JOIN (
-    SELECT id, list_distinct(flatten(list([{', '.join(f'pos + {k}' for k in range(RUN))}]))) AS gone
-    FROM (SELECT id, pos, row_number() OVER (PARTITION BY run ORDER BY id, pos) AS r
-      FROM (SELECT doc_id AS id, unnest(range(len(s) - {RUN - 1})) AS pos,
-          unnest(list_transform(range(len(s) - {RUN - 1}), lambda i:
-            list_aggregate(s[i + 1:i + {RUN}], 'string_agg', chr(10)))) AS run
-        FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '{SENTENCE}'),
-          lambda x: trim(x, chr(9) || chr(10) || chr(12) || chr(13) || ' ')) AS s
+    SELECT id, t, list_distinct(flatten(list(range(pos, pos + 1 + length(run)
+        - length(replace(run, chr(10), '')))))) AS gone
+    FROM (SELECT id, t, r.pos AS pos, r.run AS run, row_number() OVER (
+        PARTITION BY r.run ORDER BY id NULLS FIRST, t, r.pos) AS nth
+      FROM (SELECT id, t, unnest(list_transform(range(len(s) - {RUN - 1}),
+          lambda pos: {{'pos': pos, 'run': {_run_sql()}}})) AS r
+        FROM (SELECT DISTINCT doc_id AS id, md5(text) AS t,
+            list_transform(regexp_extract_all(text, '{SENTENCE}'),
+              lambda x: trim(x, chr(9) || chr(10) || chr(12) || chr(13) || ' ')) AS s
           FROM {documents}))
-      WHERE length(run) >= {LEAST_CHARS})
-    WHERE r > 1 GROUP BY id) g ON d.doc_id = g.id"""
+      WHERE r.run IS NOT NULL)
+    WHERE nth > 1 GROUP BY id, t) g ON d.doc_id IS NOT DISTINCT FROM g.id AND d.th = g.t"""
 
 
 OP4_SQL = span_sql("documents")
