@@ -84,3 +84,17 @@ def test_rows_that_share_an_id_are_taken_one_by_one(spark):
     for source in "ab":
         of = [r for r in out if r.source == source]
         assert abs(sum(r.taken for r in of) - of[0].flow) <= 10
+
+
+def test_reruns_agree_where_ids_are_shared_or_missing(spark, sf_dir, duck, rows_of, tmp_path):
+    """The same rows in three physical orders, a third of them without an id."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    key = F.when(F.col("doc_id") % 3 == 0, None).when(F.col("doc_id") % 5 == 0, 7).otherwise(
+        F.col("doc_id"))
+    odd = docs.withColumn("doc_id", key).unionByName(docs.where("doc_id % 9 = 0"))
+    found = []
+    for n, rows in enumerate((odd, odd.orderBy("text"), odd.repartition(5, F.length("text")))):
+        folder = str(tmp_path / str(n))
+        rows.write.parquet(f"{folder}/documents.parquet")
+        found.append(rows_of(mixing.op8_min_cost_mix(spark, folder)))
+    assert found[0] == found[1] == found[2] == duck(mixing.OP8_SQL, folder)

@@ -12,8 +12,9 @@ sources, not by the documents; more than `MAX_PATTERNS` is an error, never a cut
 
 Rows: a null text has size 0; documents of size 0 bring no words and are taken 0 words.
 A null source is a source of its own, the last. Repeated rows are documents of their own, and so
-are rows that share an id or have none. An
-empty table gives an empty result. Columns of the input keep their names; the new ones
+are rows that share an id or have none. Rows that are equal in all columns of `order` follow each
+other in no stated order, so these should tell all rows apart that differ. An empty table gives
+an empty result. Columns of the input keep their names; the new ones
 (`size`, `copies`, `taken`, ...) must not clash, else ValueError.
 """
 
@@ -187,10 +188,12 @@ def repeat_rows(docs: DataFrame, copies: str = "copies") -> DataFrame:
 
 
 def op8_min_cost_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Rows are told apart by id and text, so that reruns agree where ids are shared or missing.
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         F.col("doc_id").cast("long").alias("doc_id"), "source",
-        words_of(F.col("text")).alias("words"))
-    mixed = mix(docs, F.col("words"), F.array("source"), ["doc_id"])
+        words_of(F.col("text")).alias("words"),
+        F.coalesce(F.md5("text"), F.lit("")).alias("mark"))
+    mixed = mix(docs, F.col("words"), F.array("source"), ["doc_id", "mark"])
     return mixed.select("doc_id", "source", "size", F.col("pattern_size").alias("source_size"),
                         "target", "taken")
 
@@ -204,19 +207,19 @@ gap{turn} AS (
   SELECT *, rest - sum(CASE WHEN more THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap
   FROM {table}),
 fit{turn} AS (
-  SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY abs(gap - size), h, doc_id) AS r
+  SELECT place, row_number() OVER (PARTITION BY source ORDER BY abs(gap - size), h, place) AS r
   FROM gap{turn} WHERE NOT more AND size > 0 AND {fits}),
 taken{turn} AS (
-  SELECT g.* EXCLUDE (gap, more), more OR f.doc_id IS NOT NULL AS more
-  FROM gap{turn} g LEFT JOIN (SELECT doc_id FROM fit{turn} WHERE r = 1) f
-    ON g.doc_id = f.doc_id)"""
+  SELECT g.* EXCLUDE (gap, more), more OR f.place IS NOT NULL AS more
+  FROM gap{turn} g LEFT JOIN (SELECT place FROM fit{turn} WHERE r = 1) f USING (place))"""
 
 
 OP8_SQL = f"""
 WITH docs AS (
   SELECT doc_id::BIGINT AS doc_id, source,
     coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-    md5(concat_ws('|', '{SEED}', coalesce(doc_id::VARCHAR, ''))) AS h
+    md5(concat_ws('|', '{SEED}', coalesce(doc_id::VARCHAR, ''), coalesce(md5(text), ''))) AS h,
+    row_number() OVER () AS place
   FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -246,7 +249,7 @@ ordered AS (
   SELECT d.*, q.source_size, q.target,
     CASE WHEN q.source_size = 0 THEN 0 ELSE floor(q.target)::BIGINT // q.source_size END AS times,
     CASE WHEN q.source_size = 0 THEN 0 ELSE floor(q.target)::BIGINT % q.source_size END AS rest,
-    sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id
+    sum(size) OVER (PARTITION BY d.source ORDER BY h, place
       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS upto
   FROM docs d JOIN quotas q ON d.source IS NOT DISTINCT FROM q.source)
 {''.join(map(_fill_sql, range(FILLS)))}
