@@ -96,3 +96,25 @@ def test_edited_licence_lines_of_the_documents():
                         ("All rigts reserved.", "reserved")):
         assert lic.scan_text(f"Some words. {line}\nMore.")[5] == label, line
     assert lic.scan_text("They submit license forms, permit licences and limit license use.")[5] == ""
+
+
+def test_notices_begin_and_end_with_words():
+    for text in ("see licensed under cc bynow", "unlicensed under cc bygone", "xgnu general public license",
+                 "the mit licensework", "callapache licensed"):
+        assert all(text[s["end"]:s["end"] + 1] in ("", " ") and text[:s["start"]][-1:] in ("", " ")
+                   for s in lic.scan_text(text)[7]), text
+    assert lic.scan_text("see licensed under cc bynow")[5] == ""
+    span, = lic.scan_text("so licensed under cc b now")[7]
+    assert (span["found"], span["edits"]) == ("licensed under cc b", 1)
+    long = "x" * 300_000
+    assert lic.scan_text(f"{long} the mit license{long} gnu general public license {long}")[5] == "gpl"
+
+
+def test_spans_come_with_the_query(spark, sf_dir):
+    texts = {r.doc_id: r.text or "" for r in
+             spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = lic.op3_notices(spark, sf_dir).where("size(spans) > 0").collect()
+    assert rows
+    for r in rows:
+        for s in r.spans:
+            assert texts[r.doc_id][s.start:s.end] == s.found and s.label in r.labels.split(",")

@@ -3,8 +3,8 @@
 A text is brought to lower-case words joined by single spaces. A notice that may have `k` edits
 is split into `k + 1` pieces: by the pigeonhole principle one piece must stand there unedited.
 All pieces of all notices are found in one pass (Aho-Corasick); each find proposes a place of its
-notice, and the regex library's bounded-error matching verifies it there, counts the edits and
-gives the span (edits are edits of UTF-8 bytes). Overlapping proposals of a notice are verified as one stretch, so a piece that is
+notice, and the regex library's bounded-error matching verifies it there, from the bound of a
+word to the bound of a word, counts the edits and gives the span (edits are edits of UTF-8 bytes). Overlapping proposals of a notice are verified as one stretch, so a piece that is
 repeated all over a text costs no more than the text.
 
 Beside the notices, exact phrases are counted: places where their words stand one after the other.
@@ -77,7 +77,9 @@ def _matcher():
         cuts = [len(notice) * i // (edits + 1) for i in range(edits + 2)]
         for a, b in zip(cuts, cuts[1:]):
             at.setdefault(notice[a:b], []).append((n, a))
-        patterns.append((regex.compile(f"(?e)(?:{regex.escape(notice)}){{e<={edits}}}"), edits))
+        # Bounds of words on both sides; the edits are inside.
+        patterns.append((regex.compile(
+            f"(?e)(?<![^ ])(?:{regex.escape(notice)}){{e<={edits}}}(?![^ ])"), edits))
     for piece, places in at.items():
         automaton.add_word(piece, (len(piece), places))
     automaton.make_automaton()
@@ -102,7 +104,9 @@ def fuzzy_places(words: str) -> list[tuple[int, int, int, int]]:
     found = []
     for n, stretches in sorted(proposed.items()):
         for low, high in stretches:
-            for m in patterns[n][0].finditer(words, low, min(high, len(words))):
+            # A stretch ends with a word, as the end of the search counts as one.
+            high = words.find(" ", high)
+            for m in patterns[n][0].finditer(words, low, high if high >= 0 else len(words)):
                 found.append((n, m.start(), m.end(), sum(m.fuzzy_counts)))
     return found
 
@@ -164,4 +168,4 @@ def find_notices(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 def op3_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return find_notices(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word",
-                                     "base_labels", "labels", "score")
+                                     "base_labels", "labels", "score", "spans")
