@@ -7,7 +7,7 @@ result to the shared folder and reads it back, so that a lost executor repeats o
 Rows: null and empty texts pass the first three stages (they are neither toxic, nor copies of
 other texts, nor repeat a passage; equal empty texts are copies) and are worth no words to the
 mix. A repeated row is a document of its own until near-dedup leaves one. An empty table gives an
-empty result. Extra columns are carried through to the packing.
+empty result. Extra columns are carried through to the packing, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,22 +29,34 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return neardup.keep_one(docs)
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The columns under numbers, so that none clashes with those of an operator."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names))
+
+
+def _named(out: DataFrame, at: dict[str, str]) -> DataFrame:
+    return out.select(*[F.col(n).alias(c) for c, n in at.items()])
+
+
 def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sentences covered by a span that stands elsewhere before go; the document stays."""
-    out = sentences.dedup_spans(docs)
-    if "n_chars" in docs.columns:
-        changed = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, changed).otherwise(
-            F.col("n_chars")))
-    return out.select(*docs.columns)
+    inner, at = _numbered(docs)
+    out = sentences.dedup_spans(inner, at["text"], at["doc_id"])
+    if "n_chars" in at:
+        n = at["n_chars"]
+        changed = F.length(at["text"]).cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn(n, F.when(F.col("n_removed") > 0, changed).otherwise(F.col(n)))
+    return _named(out, at)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    key = docs.select(*docs.columns, F.xxhash64("text").alias("_text_hash"))
-    mixed = mixing.mix(key, mixing.words_of(F.col("text")), F.array("source"),
-                       ["doc_id", "_text_hash"])
-    return mixing.repeat_rows(mixed).select(*docs.columns)
+    inner, at = _numbered(docs)
+    key = inner.withColumn("text_hash", F.xxhash64(at["text"]))
+    mixed = mixing.mix(key, mixing.words_of(F.col(at["text"])), F.array(at["source"]),
+                       [at["doc_id"], "text_hash"])
+    return _named(mixing.repeat_rows(mixed), at)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
