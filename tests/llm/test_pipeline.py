@@ -4,6 +4,7 @@ import sys
 import textwrap
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from tests.llm import test_neardup, test_sentences
@@ -85,8 +86,9 @@ def test_run_gives_the_last_stage(spark, sf_dir, kept, rows_of):
 def test_odd_and_empty_tables(spark, odd_docs, no_docs, tables):
     labels = spark.createDataFrame([(1, 1, 0), (6, 0, None)],
                                    "doc_id bigint, quality int, toxic int")
-    extra = odd_docs.selectExpr("*", "1 as size", "'x' as copies_", "2 as th")
-    for docs in (odd_docs, extra.withColumnRenamed("size", "weight")):
+    extra = odd_docs.selectExpr("*", *[f"{i} as {name}" for i, name in enumerate(
+        "size target flow copies taken pattern_size n_sentences n_removed th c1 score".split())])
+    for docs in (odd_docs, extra):
         rows = cp.run(spark, tables(docs, labels)).collect()
         # A document of 80,000 words is more than the mix wants of its source.
         assert {8, 9} <= {r.doc_id for r in rows} <= {1, 2, 3, 4, 5, 6, 8, 9, None}
@@ -96,7 +98,7 @@ def test_odd_and_empty_tables(spark, odd_docs, no_docs, tables):
 
 
 def test_every_operator_has_a_query():
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in QUERIES) == 1
     assert set(ORACLES) <= set(QUERIES) and "pipeline" in QUERIES
 
@@ -116,3 +118,16 @@ def test_the_rest_stands_without_the_operators():
     run = lambda gone: subprocess.run([sys.executable, "-c", f"GONE = {gone!r}{code}"],
                                       capture_output=True).returncode
     assert run("warpsift.llm") == run("corpus_pipeline") == 0 and run("xxhash") != 0
+
+
+def test_stages_carry_extra_columns(spark, odd_docs, tables):
+    extra = odd_docs.withColumns({"size": F.lit(7), "copies": F.col("doc_id") + 1,
+                                  "n_removed": F.lit("x")})
+    folder = tables(extra)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for stage in (cp.drop_near_copies, cp.drop_repeated_spans, cp.mix_sources):
+        docs = stage(spark, docs, folder)
+        assert docs.columns == extra.columns
+        for r in docs.collect():
+            assert r["size"] == 7 and r.n_removed == "x"
+            assert r.copies == (None if r.doc_id is None else r.doc_id + 1)
