@@ -3,6 +3,7 @@
 import glob
 import os
 import random
+import re
 
 import pytest
 
@@ -11,6 +12,7 @@ from warpsift.plans.audit import audit, indexed_scan
 from warpsift.plans.late import LATE_RULES
 from warpsift.rules.base import HIGH, PER_MATCH, Pattern, Rule, ci
 from warpsift.rules.catalog import FILE_PACKS, PACKS
+from warpsift.schema import FINDING_COLUMNS
 from warpsift.sources import corpus, files as sources, trigrams
 
 
@@ -77,9 +79,10 @@ def test_few_files_are_candidates(spark, estate):
 def test_other_folders_are_never_opened(spark, tmp_path):
     """Folders without a candidate may hold anything."""
     path = stored(spark, tmp_path, corpus.files(spark, "/root/testdata/sf0.001"))
-    rule = Rule("db", "one", HIGH, "c", "t", None, "title", "fix",
-                all_of=(ci(r"BOT!!X[a-z]+Y"),), none_of=(Pattern("nothing"),))
-    hit = spark.createDataFrame([(5, "src/db.js", "/r5/src/db.js", "x\nbot!!xaay")], (
+    word = ci(r"ZQXWBOT!!XPLOVERVJQ[a-z]+Y")
+    rule = Rule("db", "one", HIGH, "c", "t", None, "title", "fix", all_of=(word,),
+                none_of=(Pattern("nothing"),), line=word)
+    hit = spark.createDataFrame([(5, "src/db.js", "/r5/src/db.js", "x\nzqxwbot!!xplovervjqaay")], (
         "repo_id bigint, path string, abs_path string, content string"))
     one = str(tmp_path / "one")
     sources.write_table(hit, one)
@@ -102,7 +105,7 @@ def test_other_folders_are_never_opened(spark, tmp_path):
     found = indexed_scan(spark, path, rules=[rule])
     assert [(r.repo_id, r.rule_id, r.line) for r in found.collect()] == [(5, "one", 2)]
     plan = found._jdf.queryExecution().toString()
-    assert "dynamicpruning" in plan
+    assert re.search(r"PartitionFilters: \[[^\]]*repo_part", plan)
 
 
 def test_odd_patterns_and_rules(spark, files_of, tmp_path):
@@ -114,8 +117,8 @@ def test_odd_patterns_and_rules(spark, files_of, tmp_path):
     def found(**conditions):
         rule = Rule("owasp", "r", HIGH, "c", "t", None, "title", "fix", **conditions)
         got = indexed_scan(spark, path, rules=[rule])
-        assert rows(got) == rows(audit(files_of(texts), ["owasp"], extra_rules=[rule]).where(
-            "rule_id = 'r'"))
+        whole = audit(files_of(texts), ["owasp"], extra_rules=[rule]).where("rule_id = 'r'")
+        assert rows(got.select(*FINDING_COLUMNS)) == rows(whole.select(*FINDING_COLUMNS))
         return sorted(r.path for r in got.collect())
 
     assert found(all_of=(ci("foo"), ci("bar"))) == ["src/c.js", "src/d.js"]

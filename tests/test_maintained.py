@@ -101,6 +101,25 @@ def test_a_repeated_batch_replaces_what_it_wrote(spark, tmp_path):
     assert rows(again.findings()) == after and again.last() == 2
 
 
+def test_only_touched_folders_of_the_state_are_read(spark, tmp_path):
+    """Folders of other repositories and other hashes may hold anything."""
+    import glob
+    state = MaintainedFindings(spark, str(tmp_path / "state"), ["owasp"]).start()
+    risky = SLOTS[0][1]
+    state.apply(changes_of(spark, {(r, "src/app.js"): f"{risky}\n// {r}" for r in range(40)}))
+    keep = spark.createDataFrame([(3,)], "repo_id bigint").selectExpr(
+        "pmod(xxhash64(repo_id), 64) AS p").first().p
+    spoiled = 0
+    for f in glob.glob(f"{state.root}/*/tree/gen=*/repo_part=*/*.parquet"):
+        if f"repo_part={keep}/" not in f:
+            open(f, "wb").write(b"spoiled")
+            spoiled += 1
+    assert spoiled > 10
+    gen = state.apply(changes_of(spark, {(3, "src/app.js"): "const ok = 1;"}))
+    delta = state._read("changes").where(f"gen = {gen}")
+    assert delta.count() > 2 and delta.where("repo_id != 3 OR sign != -1").count() == 0
+
+
 def test_other_rules_are_another_state(spark, tmp_path):
     root, rule = str(tmp_path / "state"), Rule(
         "owasp", "late", HIGH, "c", "t", None, "title", "fix", all_of=(Pattern("zzz"),))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.patterns import flagged, quoted
 from ..rules.catalog import rules_of
 from ..schema import HIT
-from ..sources.files import part_of
+from ..sources.files import in_folders, part_of
 from .joins import fits_broadcast, lookup_join
 from .reports import grade_of
 from .scan import finding_rows, rule_table, scan_files, selectors_of
@@ -151,8 +151,7 @@ class MaintainedFindings:
 
     def _touched(self, table: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
         """Rows of a state table with one of the keys, from the folders of those keys only."""
-        folder = keys.select(on[0]).distinct()  # at most as many as there are folders
-        near = table.join(F.broadcast(folder), on[0], "left_semi")
+        near = in_folders(table, keys, on[0])
         return near if len(on) == 1 else lookup_join(near, keys.select(*on).distinct(), on,
                                                      "left_semi")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import deps, env
 from ..operators.candidates import candidates
@@ -14,7 +14,7 @@ from ..operators.scan import explode_hits, scan_files
 from ..operators.select import ignore_paths
 from ..rules.catalog import PACK_ORDER, SCANS, rules_of
 from ..session import shared_dir
-from ..sources.files import only_files, read_table
+from ..sources.files import in_folders, only_files, read_stored
 from ..sources.trigrams import read_index
 
 
@@ -89,10 +89,7 @@ def indexed_scan(spark: SparkSession, stored: str, packs=(), rules=()) -> DataFr
     path = shared_dir(spark, "candidates")
     candidates(read_index(spark, stored), asked).write.parquet(path)
     chosen = spark.read.schema("repo_part int, repo_id bigint, path string").parquet(path)
-    # The numbers of the folders, at most as many as there are folders, prune the read even where
-    # the candidates are too many to be sent to every task.
-    parts = F.broadcast(chosen.select("repo_part").distinct())
-    files = read_table(spark, stored).join(parts, "repo_part", "left_semi")
+    files = in_folders(read_stored(spark, stored), chosen, "repo_part")
     texts = lookup_join(files, chosen, ["repo_part", "repo_id", "path"], "left_semi")
     return explode_hits(scan_files(texts, packs, only=only), packs, only=only)
 

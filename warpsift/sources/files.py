@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.joins import lookup_join
+from ..schema import FILES
 from . import trigrams
 from .tree import tree
 
@@ -37,7 +38,7 @@ def write_table(files: DataFrame, path: str, files_per_part: int = _FILES_PER_PA
     files.withColumn("repo_part", part_of()).repartition(
         PARTS * files_per_part, "repo_part", F.pmod(F.xxhash64("path"), F.lit(files_per_part))) \
         .sortWithinPartitions("repo_part", "path").write.partitionBy("repo_part").parquet(path)
-    trigrams.write_index(read_table(files.sparkSession, path), path)
+    trigrams.write_index(read_stored(files.sparkSession, path), path)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -50,6 +51,22 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
                         *[c for c in table.columns if c == "repo_part"])
 
 
+def read_stored(spark: SparkSession, path: str) -> DataFrame:
+    """Files kept by `write_table`: the layout is known, so no file is opened to plan a read."""
+    return spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in FILES)}"
+                             ", repo_part int").parquet(path)
+
+
+def in_folders(table: DataFrame, keys: DataFrame, folder: str) -> DataFrame:
+    """The rows of a table partitioned by `folder` that lie in the folders that `keys` names.
+
+    The numbers of the folders, no more than there are folders, come to the driver and become a
+    filter on partitions: other folders are not even listed in the read.
+    """
+    wanted = sorted(r[0] for r in keys.select(folder).distinct().collect() if r[0] is not None)
+    return table.where(F.col(folder).isin(wanted))
+
+
 def only_files(files: DataFrame, wanted: DataFrame) -> DataFrame:
     """The files of given repositories and paths."""
     on = ["repo_id", "path"]
