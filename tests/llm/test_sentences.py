@@ -17,10 +17,10 @@ def plain(rows):
     for i in order:
         s = [x.strip(WS) for x in cut[i]]
         for p in range(len(s) - sen.RUN + 1):
-            n = next((n for n in range(sen.RUN, len(s) - p + 1)
-                      if len("\n".join(s[p:p + n])) >= sen.LEAST_CHARS), None)
-            if n and first.setdefault("\n".join(s[p:p + n]), (i, p)) != (i, p):
-                gone[i].update(range(p, p + n))
+            run = next((s[p:p + n] for n in (3, 4, 5, 6, 12, 24, 48)
+                        if len("\n".join(s[p:p + n])) >= sen.LEAST_CHARS), None)
+            if run and first.setdefault("\n".join(run), (i, p)) != (i, p):
+                gone[i].update(range(p, p + len(run)))
     return {key: (text if not gone[i] else "".join(
         x for p, x in enumerate(cut[i]) if p not in gone[i]), len(cut[i]), len(gone[i]))
         for i, (key, text) in enumerate(rows)}

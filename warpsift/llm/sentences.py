@@ -1,7 +1,7 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences; every run of consecutive sentences (as few as have `LEAST_CHARS`
-characters, `RUN` at least) is hashed; runs that occur more than once anywhere are joined over all
+A text is cut into sentences; every run of `RUN` consecutive sentences is hashed (of more, see
+`lengths`, where they have fewer than `LEAST_CHARS` characters); runs that occur more than once anywhere are joined over all
 documents; and every sentence covered by a run that is not its first occurrence is removed. The
 first occurrence is the one with the smallest (doc_id, hash of the text, position).
 
@@ -30,7 +30,7 @@ from .common import stored
 
 RUN = 3
 MOST_WORDS = 16
-LEAST_CHARS = 96
+LEAST_CHARS = 60
 
 # The five white-space characters that all regular-expression engines agree on.
 _WS = r"\t\n\f\r "
@@ -47,38 +47,36 @@ def _mark(text: str) -> Column:
     return F.unhex(F.md5(F.col(text)))
 
 
+def lengths(run: int = RUN, least: int = LEAST_CHARS) -> list[int]:
+    """How many sentences a run may have: the first that gives it `least` characters counts. One
+    more at a time, then twice as many; no sentence is empty, so the last is enough."""
+    out = [run]
+    while 2 * out[-1] - 1 < least:
+        out.append(out[-1] + 1 if out[-1] < 2 * run else 2 * out[-1])
+    return out
+
+
+def _run_at(numbers: list[int], least: int) -> str:
+    """SQL: the run at sentence `i`."""
+    n, longer = numbers[0], _run_at(numbers[1:], least) if numbers[1:] else "NULL"
+    return (f"transform(array(array_join(slice(_s, i + 1, {n}), '\\n')), x{n} -> "
+            f"CASE WHEN length(x{n}) >= {least} THEN x{n} ELSE {longer} END)[0]")
+
+
 def _spans(docs: DataFrame, run: int, least: int) -> DataFrame:
     """One row per run: key, id, text hash, position, sentences. `docs` has _id and _text."""
     trimmed = F.transform(sentences_of(F.col("_text")),
                           lambda s: F.btrim(s, F.lit("\t\n\f\r ")))
     bare = docs.select("_id", _mark("_text").alias("_th"), trimmed.alias("_s"))
     last = F.size("_s") - run
-    nothing = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("size"))
-
-    def longer(so_far, sentence):
-        """One sentence more, until there are characters enough."""
-        enough = (so_far["n"] >= run) & (so_far["size"] >= least)
-        return F.struct(
-            F.when(enough, so_far["n"]).otherwise(so_far["n"] + 1).alias("n"),
-            F.when(enough, so_far["size"]).otherwise(
-                so_far["size"] + F.length(sentence) + 1).alias("size"))
-
-    def run_at(i):
-        short = F.array_join(F.slice("_s", i + 1, run), "\n")
-        # No sentence is empty, so so many have characters enough.
-        grown = F.aggregate(F.slice("_s", i + 1, max(run, least // 2 + 1)), nothing, longer)
-        n = F.when(grown["size"] >= least, grown["n"])
-        return F.when(F.length(short) >= least, F.struct(short.alias("run"), F.lit(run).alias(
-            "n"))).otherwise(F.struct(F.array_join(F.slice("_s", i + 1, n), "\n").alias("run"),
-                                      n.alias("n")))
-
-    runs = F.transform(F.sequence(F.lit(0), last), run_at)
+    runs = F.expr(f"transform(sequence(0, size(_s) - {run}), i -> {_run_at(lengths(run, least), least)})")
     spans = bare.where(last >= 0).select("_id", "_th", F.posexplode(runs).alias("_pos", "_run"))
-    words = F.col("_run.run")
+    # Sentences hold no line break: a run has one sentence more than it has line breaks.
+    n = F.length("_run") - F.length(F.replace("_run", F.lit("\n"), F.lit(""))) + 1
     # Two independent 64-bit hashes: fixed width, so that the rows that are shuffled stay short.
-    return spans.where("_run.n IS NOT NULL").select(
-        F.xxhash64(words).alias("_key"), F.xxhash64(F.concat(F.lit("#"), words)).alias("_key2"),
-        "_id", "_th", "_pos", F.col("_run.n").alias("_len"))
+    return spans.where("_run IS NOT NULL").select(
+        F.xxhash64("_run").alias("_key"), F.xxhash64(F.concat(F.lit("#"), "_run")).alias("_key2"),
+        "_id", "_th", "_pos", n.alias("_len"))
 
 
 def dedup_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", run: int = RUN,
@@ -128,15 +126,11 @@ def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_spans(docs)
 
 
-def _run_sql() -> str:
-    """The run that begins at `pos`: three sentences, or as many as have characters enough."""
-    def joined(n):
-        return f"array_to_string(s[pos + 1:pos + {n}], chr(10))"
-
-    most = max(RUN, LEAST_CHARS // 2 + 1)
-    more = (f"list_filter(list_transform(range({RUN + 1}, least({most}, len(s) - pos) + 1), "
-            f"lambda k: {joined('k')}), lambda x: length(x) >= {LEAST_CHARS})[1]")
-    return f"CASE WHEN length({joined(RUN)}) >= {LEAST_CHARS} THEN {joined(RUN)} ELSE {more} END"
+def _run_sql(numbers: list[int]) -> str:
+    """The run that begins at `pos`, in DuckDB."""
+    run = f"array_to_string(s[pos + 1:pos + {numbers[0]}], chr(10))"
+    longer = _run_sql(numbers[1:]) if numbers[1:] else "NULL"
+    return f"CASE WHEN length({run}) >= {LEAST_CHARS} THEN {run} ELSE {longer} END"
 
 
 def span_sql(documents: str, columns: str = "") -> str:
@@ -155,7 +149,7 @@ def span_sql(documents: str, columns: str = "") -> str:
     FROM (SELECT id, t, r.pos AS pos, r.run AS run, row_number() OVER (
         PARTITION BY r.run ORDER BY id NULLS FIRST, t, r.pos) AS nth
       FROM (SELECT id, t, unnest(list_transform(range(len(s) - {RUN - 1}),
-          lambda pos: {{'pos': pos, 'run': {_run_sql()}}})) AS r
+          lambda pos: {{'pos': pos, 'run': {_run_sql(lengths())}}})) AS r
         FROM (SELECT DISTINCT doc_id AS id, md5(text) AS t,
             list_transform(regexp_extract_all(text, '{SENTENCE}'),
               lambda x: trim(x, chr(9) || chr(10) || chr(12) || chr(13) || ' ')) AS s
