@@ -233,13 +233,16 @@ def package_facts(latest_versions: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def dependency_findings(manifest: DataFrame, advisories: DataFrame, latest_versions: DataFrame,
-                        registry: DataFrame, as_of: str) -> DataFrame:
+                        registry: DataFrame, as_of: str, facts: DataFrame | None = None
+                        ) -> DataFrame:
     """All five checks; `manifest` holds one row per repository and package.
 
     The manifest meets the advisories once, and the facts about packages once: four of the
-    checks come out of that one join.
+    checks come out of that one join. It is read for both, so give it in stored form; likewise
+    `facts` (see `package_facts`), which are measured before they are joined.
     """
-    facts = package_facts(latest_versions, registry)
+    if facts is None:
+        facts = package_facts(latest_versions, registry)
     rows = lookup_join(manifest.select("repo_id", "package", "version"), facts, ["package"],
                        "left")
     return known_vulnerabilities(manifest, advisories).unionByName(_emit(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,10 +27,24 @@ class Dependencies:
     latest_versions: DataFrame
     registry: DataFrame
     as_of: str
+    facts: DataFrame | None = None
 
     def findings(self) -> DataFrame:
         return deps.dependency_findings(self.manifest, self.advisories, self.latest_versions,
-                                        self.registry, self.as_of)
+                                        self.registry, self.as_of, self.facts)
+
+    def stored(self) -> Dependencies:
+        """The same with the manifest and the facts about packages written to the shared folder:
+        both are read several times."""
+        spark = self.manifest.sparkSession
+
+        def kept(df, name):
+            path = shared_dir(spark, name)
+            df.write.parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
+
+        facts = deps.package_facts(self.latest_versions, self.registry)
+        return replace(self, manifest=kept(self.manifest, "manifest"), facts=kept(facts, "facts"))
 
 
 def _passed(scanned: DataFrame, packs, extra_rules) -> DataFrame:

@@ -36,7 +36,7 @@ def query(fn: Query) -> Query:
 def _deps(spark, sf) -> Dependencies:
     return Dependencies(_manifest(spark, sf), corpus.advisories(spark, sf),
                         corpus.latest_versions(spark, sf), corpus.registry(spark, sf),
-                        corpus.AS_OF)
+                        corpus.AS_OF).stored()
 
 
 def _manifest(spark, sf) -> DataFrame:
@@ -47,14 +47,20 @@ def _found(spark, sf, packs) -> DataFrame:
     return audit(corpus.files(spark, sf), packs)
 
 
-def _everything(spark, sf) -> DataFrame:
-    return audit(corpus.files(spark, sf), dependencies=_deps(spark, sf))
+def _everything(spark, sf, dependencies: Dependencies | None = None) -> DataFrame:
+    return audit(corpus.files(spark, sf), dependencies=dependencies or _deps(spark, sf))
 
 
-def _repos(spark, sf) -> DataFrame:
+def _repos(spark, sf, manifest: DataFrame) -> DataFrame:
     """Every repository that has files or dependencies, one row each."""
     return corpus.files(spark, sf).select("repo_id") \
-        .unionByName(corpus.raw_manifest(spark, sf).select("repo_id")).distinct()
+        .unionByName(manifest.select("repo_id")).distinct()
+
+
+def _all_of(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """All findings and all repositories, from one stored manifest."""
+    dependencies = _deps(spark, sf)
+    return _everything(spark, sf, dependencies), _repos(spark, sf, dependencies.manifest)
 
 
 def _file_repos(spark, sf) -> DataFrame:
@@ -230,8 +236,8 @@ def maintained_grades(spark, sf):
 
 @query
 def dashboard_table(spark, sf):
-    found = _stored(spark, compliance_enrich(_everything(spark, sf)))
-    return reports.dashboard_table(found, _repos(spark, sf))
+    found, repos = _all_of(spark, sf)
+    return reports.dashboard_table(_stored(spark, compliance_enrich(found)), repos)
 
 
 @query
@@ -325,7 +331,9 @@ def brand_new_package(spark, sf):
 
 @query
 def dependency_scan(spark, sf):
-    return deps.dependency_scan(_deps(spark, sf).findings(), _repos(spark, sf))
+    dependencies = _deps(spark, sf)
+    return deps.dependency_scan(dependencies.findings(),
+                                _repos(spark, sf, dependencies.manifest))
 
 
 @query
@@ -349,7 +357,8 @@ def estate_dependencies(spark, sf):
 
 @query
 def framework_of_repo(spark, sf):
-    return deps.framework_of_repo(corpus.raw_manifest(spark, sf), _repos(spark, sf))
+    manifest = corpus.raw_manifest(spark, sf)
+    return deps.framework_of_repo(manifest, _repos(spark, sf, manifest))
 
 
 @query
@@ -417,7 +426,7 @@ def overall_status(spark, sf):
 
 @query
 def security_grade(spark, sf):
-    return reports.security_grade(_everything(spark, sf), _repos(spark, sf))
+    return reports.security_grade(*_all_of(spark, sf))
 
 
 @query
@@ -429,7 +438,7 @@ def owasp_grade(spark, sf):
 
 @query
 def release_gate(spark, sf):
-    return reports.release_gate(_everything(spark, sf), _repos(spark, sf))
+    return reports.release_gate(*_all_of(spark, sf))
 
 
 @query
@@ -445,7 +454,7 @@ def assessment(spark, sf):
 
 @query
 def dashboard_tiles(spark, sf):
-    return reports.dashboard_tiles(_everything(spark, sf), _repos(spark, sf))
+    return reports.dashboard_tiles(*_all_of(spark, sf))
 
 
 @query
