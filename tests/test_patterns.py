@@ -76,3 +76,20 @@ def test_long_lines_stay_linear(spark):
     df.selectExpr(*[f"{Text('t', 'l').matches(p)} AS p{k}" for k, p in enumerate(ALL)
                     if len(same_line_parts(p.text)) > 1]).collect()
     assert time.time() - start < 60
+
+
+def test_words_of_patterns():
+    from warpsift.functions.patterns import plan
+    from warpsift.rules.base import Pattern, ci
+
+    def words(text, pattern=Pattern):
+        fixed, rest = plan(pattern(text))
+        return fixed, [needs for needs, _ in rest]
+
+    assert words("abc|a[bc]d") == (("abc", "abd", "acd"), [])
+    assert words("Foo(?:bar|baz)?", ci) == (("foo", "foobar", "foobaz"), [])
+    assert words(r"foo\s*\(bar|baz+q") == ((), [(("foo",), ("(bar",)), (("ba",),)])
+    assert words(r"x{2,}abc\.d[^e]f{2}gh") == ((), [(("abc.d",), ("gh",))])
+    assert words(r"(?:one|two)\d+(?!three)four") == ((), [(("one", "two"), ("four",))])
+    assert words(r"(?:a\d|b\d\dcc)dd") == ((), [(("dd",),)])
+    assert words(r"\n\t[a-z]{3}[\]x]y") == ((), [(("\n\t",),)])

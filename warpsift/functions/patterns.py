@@ -111,23 +111,89 @@ def java(text: str, one_line: bool = False, dot: str = ".") -> str:
     return "".join(out)
 
 
+# ---- a pattern as a tree ------------------------------------------------------------
+
+_QUANTIFIER = re.compile(r"[*+?]|\{\d+(?:,\d*)?\}")
+_CONTROLS = {"n": "\n", "t": "\t", "r": "\r", "f": "\f", "v": "\v", "0": "\0"}
+
+
+def _literal(token: str) -> str | None:
+    """The character a token stands for, if it is a single one."""
+    if len(token) == 1:
+        return None if token in ".^$|()" else token
+    if token[0] == "\\" and len(token) == 2:
+        if token[1] in _CONTROLS:
+            return _CONTROLS[token[1]]
+        return None if token[1].isalnum() else token[1]
+    return None
+
+
+def _class(token: str):
+    """A set of characters: its members if they are single characters, else nothing is known."""
+    members, body = [], tokens(token[1:-1].replace("[", "\\["))
+    if token.startswith("[^") or any(t == "-" for t in body[1:-1]):
+        return "IN", None
+    for t in body:
+        char = t if len(t) == 1 else _literal(t)
+        if char is None:
+            return "IN", None
+        members.append(char)
+    return ("LITERAL", members[0]) if len(members) == 1 else ("IN", members)
+
+
+def _repeated(parts: list[str], i: int) -> tuple[int, int | None, int]:
+    """The least and the greatest count of a quantifier at `i`, and where it ends."""
+    text = "".join(parts[i:i + 12])
+    found = _QUANTIFIER.match(text)
+    if not found:
+        return 1, 1, i
+    mark = found[0]
+    width = len(mark) + (text[len(mark):len(mark) + 1] in ("?", "+"))
+    if mark in "*+?":
+        low, high = {"*": (0, None), "+": (1, None), "?": (0, 1)}[mark]
+    else:
+        low, _, rest = mark[1:-1].partition(",")
+        low, high = int(low), int(rest) if rest else (None if "," in mark else int(low))
+    return low, high, i + width
+
+
+def tree_of(parts: list[str]) -> list[tuple]:
+    """Items in their order: LITERAL, IN, GROUP (trees of its alternatives), REPEAT, OTHER."""
+    out, i = [], 0
+    while i < len(parts):
+        t = parts[i]
+        if t in ("(", "(?:", "(?!"):
+            depth, end = 1, i + 1
+            while depth:
+                depth += parts[end].startswith("(") - (parts[end] == ")")
+                end += 1
+            inner = _cut(parts[i + 1:end - 1], lambda p, k: int(p[k] == "|"))
+            item = ("OTHER", None) if t == "(?!" else ("GROUP", [tree_of(b) for b in inner])
+            i = end
+        else:
+            char = _literal(t)
+            item = ("LITERAL", char) if char is not None else _class(t) if t[0] == "[" \
+                else ("OTHER", None)
+            i += 1
+        low, high, i = _repeated(parts, i)
+        out.append(item if (low, high) == (1, 1) else ("REPEAT", (low, high, [item])))
+    return out
+
+
 # ---- words a pattern stands for, or cannot do without ------------------------------
 
 def _words(tree) -> list[str] | None:
-    """All texts a parsed pattern stands for, or None if there are too many."""
+    """All texts a tree stands for, or None if there are too many."""
     out = [""]
-    for op, arg in tree:
-        name = str(op)
-        if name == "LITERAL":
-            step = [chr(arg)]
-        elif name == "SUBPATTERN":
-            step = _words(arg[-1])
-        elif name == "BRANCH":
-            parts = [_words(b) for b in arg[1]]
+    for kind, arg in tree:
+        if kind == "LITERAL":
+            step = [arg]
+        elif kind == "GROUP":
+            parts = [_words(b) for b in arg]
             step = None if None in parts else list(itertools.chain(*parts))
-        elif name == "IN" and all(str(o) == "LITERAL" for o, _ in arg):
-            step = [chr(a) for _, a in arg]
-        elif name == "MAX_REPEAT" and arg[:2] == (0, 1):
+        elif kind == "IN":
+            step = arg
+        elif kind == "REPEAT" and arg[:2] == (0, 1):
             step = _words(arg[2])
             step = None if step is None else ["", *step]
         else:
@@ -141,30 +207,25 @@ def _words(tree) -> list[str] | None:
 def _needs(tree) -> list[tuple[str, ...]]:
     """Word lists; each match contains at least one word of every list."""
     out, run = [], ""
-    for op, arg in [*tree, (None, None)]:
-        name = str(op)
-        if name == "LITERAL":
-            run += chr(arg)
+    for kind, arg in [*tree, (None, None)]:
+        if kind == "LITERAL":
+            run += arg
             continue
         if len(run) > 1:
             out.append((run,))
         run = ""
-        if name == "SUBPATTERN":
-            words = _words(arg[-1])
-            if words and min(map(len, words)) > 1:
-                out.append(tuple(words))
-            else:
-                out += _needs(arg[-1])
-        elif name == "BRANCH":
-            words = _words([(op, arg)])
+        if kind == "GROUP":
+            words = _words([(kind, arg)])
             if words and min(map(len, words)) > 1:
                 out.append(tuple(words))
+            elif len(arg) == 1:
+                out += _needs(arg[0])
             else:
                 best = [max(_needs(b), key=lambda w: min(map(len, w)), default=None)
-                        for b in arg[1]]
+                        for b in arg]
                 if None not in best:
                     out.append(tuple(itertools.chain(*best)))
-        elif name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] > 0:
+        elif kind == "REPEAT" and arg[0] > 0:
             out += _needs(arg[2])
     return out
 
@@ -186,11 +247,10 @@ def linear_regex(pattern: Pattern) -> str:
 @lru_cache(maxsize=None)
 def plan(pattern: Pattern):
     """Fixed words of the pattern, and (needed words, expression) of every other branch."""
-    parse = re._parser.parse  # the standard library's own pattern parser
     fold = str.lower if pattern.ignore_case else str
     out, fixed = [], []
     for branch in branches(pattern.text):
-        tree = parse(branch)
+        tree = tree_of(tokens(branch))
         words = _words(tree)
         if words and min(map(len, words)) > 1:
             fixed += [fold(w) for w in words]
