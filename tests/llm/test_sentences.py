@@ -140,3 +140,14 @@ def test_query_equals_sql_where_ids_are_shared_or_missing(spark, sf_dir, duck, r
         found.append(rows_of(sen.op4_sentence_spans(spark, folder)))
     assert found[0] == found[1] == found[2] == duck(sen.OP4_SQL, folder)
     assert sum("'n_removed': 0" not in r for r in found[0]) > 10
+
+
+def test_a_span_in_every_document_is_dealt_out(spark):
+    """The commonest span has far more than a task's share of the rows."""
+    line = ", ".join(f"common{i} words{i} in{i} all{i}" for i in range(9)) + "."
+    docs = spark.createDataFrame([doc(k, f"Own {k} begins. {line} Own {k} ends; {k}.")
+                                  for k in range(300)])
+    docs = docs.toDF("doc_id", "text", "lang", "source", "n_chars")
+    out = result(sen.dedup_spans(docs))
+    assert out == plain([(r.doc_id, r.text) for r in docs.collect()])
+    assert out[0][2] == 0 and all(out[k][2] >= 8 for k in range(1, 300))

@@ -79,6 +79,22 @@ def _spans(docs: DataFrame, run: int, least: int) -> DataFrame:
         "_id", "_th", "_pos", n.alias("_len"))
 
 
+def _with_first(candidates: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Each repeated span with its first occurrence. The rows of a span that has more than a
+    task's share of them are dealt out over several tasks."""
+    tasks = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max((repeated.agg(F.sum("_n")).first()[0] or 0) / tasks, 1)
+    # At most as many spans as tasks can have more than a task's share.
+    hot = F.broadcast(repeated.where(F.col("_n") > share).select(
+        "_key", "_key2", F.ceil(F.col("_n") / share).cast("int").alias("_salts")))
+    on = ["_key", "_key2"]
+    turn = F.pmod(F.xxhash64("_id", "_th", "_pos"), F.coalesce("_salts", F.lit(1))).cast("int")
+    rows = candidates.join(hot, on, "left").withColumn("_salt", turn).drop("_salts")
+    firsts = repeated.drop("_n").join(hot, on, "left").withColumn("_salt", F.explode(
+        F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return rows.join(firsts, [*on, "_salt"]).drop("_salt")
+
+
 def dedup_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", run: int = RUN,
                 least: int = LEAST_CHARS) -> DataFrame:
     """`docs` with repeated spans removed from `text`; adds `n_sentences`, `n_removed`."""
@@ -95,10 +111,9 @@ def dedup_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", run
         "_key"), "span-keys")
     candidates = stored(spans.join(keys, "_key", "left_semi"), "spans")
     at = F.struct("_id", "_th", "_pos")
-    repeated = candidates.groupBy("_key", "_key2").agg(F.min(at).alias("_first"),
-                                                  F.count("*").alias("_n")) \
-        .where("_n > 1").drop("_n")
-    later = candidates.join(repeated, ["_key", "_key2"]).where(~at.eqNullSafe(F.col("_first")))
+    repeated = stored(candidates.groupBy("_key", "_key2").agg(
+        F.min(at).alias("_first"), F.count("*").alias("_n")).where("_n > 1"), "repeated-spans")
+    later = _with_first(candidates, repeated).where(~at.eqNullSafe(F.col("_first")))
     # At most one entry per sentence of the document.
     covered = later.groupBy(F.col("_id").alias("_i"), F.col("_th").alias("_t")).agg(
         F.array_distinct(F.flatten(F.collect_set(
