@@ -128,3 +128,13 @@ def test_other_rules_are_another_state(spark, tmp_path):
     assert plain.catalog != more.catalog
     with pytest.raises(ValueError):
         MaintainedFindings(spark, root, ["env"])
+
+
+def test_a_batch_writes_few_files(spark, tmp_path):
+    changes = changes_of(spark, {(r, p): SLOTS[0][1] + f"\n// {r}" for r in range(300)
+                                 for p in ("src/app.js", "src/b.js")}).repartition(40)
+    state = MaintainedFindings(spark, str(tmp_path / "state"), PACKS).start()
+    gen = state.apply(changes)
+    for table in ("tree", "hits", "changes", "counts"):
+        written = list((tmp_path / "state").glob(f"*/{table}/gen={gen}/**/*.parquet"))
+        assert 0 < len(written) <= 80, table

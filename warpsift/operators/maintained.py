@@ -69,6 +69,7 @@ class MaintainedFindings:
         tests += [f"abs_path RLIKE {quoted(flagged(p))}" for p in paths]
         self._profile = "concat(" + ", ".join(
             f"CASE WHEN {t} THEN '1' ELSE '0' END" for t in tests) + ")"
+        self._chosen = " OR ".join(tests[:len(selectors)])
         self._looked_at = "'1' IN (" + ", ".join(
             f"substr(profile, {i + 1}, 1)" for i in range(len(selectors))) + ")"
 
@@ -85,8 +86,11 @@ class MaintainedFindings:
             self._folder(table)).where(F.col("gen") < before)
 
     def _write(self, df: DataFrame, table: str, gen: int) -> DataFrame:
-        path = f"{self._folder(table)}/gen={gen}"
-        df.write.mode("overwrite").partitionBy(*_FOLDERS.get(table, [])).parquet(path)
+        path, folders = f"{self._folder(table)}/gen={gen}", _FOLDERS.get(table, [])
+        # Dealt out by folder, large folders over several tasks: else every task would write a
+        # file into every folder.
+        dealt = df.hint("rebalance", *folders)
+        dealt.write.mode("overwrite").partitionBy(*folders).parquet(path)
         return self.spark.read.schema(SCHEMAS[table]).parquet(path)
 
     def start(self) -> MaintainedFindings:
@@ -128,9 +132,10 @@ class MaintainedFindings:
             # One file of each new text. Beyond the bound nearly all is new, as in the first
             # batch: every text is tested where it lies, and equal results are dropped.
             texts = texts.join(F.broadcast(unseen), _KEY, "left_semi")
-        scanned = scan_files(texts, self.packs, self.extra).select(
+        # The selectors' own tests: a test of the profile would repeat it once per selector.
+        scanned = scan_files(texts.where(self._chosen), self.packs, self.extra).select(
             F.unhex(F.md5(F.coalesce("content", F.lit("")))).alias("mark"),
-            F.expr(self._profile).alias("profile"), "hits").where(self._looked_at)
+            F.expr(self._profile).alias("profile"), "hits")
         found = scanned.withColumn("bucket", _bucket()).dropDuplicates(_TEXT)
         self._write(found.select("mark", "profile", "hits", "bucket"), "hits", gen)
 
