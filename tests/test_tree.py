@@ -143,3 +143,16 @@ def test_written_trees_come_back(spark, tmp_path):
     assert tree(spark, f"{tmp_path}/void").count() == 0
     assert TreeReader(type("S", (), {"fields": []})(), {"path": f"{tmp_path}/void"}).partitions() \
         == [Part("")]
+
+
+def test_small_repositories_share_a_task(spark, tmp_path):
+    for n in range(300):
+        target = tmp_path / f"r{n:03}" / "src" / "a.js"
+        target.parent.mkdir(parents=True)
+        target.write_text(f"const n = {n};")
+    read = tree(spark, str(tmp_path))
+    assert read.rdd.getNumPartitions() < 20
+    assert sorted((r.repo, r.path, r.content) for r in read.collect()) == [
+        (f"r{n:03}", "src/a.js", f"const n = {n};") for n in range(300)]
+    names = tree(spark, str(tmp_path), content=False, files_per_task="50")
+    assert names.rdd.getNumPartitions() == 6 and names.count() == 300
