@@ -196,3 +196,13 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 150)},
                    200: 200, 201: 200}
     assert components(df.limit(0), "a", "b").count() == 0
+
+
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    """With splits that part everything, links still come out: those left are compared exactly."""
+    monkeypatch.setattr(nd, "GROUP", 12)
+    monkeypatch.setattr(nd, "DEPTH", 0)
+    rows = near_group(120)
+    docs = spark.createDataFrame([doc(*r) for r in rows]).toDF(
+        "doc_id", "text", "lang", "source", "n_chars")
+    assert clusters(nd.classes(docs)) == plain(rows)

@@ -22,11 +22,13 @@ a probability of 3e-6. Candidates are verified on their texts, then joined into
    `GROUP_BYTES`) is split: each member goes to `SPLITS` parts of the bucket, by the keys of two
    further bands each, so that only texts that agree in twelve coordinates meet; parts that are
    still too large are split again, `DEPTH` times at most, and what is left then is compared with
-   one leader. So the rows made grow with the members of a bucket, never with their pairs.
-
-   A pair of similarity 0.8 shares 10 of the 24 bands on average and meets in one part or another
-   of a split bucket with a probability of a half, so that it meets nowhere with a probability
-   below one in a thousand, where all of its buckets are split; in all others it is compared.
+   one leader.
+4. Large buckets that still hold several components after that are compared exactly: all members
+   outside the bucket's largest component with all members, in blocks of a group's size, each
+   pair in the first large bucket that it shares. Where the steps before have joined the copies,
+   the rows made grow with the members of a bucket; a large bucket of texts that are not alike
+   makes as many as its members times its blocks, in bounded groups. So every pair of similarity
+   0.8 or more that shares a band ends in one component, whatever the size of its buckets.
 
 Rows: a null text, or one without a word, is compared for equality only; a null text is never a
 copy of another. Fewer than five words are one shingle. Rows with equal text are one class,
@@ -275,6 +277,68 @@ def _compare(key: tuple, table: pa.Table) -> pa.Table:
                      "b": pa.array([marks[j] for _, j in links], pa.binary())})
 
 
+def _compare_sides(key: tuple, table: pa.Table) -> pa.Table:
+    """The outer members of a block with the members of another, of one large bucket."""
+    marks, roots = table["th"].to_pylist(), table["root"].to_pylist()
+    keys = np.array(table["keys"].to_pylist(), np.int64)
+    whole = (table["whole"].to_numpy()[:, None] >> np.arange(BANDS) & 1).astype(bool)
+    outer = np.array(table["outer"].to_pylist(), bool)
+    others = np.flatnonzero(~outer)
+    band, sets = table["band"][0].as_py(), _Sets([t.as_py() for t in table["text"]])
+    parent: dict = {}
+
+    def root(r):
+        while parent.setdefault(r, r) != r:
+            r = parent[r]
+        return r
+
+    links = []
+    for i in np.flatnonzero(outer).tolist():
+        same = keys[others] == keys[i]
+        # Pairs of a bucket that was compared whole are known; others meet in their first band.
+        fresh = ~(same & whole[i] & whole[others]).any(1) & (same.argmax(1) == band)
+        for j in others[fresh].tolist():
+            if root(roots[i]) == root(roots[j]):
+                continue
+            a, b = sets[i], sets[j]
+            sizes = sorted((a[1].sum(), b[1].sum()))
+            if sizes[0] >= SIMILARITY * sizes[1] and similarity(a, b) >= SIMILARITY:
+                links.append((i, j))
+                parent[root(roots[j])] = root(roots[i])
+    return pa.table({"a": pa.array([marks[i] for i, _ in links], pa.binary()),
+                     "b": pa.array([marks[j] for _, j in links], pa.binary())})
+
+
+def _across(large: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between the components that are left in buckets too large to be compared whole."""
+    now = stored(large.drop("root").join(roots.select(F.col("node").alias("th"), "root"), "th",
+                                         "left").withColumn("root", F.coalesce("root", "th")),
+                 "large")
+    parts = now.groupBy("unit", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("size"))
+    most = F.max(F.struct("n", "root", "size"))
+    whole = parts.groupBy("unit").agg(
+        F.count("*").alias("roots"), F.sum("n").alias("n"), F.sum("size").alias("size"),
+        most.alias("most")).where("roots > 1")
+
+    def blocks(n, size):
+        return F.expr(f"CAST(ceil(greatest(({n}) / {GROUP}, ({size}) / {GROUP_BYTES})) AS INT)")
+
+    whole = whole.select("unit", F.col("most.root").alias("main"), blocks("n", "size").alias("js"),
+                         blocks("n - most.n", "size - most.size").alias("is"))
+    rows = _joined(now, whole, ["unit"], "inner")
+
+    def dealt(own, count, other, others):
+        return {own: F.pmod(F.xxhash64("th"), F.col(count)).cast("int"),
+                other: F.explode(F.sequence(F.lit(0), F.col(others) - 1))}
+
+    outer = rows.where("root != main").withColumns(
+        {"outer": F.lit(True), **dealt("i", "is", "j", "js")})
+    every = rows.withColumns({"outer": F.lit(False), **dealt("j", "js", "i", "is")})
+    names = ["unit", "i", "j", "th", "root", "band", "keys", "whole", "outer"]
+    return outer.select(*names).union(every.select(*names)).join(texts, "th").groupBy(
+        "unit", "i", "j").applyInArrow(_compare_sides, "a binary, b binary")
+
+
 def _several(units: DataFrame) -> DataFrame:
     """Units that hold several components: their members and bytes."""
     return units.groupBy("unit").agg(
@@ -352,7 +416,8 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     known = stored(_joined(keyed, marked, ["th"], "inner").dropDuplicates(["th"]), "members")
     full = stored(members.join(known, "th"), "units")
     units = [full.where("fits").withColumn("split", F.lit(False))]
-    rest = full.where("not fits").drop("fits")
+    large = rest = full.where("not fits").drop("fits")
+    split = not large.isEmpty()
     for depth in range(DEPTH):
         if not rest.limit(1).count():
             break
@@ -370,6 +435,9 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
         _compare, "a binary, b binary").union(_verified(stars, texts))
     every = stored(links.union(more.distinct()), "links")
     final = components(every, "a", "b")
+    if split:
+        every = stored(every.union(_across(large, final, texts)).distinct(), "links")
+        final = components(every, "a", "b")
 
     merged = nodes.join(final, nodes["th"] == final["node"], "left").select(
         "th", "class_id", F.coalesce("root", "th").alias("root"))
