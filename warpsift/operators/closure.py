@@ -21,7 +21,7 @@ _STEP = " > "
 _PAIR = ["package", "target", "version"]
 
 
-def _stored(df: DataFrame, path: str) -> DataFrame:
+def written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -39,12 +39,12 @@ def reached(requirements: DataFrame, affected: DataFrame) -> DataFrame:
     Of the shortest paths the least text is kept.
     """
     root = shared_dir(requirements.sparkSession, "closure")
-    edges = _stored(requirements.select("package", "requires", "version").where(
+    edges = written(requirements.select("package", "requires", "version").where(
         "package IS NOT NULL AND requires IS NOT NULL").distinct(), f"{root}/edges")
     steps = edges.select("package", "requires").distinct()
     first = lookup_join(edges, affected.select("requires", "version").distinct(),
                         ["requires", "version"], "left_semi")
-    front = _stored(_shortest(first.select(
+    front = written(_shortest(first.select(
         "package", F.col("requires").alias("target"), "version", F.concat(
             "package", F.lit(_STEP), "requires", F.lit("@"), "version").alias("path"))),
         f"{root}/hops=1")
@@ -53,7 +53,7 @@ def reached(requirements: DataFrame, affected: DataFrame) -> DataFrame:
         known = reduce(DataFrame.unionByName, rounds).select(*_PAIR)
         longer = steps.join(front.withColumnRenamed("package", "requires"), "requires").select(
             "package", "target", "version", F.concat("package", F.lit(_STEP), "path").alias("path"))
-        front = _stored(_shortest(longer.join(known, _PAIR, "left_anti")),
+        front = written(_shortest(longer.join(known, _PAIR, "left_anti")),
                         f"{root}/hops={len(rounds) + 1}")
         rounds.append(front.withColumn("hops", F.lit(len(rounds) + 1)))
     return reduce(DataFrame.unionByName, rounds)

@@ -6,12 +6,18 @@ the few nodes of a binary tree over those numbers that cover it. Two intervals o
 the start of one lies in the other; a start lies in an interval exactly if one of the nodes above
 it is one of the interval's. So both sides grow by the logarithm of the group, and the join makes
 one row for each pair that overlaps, and no others.
+
+Groups with a few intervals on the right need no tree: there each left row meets those few.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .joins import lookup_join
+
+#: So many intervals of the right side in a group are compared one by one.
+FEW = 8
 _NODES = """flatten(transform(sequence(0, _levels), l -> array_compact(array(
     CASE WHEN shiftright({a} + shiftleft(1L, l) - 1, l) < shiftright({b}, l)
           AND shiftright({a} + shiftleft(1L, l) - 1, l) % 2 = 1
@@ -31,12 +37,33 @@ def _numbered(side: DataFrame, ends: DataFrame, on: list[str]) -> DataFrame:
 def overlaps(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Pairs of rows of the same group whose intervals [lo, hi) overlap.
 
+    Both sides are read more than once, so give them in stored form if they are costly.
+
     The result has the columns of `left`, and those of `right` with `lo` and `hi` named
     `other_lo` and `other_hi`; other names must differ. Empty intervals overlap nothing, rows
     without a group or an end go. Ends are compared as they are (numbers, texts).
     """
     left, right = (s.where(" AND ".join([f"`{k}` IS NOT NULL" for k in on] + ["lo < hi"]))
                    for s in (left, right))
+    groups = right.groupBy(*on).agg(F.count("*").alias("_n"))
+    least, most = groups.agg(F.min("_n"), F.max("_n")).first()
+    if not most or most <= FEW:
+        return _one_by_one(left, right, on)
+    if least > FEW:
+        return _by_tree(left, right, on)
+    crowded = groups.where(F.col("_n") > FEW).select(*on)
+    few = [lookup_join(s, crowded, on, "left_anti") for s in (left, right)]
+    many = [lookup_join(s, crowded, on, "left_semi") for s in (left, right)]
+    return _one_by_one(*few, on).unionByName(_by_tree(*many, on))
+
+
+def _one_by_one(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    others = right.withColumnsRenamed({"lo": "other_lo", "hi": "other_hi"})
+    met = lookup_join(left, others, on).where("lo < other_hi AND other_lo < hi")
+    return met.select(*left.columns, *[c for c in others.columns if c not in on])
+
+
+def _by_tree(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     both = left.select(*on, "lo", "hi").unionByName(right.select(*on, "lo", "hi"))
     place = Window.partitionBy(*on)
     ends = both.select(*on, F.explode(F.array("lo", "hi")).alias("_end")).distinct().select(
