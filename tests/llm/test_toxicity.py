@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from warpsift.llm import toxicity as tox
 
@@ -78,3 +79,18 @@ def test_clean_rows_stay_whole(spark, odd_docs, model):
     kept = tox.keep_clean(docs, model)
     assert kept.columns == docs.columns and 50 not in {r.doc_id for r in kept.collect()}
     assert kept.count() >= 10
+
+
+def test_the_driver_gets_the_model_alone(spark, monkeypatch):
+    """Training runs in a task: on the driver it took the memory that a session there has left."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, toxic int")
+    docs = spark.createDataFrame(
+        [(i, ("bad bad word", "good good word")[i % 2]) for i in range(20)] * 2
+        + [(i, "zz") for i in range(20)], "doc_id bigint, text string")
+    ids = [r.doc_id for r in labels.where(~tox.held_out(F.col("doc_id"))).orderBy("doc_id").collect()]
+    want = tox.train([("bad bad word", "good good word")[i % 2] for i in ids],
+                     np.array([i % 2 for i in ids]))
+    monkeypatch.setattr(tox, "train", lambda *rows: pytest.fail("trained on the driver"))
+    monkeypatch.setattr(DataFrame, "toPandas", lambda df: pytest.fail("texts on the driver"))
+    got = tox.learn(docs, labels)
+    assert got.prior == want.prior and (got.weights == want.weights).all()

@@ -3,7 +3,7 @@
 A word is the bag of its character n-grams (with word-boundary marks) and itself, each hashed
 to a row of one embedding table; a document is the average of its words. A linear layer with a
 softmax tells toxic from clean, and table and layer are trained jointly, in numpy, by full-batch
-Adam (falling rate) on a bounded sample of labelled rows. An unseen misspelling shares most n-grams with the
+Adam (falling rate) on a bounded sample of labelled rows, in one task. An unseen misspelling shares most n-grams with the
 word that it stands for, and so its vector.
 
 Only the training sample is bounded (`TRAIN_ROWS`, chosen by a seeded hash of doc_id). Scoring
@@ -218,11 +218,25 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Model:
         seeded(SEED, F.col("doc_id")), "doc_id").limit(limit)
     # At most `limit` ids: small by construction.
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(
-        F.broadcast(sample), "doc_id").toPandas()
-    rows = rows.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
-    texts, toxic = rows["text"].tolist(), (rows["toxic"].to_numpy() > 0).astype(np.int64)
-    del rows
-    return train(texts, toxic)
+        F.broadcast(sample), "doc_id").groupBy("doc_id").agg(
+        F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    # One row per id, so one task holds them all; the driver gets the model alone.
+    fitted = rows.repartition(1).mapInArrow(_fit, "prior double, weights binary").collect()
+    if not fitted:
+        return train([], np.array([], np.int64))
+    prior, weights = fitted[0]
+    return Model(prior, None if weights is None else np.frombuffer(weights, np.float32))
+
+
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all rows (`doc_id`, `text`, `toxic`), in the order of their ids."""
+    rows = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+    model = train([text for _, text, _ in rows],
+                  np.array([toxic > 0 for *_, toxic in rows], np.int64))
+    weights = None if model.weights is None else model.weights.tobytes()
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([model.prior], pa.float64()), pa.array([weights], pa.binary())],
+        names=["prior", "weights"])
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
