@@ -3,6 +3,8 @@
 import os
 import shutil
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +88,45 @@ def test_odd_changes_and_expiry(spark, tmp_path, files_of):
     arrive(1, first[:1])
     run(spark, str(tmp_path), files, CHANGES, "5 seconds", keep="1 second")
     assert seen() == [(0, 1, "a.js", 2), (5, 1, "a.js", 1)]
+
+
+class Noted:
+    """State of one file that counts its round trips."""
+
+    def __init__(self, ticks=()):
+        self.ticks, self.calls = set(ticks), 0
+
+    def keys(self):
+        self.calls += 1
+        return iter([(t,) for t in self.ticks])
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key[0] in self.ticks
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.ticks.add(key[0])
+
+
+@pytest.mark.parametrize("n", [1, 50])
+def test_noted_ticks_are_read_in_one_call(n):
+    file = once.OncePerTick(1000)
+    file.seen = Noted(range(n))
+    rows = pd.DataFrame({"tick_us": [*range(n), *range(n)]})
+    assert not list(file.handleInputRows((1, "a.js"), iter([rows, rows]), None))
+    assert file.seen.calls == 1
+    rows = pd.DataFrame({"tick_us": range(n + 1)})
+    (out,) = file.handleInputRows((1, "a.js"), iter([rows]), None)
+    assert out["tick_us"].tolist() == [n] and out["path"].tolist() == ["a.js"]
+
+
+@pytest.mark.parametrize("held", [1, 4, 1000])
+def test_changes_are_combined_before_the_state(held):
+    rows = [(r, p, t) for r in (1, 2) for p in "ab" for t in (0, 5)] * 9
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("repo_id", "path", "tick_us"), row))])
+               for row in rows]
+    out = [tuple(row.values()) for b in once.combined(iter(batches), held) for row in b.to_pylist()]
+    assert set(out) == set(rows)
+    assert held < 1000 or len(out) == 8
+    assert not list(once.combined(iter([])))
