@@ -223,3 +223,35 @@ def test_rules_need_a_condition():
     from warpsift.rules.base import Rule
     with pytest.raises(ValueError):
         Rule("secrets", "x", "high", "c", "t", None, "title", "fix")
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hot_keys_are_read_from_stored_counts(spark):
+    """The facts may be costly: they are worked out once for the counts, not again by each use."""
+    facts = spark.range(100).select((F.col("id") % 2).alias("k"))
+    hot = joins.hot_keys(facts, ["k"], 8)
+    assert hot.inputFiles() and "Range" not in _plan(hot)
+    assert {(r.k, r._salts) for r in hot.collect()} == {(0, 4), (1, 4)}
+
+
+def test_counts_of_dependency_findings_make_no_texts(spark, sf_dir):
+    found = deps.dependency_findings(
+        deps.latest_declared(corpus.raw_manifest(spark, sf_dir)), corpus.advisories(spark, sf_dir),
+        corpus.latest_versions(spark, sf_dir), corpus.registry(spark, sf_dir), corpus.AS_OF)
+    plan = _plan(found.groupBy("repo_id").count())
+    assert "major version(s)" not in plan and "sha2" not in plan
+    assert "lambda" not in _plan(compliance_enrich(found.select("owasp")))
+
+
+def test_hallucinated_packages_come_once(spark):
+    manifest = spark.createDataFrame(
+        [(1, "a", "1.0.0"), (1, "a", "2.0.0"), (1, "a", "2.0.0"), (2, "a", "1.0.0"),
+         (None, "a", "1.0.0"), (1, "known", "1.0.0"), (1, None, "1.0.0"), (1, "file:x", "1.0.0")],
+        "repo_id bigint, package string, version string")
+    registry = spark.createDataFrame([("known",), ("known",), (None,)], "package string")
+    out = deps.hallucinated_package(manifest, registry)
+    assert sorted((str(r.repo_id), r.package) for r in out.collect()) == [
+        ("1", "a"), ("2", "a"), ("None", "a")]
